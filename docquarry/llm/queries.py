@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import quality
+from docquarry.llm import decontaminate, jaccard, quality
 from docquarry.llm.common import documents_only, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages, with the items and their tiled coverage."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of documents whose word 3-grams have Jaccard 0.5 or more."""
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier selects, with expected grade and tail probability."""
     docs = documents_only(table(spark, sf_dir, "documents"))
@@ -19,7 +29,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_jaccard": op2_jaccard,
     "op5_quality": op5_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_jaccard": jaccard.ORACLE_SQL,
+}
