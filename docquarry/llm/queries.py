@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import decontaminate, jaccard, quality
+from docquarry.llm import decontaminate, jaccard, pii, quality
 from docquarry.llm.common import documents_only, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,10 +28,16 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.select(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold personal data: spans by label, and the redacted text."""
+    return pii.entities(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_jaccard": op2_jaccard,
     "op5_quality": op5_quality,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
