@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import decontaminate, jaccard, pii, quality
+from docquarry.llm import decontaminate, jaccard, packing, pii, quality
 from docquarry.llm.common import documents_only, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.select(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed in windows of 2,048 tokens at the corpus's proportions of sources."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold personal data: spans by label, and the redacted text."""
     return pii.entities(table(spark, sf_dir, "documents"))
@@ -37,6 +42,7 @@ QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_jaccard": op2_jaccard,
     "op5_quality": op5_quality,
+    "op7_packing": op7_packing,
     "op10_pii": op10_pii,
 }
 
