@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import decontaminate, jaccard, packing, pii, quality
+from docquarry.llm import decontaminate, jaccard, lm, packing, pii, quality
 from docquarry.llm.common import documents_only, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log-likelihood under the recurrent model trained on all documents."""
+    return lm.log_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold personal data: spans by label, and the redacted text."""
     return pii.entities(table(spark, sf_dir, "documents"))
@@ -43,6 +48,7 @@ QUERIES: dict[str, Query] = {
     "op2_jaccard": op2_jaccard,
     "op5_quality": op5_quality,
     "op7_packing": op7_packing,
+    "op9_lm": op9_lm,
     "op10_pii": op10_pii,
 }
 
