@@ -166,7 +166,7 @@ def matches(texts: pa.Array, seeds: Seeds, coverage: float) -> Iterator[tuple[in
         order = np.argsort(pair, kind="stable")
         row, start, seed, pair = row[order], start[order], seed[order], pair[order]
         edge = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, int)
-        for s, e in zip(edge, np.append(edge[1:], len(pair)), strict=True):
+        for s, e in zip(edge, np.append(edge, len(pair))[1:], strict=True):
             item = int(seeds.item[seed[s]])
             item_words = seeds.words[item]
             reach = np.zeros(len(item_words), bool)
