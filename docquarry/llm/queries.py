@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import decontaminate, jaccard, lm, packing, pii, quality
+from docquarry.llm import chat, decontaminate, jaccard, lm, packing, pii, quality, warc
 from docquarry.llm.common import documents_only, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted in windows of 256 tokens with limited history."""
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier selects, with expected grade and tail probability."""
     docs = documents_only(table(spark, sf_dir, "documents"))
@@ -33,6 +38,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through WARC files that are read by byte ranges."""
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log-likelihood under the recurrent model trained on all documents."""
     return lm.log_likelihood(table(spark, sf_dir, "documents"))
@@ -46,12 +56,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_jaccard": op2_jaccard,
+    "op4_chat": op4_chat,
     "op5_quality": op5_quality,
     "op7_packing": op7_packing,
+    "op8_warc": op8_warc,
     "op9_lm": op9_lm,
     "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_jaccard": jaccard.ORACLE_SQL,
+    "op4_chat": chat.ORACLE_SQL,
+    "op8_warc": warc.ORACLE_SQL,
 }
