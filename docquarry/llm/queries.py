@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docquarry.llm import chat, decontaminate, jaccard, lm, packing, pii, quality, warc
+from docquarry.llm import chat, decontaminate, jaccard, lm, packing, pii, quality, reshard, topk, warc
 from docquarry.llm.common import documents_only, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,11 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in their new shards, the fewest bytes moved."""
+    return reshard.reshard(spark, f"{sf_dir}/documents.parquet").select("doc_id", "old_shard", "new_shard", "moved", F.length("text").alias("n_chars"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations formatted in windows of 256 tokens with limited history."""
     return chat.format_chats(table(spark, sf_dir, "conversations"))
@@ -33,6 +39,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.select(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest other vectors of every vector."""
+    return topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed in windows of 2,048 tokens at the corpus's proportions of sources."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -56,8 +67,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_jaccard": op2_jaccard,
+    "op3_reshard": op3_reshard,
     "op4_chat": op4_chat,
     "op5_quality": op5_quality,
+    "op6_topk": op6_topk,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
     "op9_lm": op9_lm,
@@ -67,5 +80,6 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_jaccard": jaccard.ORACLE_SQL,
     "op4_chat": chat.ORACLE_SQL,
+    "op6_topk": topk.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
 }
