@@ -7,7 +7,7 @@ is owed, or was served too much, stays with it as a deficit.  A service is a pie
 tokens of its target for as long as its queue and the others hold documents.  Tokens are runs of
 non-space characters; pieces keep the white space, and together they are the documents again.
 
-Lanes spread this over the cluster: a lane is a set of queues of about ``lane_tokens`` tokens that one
+Lanes spread this over the cluster: a lane is a set of queues of about ``lane_bytes`` of text that one
 task packs.  Source by source, prefix sums over hash buckets (a small table) cut the lanes, so
 each lane holds its share of every source up to a bucket.  The deficit a lane starts with is known
 without packing those before it: a lane serves all it has, so it is target share times all earlier
@@ -36,7 +36,7 @@ from docquarry.llm.tokens import runs, string_buffers
 
 WINDOW = 2048
 PIECE = 256
-LANE_TOKENS = 4 << 20
+LANE_BYTES = 7 << 20
 BUCKETS_A_LANE = 16
 #: Rows of the bucket table that are broadcast at most; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -99,7 +99,7 @@ _SCHEMA = "lane long, window long, n_tokens int, doc_ids array<long>, pieces arr
 def _pack_lane(window: int, piece: int):
     def apply(docs: pa.Table, plan: pa.Table) -> pa.Table:
         lane = plan["lane"][0].as_py() if plan.num_rows else docs["lane"][0].as_py()
-        docs = docs.sort_by([("rank", "ascending"), ("doc_id", "ascending"), ("n_tokens", "ascending")]).combine_chunks()
+        docs = docs.sort_by([("rank", "ascending"), ("doc_id", "ascending")]).combine_chunks()
         names = sorted(plan["source"].to_pylist(), key=lambda s: (s is None, s or ""))
         place = {s: i for i, s in enumerate(names)}
         told = {s: (p, c) for s, p, c in zip(plan["source"].to_pylist(), plan["share"].to_pylist(), plan["carried"].to_pylist(), strict=True)}
@@ -135,16 +135,15 @@ def _pack_lane(window: int, piece: int):
     return apply
 
 
-def pack(docs: DataFrame, shares: dict[str, float] | None = None, window: int = WINDOW, piece: int = PIECE, lane_tokens: int = LANE_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, shares: dict[str, float] | None = None, window: int = WINDOW, piece: int = PIECE, lane_bytes: int = LANE_BYTES) -> DataFrame:
     """Windows ``(lane, window, n_tokens, doc_ids, pieces, deficits)``; ``shares`` default to the corpus's own."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    docs = docs.where("text is not null").withColumn("n_tokens", F.regexp_count("text", F.lit(r"\S+"))).where("n_tokens > 0").withColumn("rank", F.xxhash64("doc_id", "text"))
-    total = docs.agg(F.sum("n_tokens")).first()[0] or 0
-    lanes = max(1, round(total / lane_tokens))
+    docs = docs.where("text is not null").withColumn("rank", F.xxhash64("doc_id", "text"))
+    lanes = max(1, round((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / lane_bytes))
     buckets = lanes * BUCKETS_A_LANE
     docs = docs.withColumn("bucket", F.pmod("rank", F.lit(buckets)))
 
-    sums = docs.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"))
+    sums = docs.groupBy("source", "bucket").agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).where("n > 0")
     by_source = Window.partitionBy("source")
     before = F.coalesce(F.sum("n").over(by_source.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.withColumn("middle", before + F.col("n") / 2).withColumn("all", F.sum("n").over(by_source))
@@ -153,7 +152,7 @@ def pack(docs: DataFrame, shares: dict[str, float] | None = None, window: int =
 
     sources = sums.groupBy("source").agg(F.sum("n").alias("n"))
     if shares is None:
-        sources = sources.withColumn("share", F.col("n") / F.lit(max(total, 1)))
+        sources = sources.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
     else:
         given = F.coalesce(*[F.when(F.col("source") == s, F.lit(float(w))) for s, w in shares.items()], F.lit(0.0)) if shares else F.lit(0.0)
         sources = sources.withColumn("share", given / F.lit(sum(shares.values()) or 1.0))
@@ -170,5 +169,5 @@ def pack(docs: DataFrame, shares: dict[str, float] | None = None, window: int =
     lane_of = sums.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), "lane")
     if lanes * BUCKETS_A_LANE * max(1, sources.count()) <= BROADCAST_ROWS:
         lane_of = F.broadcast(lane_of)
-    placed = docs.join(lane_of, docs["source"].eqNullSafe(F.col("_source")) & (docs["bucket"] == F.col("_bucket"))).select("lane", "rank", "doc_id", "source", "n_tokens", "text")
+    placed = docs.join(lane_of, docs["source"].eqNullSafe(F.col("_source")) & (docs["bucket"] == F.col("_bucket"))).select("lane", "rank", "doc_id", "source", "text")
     return placed.groupBy("lane").cogroup(plan.groupBy("lane")).applyInArrow(_pack_lane(window, piece), _SCHEMA)
