@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docquarry.llm.common import written
 
@@ -31,7 +32,11 @@ LEVELS = (1, 4, 16)
 BLOCK_ROWS = 2048
 #: Halvings of coarse coordinates at most; a cell that stays larger than a block is cut by row.
 SPLITS = 12
-_DENSE = 0.3
+#: Queries bounded at once; a matrix of them and a block stays in cache.
+QUERY_ROWS = 256
+#: Share of pairs left above which a matrix product is cheaper than single pairs.
+_DENSE = 0.02
+_SLACK = 2e-5
 
 
 def statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
@@ -45,9 +50,22 @@ def statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
 
 
 def bounds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of all pairs of statistics, a hair too small rather than too large."""
+    """Squared distances of all pairs of statistics, in single precision and a little too small for its errors."""
     size = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
-    return np.maximum(size - 2 * (a @ b.T), 0) - 1e-9 * size
+    out = a @ b.T
+    out *= -2
+    size *= 1 - _SLACK
+    out += size
+    return out
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs up to rounding, in double precision."""
+    out = a @ b.T
+    out *= -2
+    out += (a * a).sum(1)[:, None]
+    out += (b * b).sum(1)[None, :]
+    return out
 
 
 class Nearest:
@@ -65,25 +83,54 @@ class Nearest:
 
     def add(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray) -> int:
         """Search a block of data; returns how many exact distances that took."""
-        q = d = None
-        radius = self.radius
-        for mine, segments in zip(self.levels, LEVELS, strict=True):
-            theirs = statistics(vectors, segments)
+        levels = [statistics(vectors, s) for s in LEVELS]
+        low, high = levels[-1].min(0), levels[-1].max(0)
+        gap = np.maximum(low - self.levels[-1], 0) + np.maximum(self.levels[-1] - high, 0)
+        reach = np.flatnonzero((gap * gap).sum(1) * (1 - _SLACK) <= self.radius)  # queries that the block's box lets in
+        levels = [x.astype(np.float32) for x in levels]
+        exact = 0
+        for at in range(0, len(reach), QUERY_ROWS):
+            exact += self._add(reach[at : at + QUERY_ROWS], ids, rows, vectors, levels)
+        return exact
+
+    def _add(self, own: np.ndarray, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, levels: list[np.ndarray]) -> int:
+        radius, mine = self.radius[own], self.vectors[own]
+        if np.isinf(radius).any():  # nothing is known yet: the k-th of this block bounds it, the row itself aside
+            table = distances(mine, vectors)
+            if len(ids) > self.k:
+                radius = np.minimum(radius, np.partition(table, self.k, axis=1)[:, self.k] + self._rounding(mine, vectors))
+            q, d = np.nonzero(table <= radius[:, None] + self._rounding(mine, vectors)[:, None])
+        else:
+            q = d = None
+            for stats, theirs in zip(self.levels, levels, strict=True):
+                stats = stats[own].astype(np.float32)
+                if q is None:
+                    left = bounds(stats, theirs) <= radius[:, None].astype(np.float32) * (1 + 1e-6)
+                    n = np.count_nonzero(left)
+                    if n <= _DENSE * left.size:
+                        q, d = np.nonzero(left)
+                else:
+                    gap = stats[q] - theirs[d]
+                    keep = (gap * gap).sum(1) * (1 - _SLACK) <= radius[q] * (1 + 1e-6)
+                    q, d = q[keep], d[keep]
+                if q is not None and len(q) == 0:
+                    return 0
             if q is None:
-                q, d = np.nonzero(bounds(mine, theirs) <= radius[:, None])
-            elif len(q) > _DENSE * len(self.ids) * len(ids):
-                keep = bounds(mine, theirs)[q, d] <= radius[q]
-                q, d = q[keep], d[keep]
-            else:
-                gap = mine[q] - theirs[d]
-                keep = (gap * gap).sum(1) * (1 - 1e-9) <= radius[q]
-                q, d = q[keep], d[keep]
-        keep = self.rows[q] != rows[d]
-        q, d = q[keep], d[keep]
-        for at in range(0, len(q), 1 << 17):
-            self._merge(q[at : at + (1 << 17)], ids[d[at : at + (1 << 17)]], self.vectors[q[at : at + (1 << 17)]] - vectors[d[at : at + (1 << 17)]])
+                table = distances(mine, vectors)
+                left &= table <= (radius + self._rounding(mine, vectors))[:, None]
+                q, d = np.nonzero(left)
+        keep = self.rows[own[q]] != rows[d]
+        q, d = own[q[keep]], d[keep]
+        for at in range(0, len(q), 1 << 16):
+            s = slice(at, at + (1 << 16))
+            self._merge(q[s], ids[d[s]], self.vectors[q[s]] - vectors[d[s]])
         return len(q)
 
+    @staticmethod
+    def _rounding(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """More than the error of ``distances``, for each row of ``a``."""
+        return 1e-12 * ((a * a).sum(1) + (b * b).sum(1).max(initial=0.0)) + 1e-300
+
     def _merge(self, q: np.ndarray, ids: np.ndarray, gap: np.ndarray) -> None:
         distance = np.einsum("ij,ij->i", gap, gap)
         keep = distance <= self.radius[q]
@@ -110,7 +157,9 @@ def _vectors(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
 def _blocked(vectors: DataFrame, id_col: str, vector_col: str, block_rows: int) -> DataFrame:
     """``(vec_id, row, vector, block)``: sound vectors in blocks of about ``block_rows``."""
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    single = isinstance(vectors.schema[vector_col].dataType, T.ArrayType) and isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
+    kind = "array<float>" if single else "array<double>"  # single precision stays so in shuffles; all sums are double
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"))
     rows = written(rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & sound).withColumn("row", F.monotonically_increasing_id()), "vectors")
     lengths = rows.groupBy(F.size("vector").alias("length")).count().collect()
     n = sum(r["count"] for r in lengths)
@@ -127,7 +176,7 @@ def _blocked(vectors: DataFrame, id_col: str, vector_col: str, block_rows: int)
                 stats[at, : own.shape[1]] = own
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "vector", "row")), pa.FixedSizeListArray.from_arrays(pa.array(stats.reshape(-1)), 8).cast(pa.list_(pa.float64()))], names=["vec_id", "vector", "row", "stats"])
 
-    rows = rows.mapInArrow(coarse, "vec_id long, vector array<double>, row long, stats array<double>")
+    rows = rows.mapInArrow(coarse, f"vec_id long, vector {kind}, row long, stats array<double>")
     cell = F.lit(0)
     if depth:
         # Coordinates of most spread are halved at their medians; a coordinate may be cut again in quarters.
