@@ -209,3 +209,15 @@ def score(docs: DataFrame, model: CumulativeLink, text_col: str = "text") -> Dat
 def select(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The documents whose tail probability is ``keep_at`` or more, with both figures."""
     return score(docs, fit(docs, labels, train_rows)).where(F.col("tail_probability") >= keep_at)
+
+
+def kept(docs: DataFrame, model: CumulativeLink, keep_at: float = KEEP_AT, text_col: str = "text") -> DataFrame:
+    """The rows that ``select`` would keep, with their own columns and no others."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text_col)
+            for a, b in slices(texts):
+                yield batch.slice(a, b - a).filter(pa.array(np.round(model.grades(texts.slice(a, b - a))[1], 6) >= keep_at))
+
+    return docs.mapInArrow(apply, docs.schema)
