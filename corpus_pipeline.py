@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docquarry.llm import decontaminate, jaccard, packing, pii, quality
 from docquarry.llm.common import table, written
@@ -19,8 +18,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier selects; low grades go."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("tail_probability") >= quality.KEEP_AT).select(docs.columns)
+    return quality.kept(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
