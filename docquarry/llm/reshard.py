@@ -168,46 +168,60 @@ def new_capacities(sizes: list[int], largest_block: int, target_bytes: int = TAR
     return [int(sum(sizes) / count * (1 + slack)) + 4 * largest_block + 1] * count
 
 
+def _free(names: list[str], columns: list[str]) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def reshard(spark: SparkSession, path: str, capacities: list[int] | None = None, target_bytes: int = TARGET_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The table of Parquet files at ``path`` in its new shards, with ``old_shard``, ``new_shard`` and ``moved``."""
     rows = spark.read.parquet(path)
     kept = [c for c in rows.columns if c.lower() not in ADDED]
-    at = rows.select(*kept, F.col("_metadata.file_path").alias("_path"), F.floor(F.col("_metadata.row_index") / block_rows).alias("_block"))
+    file, block, donor, first, last = _free(["_path", "_block", "_from", "_first", "_last"], kept)
+    place = lambda df: (df.metadataColumn("_metadata")["file_path"].alias(file), F.floor(df.metadataColumn("_metadata")["row_index"] / block_rows).alias(block))
+    at = rows.select(*kept, *place(rows))
     weight = F.lit(ROW_BYTES) + F.coalesce(F.octet_length("text"), F.lit(0)) if "text" in kept else F.lit(ROW_BYTES)
-    blocks = written(at.groupBy("_path", "_block").agg(F.sum(weight).alias("bytes")), "blocks")
-    files = blocks.groupBy("_path").agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("largest")).orderBy("_path").collect()
+    blocks = written(at.groupBy(file, block).agg(F.sum(weight).alias("bytes")), "blocks")
+    files = blocks.groupBy(file).agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("largest")).orderBy(file).collect()
     if not files:
         return rows.select(*kept).select("*", F.lit(0).alias("old_shard"), F.lit(0).alias("new_shard"), F.lit(False).alias("moved"))
-    names, sizes, largest = [f["_path"] for f in files], [int(f["bytes"]) for f in files], max(int(f["largest"]) for f in files)
+    names, sizes, largest = [f[file] for f in files], [int(f["bytes"]) for f in files], max(int(f["largest"]) for f in files)
     limits = capacities or new_capacities(sizes, largest, target_bytes)
     inner = [max(0, c - 2 * largest) for c in limits]
     moves = transfers(sizes, inner if sum(inner) >= sum(sizes) else limits)
 
-    shards = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "_path string, old_shard int")
-    ways = spark.createDataFrame([(names[m.donor], m.receiver, m.low, m.high) for m in moves], "_path string, new_shard int, low long, high long")
-    last = Window.partitionBy("_path").orderBy(F.desc("_block"))
-    placed = blocks.withColumn("middle", F.sum("bytes").over(last) - F.col("bytes") / 2)
-    runs = placed.join(ways, "_path").where("middle >= low and middle < high").groupBy("_path", "new_shard").agg(F.min("_block").alias("first"), F.max("_block").alias("last"))
-    plan = written(runs.select(F.col("_path").alias("_from"), "new_shard", "first", "last"), "moves")
+    shards = spark.createDataFrame([(n, i) for i, n in enumerate(names)], f"{file} string, old_shard int")
+    ways = spark.createDataFrame([(names[m.donor], m.receiver, m.low, m.high) for m in moves], f"{file} string, new_shard int, low long, high long")
+    from_end = Window.partitionBy(file).orderBy(F.desc(block))
+    placed = blocks.withColumn("middle", F.sum("bytes").over(from_end) - F.col("bytes") / 2)
+    runs = placed.join(ways, file).where("middle >= low and middle < high").groupBy(file, "new_shard").agg(F.min(block).alias(first), F.max(block).alias(last))
+    plan = written(runs.select(F.col(file).alias(donor), "new_shard", first, last), "moves")
     if len(moves) <= BROADCAST_MOVES:
         plan, shards = F.broadcast(plan), F.broadcast(shards)
 
     out = shared_dir(spark, "shards")
-    goes = (F.col("_path") == F.col("_from")) & F.col("_block").between(F.col("first"), F.col("last"))
-    moving = at.join(plan, goes).join(shards, "_path").select(*kept, "old_shard", "new_shard")
+    goes = (F.col(file) == F.col(donor)) & F.col(block).between(F.col(first), F.col(last))
+    moving = at.join(plan, goes).join(shards, file).select(*kept, "old_shard", "new_shard")
     moving.repartition("new_shard").write.partitionBy("new_shard").parquet(f"{out}/moved")
     donors = {m.donor for m in moves}
     parts = [spark.read.parquet(f"{out}/moved").select(*kept, "old_shard", F.col("new_shard").cast("int").alias("new_shard"), F.lit(True).alias("moved"))] if moves else []
     if donors:
         own = [names[i] for i in sorted(donors)]
-        staying = spark.read.parquet(*own).select(*kept, F.col("_metadata.file_path").alias("_path"), F.floor(F.col("_metadata.row_index") / block_rows).alias("_block"))
-        staying = staying.join(plan, goes, "left_anti").join(shards, "_path").select(*kept, "old_shard")
+        staying = spark.read.parquet(*own)
+        staying = staying.select(*kept, *place(staying))
+        staying = staying.join(plan, goes, "left_anti").join(shards, file).select(*kept, "old_shard")
         staying.write.partitionBy("old_shard").parquet(f"{out}/kept")
         again = spark.read.schema(staying.schema).parquet(f"{out}/kept")
         parts.append(again.select(*kept, "old_shard", F.col("old_shard").alias("new_shard"), F.lit(False).alias("moved")))
     whole = [n for i, n in enumerate(names) if i not in donors]
     if whole:
-        same = spark.read.parquet(*whole).select(*kept, F.col("_metadata.file_path").alias("_path")).join(shards, "_path")
+        same = spark.read.parquet(*whole)
+        same = same.select(*kept, place(same)[0]).join(shards, file)
         parts.append(same.select(*kept, "old_shard", F.col("old_shard").alias("new_shard"), F.lit(False).alias("moved")))
     result = parts[0]
     for part in parts[1:]:
