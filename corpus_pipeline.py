@@ -22,8 +22,8 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies, that of the least id."""
-    return jaccard.one_of_each(docs)
+    """One row of each group of copies and near copies, that of the least id."""
+    return jaccard.one_of_each(docs, by_row=True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """``df`` written with a key of its own for every row, and the key's name, which is none of ``df``'s."""
+    names, key = {c.lower() for c in df.columns}, "_row"
+    while key in names:
+        key += "_"
+    return written(df.withColumn(key, F.monotonically_increasing_id()), what), key
+
+
 def with_columns(schema: T.StructType, added: list[tuple[str, T.DataType]]) -> T.StructType:
     """``schema`` with columns appended; an input column of an added name is replaced."""
     names = {n.lower() for n, _ in added}

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docquarry.llm import jaccard
 from docquarry.llm.jaccard import components, jaccard_join, one_of_each
@@ -123,3 +124,19 @@ def test_one_document_of_each_group_stays(spark, messy, empty, docs):
     groups = {r["doc_id"]: r["group_id"] for r in components(spark.createDataFrame(list(pairs), "doc_a long, doc_b long")).collect()}
     expected = sorted(r["doc_id"] for r in docs.collect() if groups.get(r["doc_id"], r["doc_id"]) == r["doc_id"])
     assert sorted(r["doc_id"] for r in one_of_each(docs).collect()) == expected
+
+
+def test_one_row_of_each_group_stays(spark, messy, empty, docs):
+    import corpus_pipeline
+
+    kept = corpus_pipeline.drop_near_copies(spark, messy.withColumn("_row", F.lit("own")), SF)
+    assert kept.columns == [*messy.columns, "_row"]
+    # of id 1 one of two equal rows, of id 7 the row that is no copy
+    rows = kept.collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted(["1", "2", "3", "4", "5", "6", "7", "None", "None"])
+    assert [r["text"] for r in rows if r["doc_id"] == 7] == ["another text under an id that is used twice, mail me at a.b@c.example.com"]
+    assert one_of_each(empty, by_row=True).count() == 0
+    # the least id stays wherever its row lies, and single ids fare as they do by id
+    turned = docs.orderBy(F.desc("doc_id"))
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    assert ids(one_of_each(turned, by_row=True)) == ids(one_of_each(docs))
