@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import documents_only
+from docquarry.llm.common import documents_only, keyed, written
 from docquarry.llm.tokens import U64, Words, grams, slices
 
 MIN_MATCH = 5
@@ -254,13 +254,22 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float, min_match: int)
     return work.mapInArrow(tile, _RESULT)
 
 
-def clean(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark passage; all columns as they were."""
+def clean(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH, by_row: bool = False) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark passage; all columns as they were.
+
+    A benchmark beyond ``BROADCAST_BYTES`` is joined by id: rows share the fate of the others under their id, and
+    rows of a null id stay.  With ``by_row``, every row is judged by its own text on either side of that size.
+    """
     items = _items(items)
     small = _small(items)
     if small is None:
-        found = contamination(docs, items.withColumn("item_id", F.monotonically_increasing_id()), coverage, min_match)
-        return docs.join(found.select(F.col("doc_id").alias("_found")).distinct(), docs["doc_id"] == F.col("_found"), "left_anti")
+        items, key = items.withColumn("item_id", F.monotonically_increasing_id()), "doc_id"
+        if by_row:
+            docs, key = keyed(docs, "rows")
+            items = written(items, "items")
+        found = contamination(docs.select(F.col(key).alias("doc_id"), "text"), items, coverage, min_match)
+        kept = docs.join(found.select(F.col("doc_id").alias("_found")).distinct(), docs[key] == F.col("_found"), "left_anti")
+        return kept.drop(key) if by_row else kept
     shared = docs.sparkSession.sparkContext.broadcast(Seeds.of(small["item_id"].to_pylist(), small["text"].combine_chunks(), min_match))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

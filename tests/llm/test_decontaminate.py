@@ -94,6 +94,20 @@ def test_a_large_benchmark_gives_the_same_by_joins(spark, monkeypatch):
     assert [x for x in kept if "the same id" not in x] == sorted(str(r) for r in clean(docs, items).where("doc_id is not null").collect())
 
 
+def test_pipeline_judges_rows_alike_on_either_side_of_the_limit(spark, monkeypatch):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([*cases(), (None, "no id and nothing of it"), (None, ITEM)], "doc_id long, text string").selectExpr("*", "1 as coverage", "'z' as _row")
+    items = spark.createDataFrame([(1, ITEM), (2, "too short"), (None, ITEM + " and more words than that")], "item_id long, text string")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: items)
+    small = corpus_pipeline.drop_contaminated(spark, docs, SF)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    large = corpus_pipeline.drop_contaminated(spark, docs, SF)
+    rows = sorted(map(repr, small.collect()))
+    assert large.columns == docs.columns and sorted(map(repr, large.collect())) == rows
+    assert len(rows) == 7 and sum("the same id" in r or "no id" in r for r in rows) == 2
+
+
 def test_empty_tables(spark, empty, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert contamination(empty, items).count() == 0
