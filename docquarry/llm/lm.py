@@ -1,9 +1,11 @@
 """Document log-likelihood by a gated recurrent language model in numpy.
 
-Vocabulary: the most frequent words of the whole corpus, counted over all documents.  The output softmax
-is factored by class, P(word) = P(class | state) P(word | class, state); any other word is the
-unknown word times its spelling under a byte bigram model, whose counts also come from all documents, so
-every text has a proper probability.
+Vocabulary: every word seen ``LEAST`` times or more, counted over all documents, V in all.  The output softmax
+is factored by class, P(word) = P(class | state) P(word | class, state), with about V^(1/3) classes of V^(1/3) of
+the most frequent words.  As many *tails* are classes of the rest, of equal mass by falling frequency: a tail is one
+symbol, as input and as target, and its words share it by their counts, P(word) = P(tail | state) P(word | tail).  A
+word seen less often is the unknown word times its spelling under a byte bigram model, whose counts also
+come from all documents, so every text has a proper probability.
 
 Training is truncated backpropagation through time over the whole corpus, once: the documents
 are split by id hash into ``ROUNDS`` rounds; in a round every task starts from the current weights,
@@ -30,8 +32,11 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import documents_only
 from docquarry.llm.tokens import WORD_BYTE, Words, slices
 
+#: At least; both grow with the vocabulary.
 CLASSES = 32
 CLASS_SIZE = 32
+#: A word of the vocabulary occurs so often.
+LEAST = 2
 HIDDEN = 16
 ROUNDS = 3
 STEPS = 16
@@ -46,7 +51,10 @@ SCORE_BYTES = 12 << 20
 
 @dataclass
 class Gru:
-    """Input weights by word, recurrent weights, and the two softmax layers."""
+    """Input weights by symbol, recurrent weights, and the two softmax layers.
+
+    Symbols are the words of the classes, then the tails, which are classes of the first layer alone.
+    """
 
     inputs: np.ndarray
     recurrent: np.ndarray
@@ -56,25 +64,27 @@ class Gru:
     word_bias: np.ndarray
 
     @staticmethod
-    def initial(classes: int = CLASSES, size: int = CLASS_SIZE, hidden: int = HIDDEN, seed: int = 11) -> Gru:
+    def initial(classes: int = CLASSES, size: int = CLASS_SIZE, hidden: int = HIDDEN, tails: int = 0, seed: int = 11) -> Gru:
         rng = np.random.default_rng(seed)
         draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         return Gru(
-            draw(classes * size, 3 * hidden), draw(hidden, 3 * hidden), draw(hidden, classes), np.zeros(classes, np.float32),
+            draw(classes * size + tails, 3 * hidden), draw(hidden, 3 * hidden), draw(hidden, classes + tails), np.zeros(classes + tails, np.float32),
             draw(classes, hidden, size), np.zeros((classes, size), np.float32),
         )
 
     @property
-    def shape(self) -> tuple[int, int, int]:
-        return self.word_weight.shape[0], self.word_weight.shape[2], self.recurrent.shape[0]
+    def shape(self) -> tuple[int, int, int, int]:
+        """Classes, words of a class, hidden units, tails."""
+        return self.word_weight.shape[0], self.word_weight.shape[2], self.recurrent.shape[0], len(self.class_bias) - self.word_weight.shape[0]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, f.name).reshape(-1) for f in fields(self)])
 
     @staticmethod
-    def of(values: np.ndarray, classes: int = CLASSES, size: int = CLASS_SIZE, hidden: int = HIDDEN) -> Gru:
+    def of(values: np.ndarray, classes: int = CLASSES, size: int = CLASS_SIZE, hidden: int = HIDDEN, tails: int = 0) -> Gru:
         """Views of one vector, in the order of the fields."""
-        shapes = ((classes * size, 3 * hidden), (hidden, 3 * hidden), (hidden, classes), (classes,), (classes, hidden, size), (classes, size))
+        kinds = classes + tails
+        shapes = ((classes * size + tails, 3 * hidden), (hidden, 3 * hidden), (hidden, kinds), (kinds,), (classes, hidden, size), (classes, size))
         values, at, parts = values.astype(np.float32, copy=False), 0, []
         for shape in shapes:
             n = int(np.prod(shape))
@@ -93,18 +103,17 @@ class Gru:
 
     def log_probability(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(target) given the states, row by row."""
-        kind, word = np.divmod(target, self.shape[1])
-        order, edge = _by_class(kind, self.shape[0])
+        kind, order, word, edge = _by_class(target, *self.shape)
         logits = h @ self.class_weight
         logits += self.class_bias
-        out = logits[np.arange(len(h)), kind] - np.log(_exp(logits) @ np.ones(self.shape[0], np.float32))
+        out = logits[np.arange(len(h)), kind] - np.log(_exp(logits) @ np.ones(len(self.class_bias), np.float32))
         mine = h[order]
-        logits = np.empty((len(h), self.shape[1]), np.float32)
+        logits = np.empty((len(mine), self.shape[1]), np.float32)
         for c in np.flatnonzero(np.diff(edge)):
             s = slice(edge[c], edge[c + 1])
             np.matmul(mine[s], self.word_weight[c], out=logits[s])
             logits[s] += self.word_bias[c]
-        inner = logits[np.arange(len(h)), word[order]]
+        inner = logits[np.arange(len(mine)), word]
         out[order] += inner - np.log(_exp(logits) @ np.ones(self.shape[1], np.float32))
         return out
 
@@ -115,9 +124,19 @@ def _exp(logits: np.ndarray) -> np.ndarray:
     return np.exp(logits, out=logits)
 
 
-def _by_class(kind: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(kind.astype(np.uint8 if classes <= 256 else np.int32), kind="stable")
-    return order, np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=classes))])
+def _by_class(symbol: np.ndarray, classes: int, size: int, hidden: int, tails: int) -> tuple[np.ndarray, ...]:
+    """Class or tail of each symbol; positions of words of classes in order of these, their places there, and the classes' edges."""
+    words = classes * size
+    kind = np.where(symbol < words, symbol // size, symbol - (words - classes))
+    order = np.argsort(_narrow(kind, classes + tails), kind="stable")
+    edge = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=classes + tails)[:classes])])
+    order = order[: edge[-1]]
+    return kind, order, symbol[order] % size, edge
+
+
+def _narrow(values: np.ndarray, below: int) -> np.ndarray:
+    """In few bytes, which sort fast."""
+    return values.astype(np.uint8 if below <= 1 << 8 else np.uint16 if below <= 1 << 16 else np.int32)
 
 
 def window_gradient(model: Gru, words: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[float, Gru, np.ndarray]:
@@ -127,7 +146,7 @@ def window_gradient(model: Gru, words: np.ndarray, targets: np.ndarray, fresh: n
     the state is zero.
     """
     steps, streams = words.shape
-    classes, size, hidden = model.shape
+    classes, size, hidden, tails = model.shape
     kind_of = model.recurrent.dtype
     live = (~fresh).astype(kind_of)[:, :, None]
     before, states, z, r, new, u = (np.empty((steps, streams, hidden), kind_of) for _ in range(6))
@@ -136,18 +155,17 @@ def window_gradient(model: Gru, words: np.ndarray, targets: np.ndarray, fresh: n
         h, z[t], r[t], new[t], u[t] = model.step(words[t], before[t])
         states[t] = h
     flat, rows = states.reshape(-1, hidden), np.arange(steps * streams)
-    kind, word = np.divmod(targets.reshape(-1), size)
+    kind, order, word, edge = _by_class(targets.reshape(-1), *model.shape)
     p = flat @ model.class_weight
     p += model.class_bias
     _exp(p)
-    p /= (p @ np.ones(classes, kind_of))[:, None]
+    p /= (p @ np.ones(classes + tails, kind_of))[:, None]
     loss = -float(np.log(p[rows, kind] + 1e-30).sum())
     p[rows, kind] -= 1
     d_state, d_class, d_class_bias = p @ model.class_weight.T, flat.T @ p, np.ones(len(p), kind_of) @ p
 
     # Tokens in order of their class: a class is a slice, and what is not a product is done for all at once.
-    order, edge = _by_class(kind, classes)
-    mine, word = flat[order], word[order]
+    mine, rows = flat[order], rows[: len(order)]
     used = np.flatnonzero(np.diff(edge))
     parts = [slice(edge[c], edge[c + 1]) for c in used]
     q = np.empty((len(mine), size), kind_of)
@@ -163,7 +181,8 @@ def window_gradient(model: Gru, words: np.ndarray, targets: np.ndarray, fresh: n
     for c, s in zip(used, parts, strict=True):
         np.matmul(mine[s].T, q[s], out=d_word[c])
         np.matmul(q[s], model.word_weight[c].T, out=back[s])
-    d_word_bias[used] = np.add.reduceat(q, edge[used], axis=0)
+    if len(used):
+        d_word_bias[used] = np.add.reduceat(q, edge[used], axis=0)
     d_state[order] += back
     d_state = d_state.reshape(steps, streams, hidden)
 
@@ -183,7 +202,7 @@ def window_gradient(model: Gru, words: np.ndarray, targets: np.ndarray, fresh: n
     d_recurrent = before.reshape(-1, hidden).T @ d_u.reshape(-1, 3 * hidden)
     d_inputs = np.zeros_like(model.inputs)
     seen = words.reshape(-1)
-    order = np.argsort(seen.astype(np.int16), kind="stable")
+    order = np.argsort(_narrow(seen, len(model.inputs)), kind="stable")
     sorted_seen = seen[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_seen[1:] != sorted_seen[:-1]]))
     d_inputs[sorted_seen[first]] = np.add.reduceat(d_input.reshape(-1, 3 * hidden)[order], first, axis=0)
@@ -227,17 +246,37 @@ class Trainer:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Word hashes in order with their ids, and log probabilities of byte pairs (index 256: a word's edge)."""
+    """Word hashes in order with their symbols and log P(word | symbol), log probabilities of byte pairs (index 256: a
+    word's edge), how often each symbol occurs, and the classes, words of a class and tails of the model."""
 
     hashes: np.ndarray
     ids: np.ndarray
+    within: np.ndarray
     spelling: np.ndarray
+    counts: np.ndarray
+    shape: tuple[int, int, int]
 
     def encode(self, words: Words) -> np.ndarray:
+        return self.look_up(words)[0]
+
+    def look_up(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols, and log P(word | symbol), which is 0 for the unknown word."""
         if len(self.hashes) == 0:
-            return np.full(len(words.hashes), UNKNOWN, np.int16)
+            return np.full(len(words.hashes), UNKNOWN, np.int32), np.zeros(len(words.hashes), np.float32)
         at = np.minimum(np.searchsorted(self.hashes, words.hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words.hashes, self.ids[at], UNKNOWN).astype(np.int16)
+        hit = self.hashes[at] == words.hashes
+        return np.where(hit, self.ids[at], np.int32(UNKNOWN)), np.where(hit, self.within[at], np.float32(0))
+
+    def initial(self) -> Gru:
+        """A model whose biases are the counts'."""
+        classes, size, tails = self.shape
+        model = Gru.initial(classes, size, tails=tails)
+        n = self.counts + 0.5
+        inner = n[: classes * size].reshape(classes, size)
+        total = np.concatenate([inner.sum(1), n[classes * size :]])
+        model.class_bias[:] = np.log(total / total.mean())
+        model.word_bias[:] = np.log(inner / inner.mean(1, keepdims=True))
+        return model
 
     def spelled(self, words: Words, unknown: np.ndarray) -> np.ndarray:
         """log P(spelling) of the chosen words."""
@@ -282,9 +321,9 @@ def pair_counts(words: Words) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts and byte-pair counts of a partition."""
+    """Word counts, byte-pair counts and the number of texts of a partition."""
     hashes, numbers, held = [], [], 0
-    pairs = np.zeros(257 * 257, np.int64)
+    pairs, texts = np.zeros(257 * 257, np.int64), 0
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
         unique, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -294,6 +333,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(n)], names=["kind", "key", "n"])
 
     for batch in batches:
+        texts += batch.num_rows
         for a, b in slices(batch.column("text")):
             words = Words(batch.column("text").slice(a, b - a))
             unique, n = np.unique(words.hashes, return_counts=True)
@@ -311,20 +351,37 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(0, *merged())
     at = np.flatnonzero(pairs)
     yield rows(1, at, pairs[at])
+    yield rows(2, np.zeros(1, np.int64), np.array([texts]))
 
 
-def vocabulary(docs: DataFrame, size: int = CLASSES * CLASS_SIZE) -> Vocabulary:
-    """From counts over all documents; the driver receives the ``size`` most frequent words and 257^2 pairs at most."""
+def vocabulary(docs: DataFrame, size: int | None = CLASSES * CLASS_SIZE) -> Vocabulary:
+    """From counts over all documents: the ``size`` most frequent words, marks included, or, if it is None, every word seen
+    ``LEAST`` times.  The driver receives these words and 257^2 pairs at most."""
     counts = docs.select("text").where("text is not null").mapInArrow(_counts, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    top = counts.where("kind = 0").orderBy(F.desc("n"), "key").limit(size - FIRST)
-    got = top.unionByName(counts.where("kind = 1")).toArrow()
+    if size is None:
+        got = counts.where(f"kind <> 0 or n >= {LEAST}").toArrow()
+    else:
+        got = counts.where("kind = 0").orderBy(F.desc("n"), "key").limit(size - FIRST).unionByName(counts.where("kind <> 0")).toArrow()
     kind, key, n = (got[c].to_numpy() for c in ("kind", "key", "n"))
-    words = key[kind == 0][np.lexsort((key[kind == 0], -n[kind == 0]))].astype(np.uint64)
-    order = np.argsort(words)
-    pairs = np.full(257 * 257, 0.01)
+    falling = np.lexsort((key[kind == 0], -n[kind == 0]))
+    words, often = key[kind == 0][falling].astype(np.uint64), n[kind == 0][falling]
+    pairs = np.zeros(257 * 257)
     pairs[key[kind == 1]] += n[kind == 1]
-    pairs = pairs.reshape(257, 257)
-    return Vocabulary(words[order], (np.arange(len(words)) + FIRST)[order], np.log(pairs / pairs.sum(1, keepdims=True)))
+    side = CLASS_SIZE if size is not None else max(CLASS_SIZE, int(np.ceil(len(words) ** (1 / 3))))
+    classes = CLASSES if size is not None else side
+    head = classes * side - FIRST
+    ids, within, rest = np.arange(len(words), dtype=np.int32) + np.int32(FIRST), np.zeros(len(words), np.float32), often[head:]
+    tails = side if len(rest) else 0
+    if tails:
+        tail = np.minimum((np.cumsum(rest) - rest) * tails // rest.sum(), tails - 1)
+        ids[head:] = tail + classes * side
+        within[head:] = np.log(rest / np.bincount(tail, rest, tails)[tail])
+    symbols = np.bincount(ids, often, classes * side + tails)
+    symbols[END] = n[kind == 2].sum()
+    symbols[UNKNOWN] = pairs[256 * 257 :].sum() - often.sum()  # each word has one first byte
+    pairs = pairs.reshape(257, 257) + 0.01
+    order = np.argsort(words)
+    return Vocabulary(words[order], ids[order], within[order], np.log(pairs / pairs.sum(1, keepdims=True)), symbols, (classes, side, tails))
 
 
 def _with_ends(ids: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -335,15 +392,16 @@ def _with_ends(ids: np.ndarray, row: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, rate: float = RATE) -> Gru:
     """One pass over all documents, in rounds of local training and averaging."""
     context = docs.sparkSession.sparkContext
-    model = Gru.initial()
+    model = words.initial()
+    shape = model.shape
     shared_words = context.broadcast(words)
     docs = docs.where("text is not null")
     for turn in range(rounds):
         start = context.broadcast(model.flat())
 
         def task(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(Gru.of(start.value), rate / (1 + turn))
-            held, n = [np.zeros(1, np.int16)], 1
+            trainer = Trainer(Gru.of(start.value, *shape), rate / (1 + turn))
+            held, n = [np.zeros(1, np.int32)], 1
             for batch in batches:
                 for a, b in slices(batch.column("text")):
                     got = Words(batch.column("text").slice(a, b - a))
@@ -351,36 +409,36 @@ def fit(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, rate: float =
                     n += len(held[-1])
                     if n >= CHUNK_TOKENS:
                         trainer.train(np.concatenate(held))
-                        held, n = [np.zeros(1, np.int16)], 1
+                        held, n = [np.zeros(1, np.int32)], 1
             if n > 1:
                 trainer.train(np.concatenate(held))
             if trainer.tokens:
-                values = (trainer.values * np.float64(trainer.tokens)).astype(np.float64)
+                values = trainer.values
                 at = list(range(0, len(values), PIECE))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(at, pa.int32()), pa.array([float(trainer.tokens)] * len(at)), pa.array([values[i : i + PIECE].tobytes() for i in at], pa.binary())],
-                    names=["piece", "tokens", "total"],
+                    names=["piece", "tokens", "mean"],
                 )
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list] = {}
             for batch in batches:
-                for piece, tokens, total in zip(*(batch.column(c).to_pylist() for c in ("piece", "tokens", "total")), strict=True):
+                for piece, tokens, mean in zip(*(batch.column(c).to_pylist() for c in ("piece", "tokens", "mean")), strict=True):
                     own = sums.setdefault(piece, [0.0, 0.0])
                     own[0] += tokens
-                    own[1] = own[1] + np.frombuffer(total, np.float64)
+                    own[1] = own[1] + tokens * np.frombuffer(mean, np.float32).astype(np.float64)
             if sums:
-                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s[0] for s in sums.values()]), pa.array([s[1].tobytes() for s in sums.values()], pa.binary())], names=["piece", "tokens", "total"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s[0] for s in sums.values()]), pa.array([(s[1] / s[0]).astype(np.float32).tobytes() for s in sums.values()], pa.binary())], names=["piece", "tokens", "mean"])
 
-        schema = "piece int, tokens double, total binary"
+        schema = "piece int, tokens double, mean binary"
         mine = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == turn).select("text")
         got = mine.mapInArrow(task, schema).repartition("piece").mapInArrow(add, schema).collect()
         if got:
-            values = model.flat().astype(np.float64)
+            values = model.flat()
             for r in got:
-                part = np.frombuffer(r["total"], np.float64) / r["tokens"]
+                part = np.frombuffer(r["mean"], np.float32)
                 values[r["piece"] : r["piece"] + len(part)] = part
-            model = Gru.of(values)
+            model = Gru.of(values, *shape)
         start.unpersist()
     return model
 
@@ -389,7 +447,7 @@ def document_scores(model: Gru, documents: list[np.ndarray]) -> np.ndarray:
     """Sum of log P of each document's ids and its end mark; the state runs through the whole document."""
     order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
     lengths = np.array([len(documents[i]) + 1 for i in order])
-    flat = np.concatenate([documents[i] for i in order]) if documents else np.zeros(0, np.int16)
+    flat = np.concatenate([documents[i] for i in order]) if documents else np.zeros(0, np.int32)
     base = np.concatenate([[0], np.cumsum(lengths - 1)])
     total = np.zeros(len(order))
     h = np.zeros((len(order), model.shape[2]), np.float32)
@@ -419,10 +477,10 @@ def document_scores(model: Gru, documents: list[np.ndarray]) -> np.ndarray:
 def score(docs: DataFrame, model: Gru, words: Vocabulary) -> DataFrame:
     """``(doc_id, n_words, log_likelihood, per_word)``, natural logarithms."""
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast((model.flat(), words))
+    shared, shape = context.broadcast((model.flat(), words)), model.shape
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, vocab = Gru.of(shared.value[0]), shared.value[1]
+        own, vocab = Gru.of(shared.value[0], *shape), shared.value[1]
         ids: list = []
         documents: list[np.ndarray] = []
         spelled: list[np.ndarray] = []
@@ -442,10 +500,10 @@ def score(docs: DataFrame, model: Gru, words: Vocabulary) -> DataFrame:
             for a, b in slices(batch.column("text")):
                 texts = batch.column("text").slice(a, b - a)
                 got = Words(texts)
-                code = vocab.encode(got)
+                code, within = vocab.look_up(got)
                 unknown = np.flatnonzero(code == UNKNOWN)
-                row = np.searchsorted(got.row, unknown, "right") - 1
-                spelled.append(np.bincount(row, weights=vocab.spelled(got, unknown), minlength=b - a))
+                within[unknown] = vocab.spelled(got, unknown)
+                spelled.append(np.bincount(np.repeat(np.arange(b - a), np.diff(got.row)), weights=within, minlength=b - a))
                 known.append(texts.is_valid().to_numpy(zero_copy_only=False))
                 ids += batch.column("doc_id").slice(a, b - a).to_pylist()
                 documents += np.split(code, got.row[1:-1])
@@ -462,5 +520,5 @@ def score(docs: DataFrame, model: Gru, words: Vocabulary) -> DataFrame:
 def log_likelihood(docs: DataFrame) -> DataFrame:
     """Train on all documents and score all documents."""
     docs = documents_only(docs)
-    words = vocabulary(docs)
+    words = vocabulary(docs, None)
     return score(docs, fit(docs, words), words)

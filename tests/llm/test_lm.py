@@ -49,6 +49,52 @@ def test_batched_scores_against_one_word_at_a_time():
     assert np.allclose(lm.document_scores(model, documents), [slowly(d) for d in documents], rtol=1e-4)
 
 
+def test_gradient_and_sum_with_tails():
+    rng = np.random.default_rng(6)
+    model = doubled(lm.Gru.initial(3, 4, 5, tails=6))
+    words, targets = rng.integers(0, 18, (7, 3)), rng.integers(0, 18, (7, 3))
+    fresh, h = words == lm.END, rng.normal(size=(3, 5))
+    loss = lambda: lm.window_gradient(model, words, targets, fresh, h)[0]
+    _, slope, _ = lm.window_gradient(model, words, targets, fresh, h)
+    for f in fields(model):
+        values, got = getattr(model, f.name).reshape(-1), getattr(slope, f.name).reshape(-1)
+        for i in rng.choice(len(values), 6, replace=False):
+            kept = values[i]
+            values[i] = kept + 1e-5
+            up = loss()
+            values[i] = kept - 1e-5
+            assert np.isclose(got[i], (up - loss()) / 2e-5, atol=1e-5)
+            values[i] = kept
+    one = h[:1].astype(np.float32)
+    assert np.isclose(np.exp(lm.Gru.initial(3, 4, 5, tails=6).log_probability(np.repeat(one, 18, 0), np.arange(18))).sum(), 1, atol=1e-5)
+
+
+def test_vocabulary_grows_with_the_corpus(spark, docs):
+    plain = lm.documents_only(docs)
+    words, most = lm.vocabulary(plain, None), lm.vocabulary(plain)
+    seen = Words(pa.array([r["text"] for r in plain.collect()]))
+    distinct, n = np.unique(seen.hashes, return_counts=True)
+    assert (words.hashes == distinct[n >= lm.LEAST]).all() and len(words.hashes) > 5 * len(most.hashes)
+    code, within = words.look_up(seen)
+    assert (code == lm.UNKNOWN).mean() < 0.2 < 0.4 < (most.encode(seen) == lm.UNKNOWN).mean()
+    assert (np.bincount(code, minlength=len(words.counts))[lm.UNKNOWN :] == words.counts[lm.UNKNOWN :]).all()
+    # words of a tail share it in proportion to their counts, and the model is of the vocabulary's size
+    shared = words.ids >= words.shape[0] * words.shape[1]
+    sums = np.bincount(words.ids[shared], np.exp(words.within[shared].astype(np.float64)))
+    assert np.allclose(sums[sums > 0], 1, atol=1e-4) and not words.within[~shared].any()
+    assert lm.fit(plain, words).shape == (*words.shape[:2], lm.HIDDEN, words.shape[2])
+
+
+def test_query_scores_words_beyond_the_first_thousand_by_their_counts(spark):
+    rng = np.random.default_rng(9)
+    common = [f"c{i}" for i in range(1100)]
+    texts = [" ".join(common) for _ in range(9)] + [" ".join(["qzxj"] * 1 + list(rng.choice(common, 30))) for _ in range(8)]
+    rows = [(i, t) for i, t in enumerate([*texts, "qzxj", "jxzq"])]
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm.log_likelihood(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # seen nine times and in a tail, against a word of the same letters seen once and spelled
+    assert lm.vocabulary(spark.createDataFrame(rows, "doc_id long, text string"), None).shape[2] and got[17] > got[18] + 5
+
+
 def test_byte_pairs_have_two_ways():
     words = Words(pa.array(["one äb", "", "x y"]))
     assert (np.bincount(lm.byte_pairs(words), minlength=257 * 257) == lm.pair_counts(words)).all()
