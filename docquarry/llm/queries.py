@@ -19,7 +19,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents whose word 3-grams have Jaccard 0.5 or more."""
+    """Every document with its class of documents linked by Jaccard 0.5 or more of their word 3-grams, and its links."""
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 

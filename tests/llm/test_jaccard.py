@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -19,81 +20,134 @@ def gram_set(text, n=3):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def brute(rows, threshold=0.5):
-    """All pairs by definition, copies by way of their least id."""
-    sets, rep, out = {}, {}, {}
-    for d, text in rows:
-        if d is not None and gram_set(text):
-            sets.setdefault(gram_set(text), set()).add(d)
-    for s, ids in sets.items():
-        rep[s] = min(ids)
-        out |= {(rep[s], d): 1.0 for d in ids if d != rep[s]}
-    for a, b in itertools.combinations(sets, 2):
-        j = len(a & b) / len(a | b)
-        x, y = sorted((rep[a], rep[b]))
-        if j >= threshold and x != y:
-            out[x, y] = max(j, out.get((x, y), 0))
+def linked(sets, threshold=0.5):
+    """Pairs of different sets by definition."""
+    out, holders = set(), {}
+    for i, s in enumerate(sets):
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    for i, a in enumerate(sets):
+        for j, n in Counter(j for g in a for j in holders[g] if j > i).items():
+            if n / (len(a) + len(sets[j]) - n) >= threshold:
+                out.add((i, j))
     return out
 
 
+def brute(rows, threshold=0.5):
+    """(doc_id, class_id, n_copies, n_links) of every row with an id, by definition."""
+    rows = [(d, gram_set(t) or frozenset([("none", i)])) for i, (d, t) in enumerate(rows) if d is not None]
+    sets = list(dict.fromkeys(s for _, s in rows))
+    pairs, label = linked(sets, threshold), list(range(len(sets)))
+    for _ in sets:
+        before = list(label)
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    place = {s: i for i, s in enumerate(sets)}
+    least = {}
+    for d, s in rows:
+        c = label[place[s]]
+        least[c] = min(d, least.get(c, d))
+    degree, copies = Counter(x for p in pairs for x in p), Counter(s for _, s in rows)
+    return sorted((d, least[label[place[s]]], copies[s], degree[place[s]]) for d, s in rows)
+
+
 def found(df):
-    return {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in df.collect()}
+    return sorted(tuple(r) for r in df.select("doc_id", "class_id", "n_copies", "n_links").collect())
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
 
 
 def test_query_against_brute_force(spark, docs):
     from docquarry.llm.queries import op2_jaccard
 
     expected = brute([tuple(r) for r in docs.select("doc_id", "text").collect()])
-    assert found(op2_jaccard(spark, SF)) == pytest.approx(expected) and expected
+    assert found(op2_jaccard(spark, SF)) == expected and any(r[3] for r in expected) and any(r[2] > 1 for r in expected)
 
 
-def test_messy_documents(messy):
+def test_messy_documents(messy, empty):
     rows = [tuple(r) for r in messy.select("doc_id", "text").collect()]
-    assert found(jaccard_join(messy)) == brute(rows) == {(1, 7): 1.0}
+    got = found(jaccard_join(messy))
+    assert got == brute(rows)
+    assert [r for r in got if r[0] in (1, 7)] == [(1, 1, 3, 0), (1, 1, 3, 0), (7, 1, 3, 0), (7, 7, 1, 0)]
+    assert jaccard_join(empty).count() == 0
 
 
-def near_copies(seed, groups, size, change):
+def near_copies(seed, groups, size, change, lengths=(5, 30, 120, 400)):
     rng = random.Random(seed)
     rows, at = [], 0
     for _ in range(groups):
-        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([5, 30, 120, 400]))]
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice(lengths))]
         for _ in range(rng.randint(1, size)):
             rows.append((at, " ".join(w if rng.random() > change else f"n{rng.randrange(9999)}" for w in base)))
             at += 1
     return rows
 
 
-def test_recall_and_no_false_pair(spark):
+def test_recall_and_no_false_link(spark):
     rows = near_copies(5, 60, 9, 0.07)
+    expected, got = brute(rows), found(jaccard_join(frame(spark, rows)))
+    assert all(g[3] <= e[3] for g, e in zip(got, expected, strict=True))
+    assert sum(g[3] for g in got) >= 0.99 * sum(e[3] for e in expected)
+
+
+def test_small_sets_lose_no_link(spark):
+    """Sets of 1 to 6 grams, many of them at the threshold."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(14)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 8)))) for i in range(1500)]
+    for i in range(1500, 3000):
+        text = rows[i - 1500][1].split()
+        text[rng.randrange(len(text))] = rng.choice(words)
+        rows.append((i, " ".join(text)))
     expected = brute(rows)
-    got = found(jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")))
-    assert set(got) <= set(expected) and len(got) >= 0.99 * len(expected)
-    assert all(got[p] == pytest.approx(expected[p]) for p in got)
+    assert found(jaccard_join(frame(spark, rows))) == expected and sum(r[3] for r in expected) > 500
+
 
+@pytest.mark.parametrize("tile", [4096, 20])
+def test_one_large_group_goes_through_trees_and_tiles(spark, monkeypatch, tile):
+    """Near copies of one text, and short texts that share a gram, in one tile or many."""
+    monkeypatch.setattr(jaccard, "TILE_NODES", tile)
+    rows = near_copies(6, 1, 1, 0.0, (120,)) * 150
+    rng = random.Random(9)
+    rows = [(i, " ".join(w if rng.random() > 0.02 else f"n{rng.randrange(9999)}" for w in t.split())) for i, (_, t) in enumerate(rows)]
+    rows += [(1000 + i, f"once upon a time {' '.join(str(rng.randrange(6)) for _ in range(rng.randint(1, 5)))}") for i in range(120)]
+    expected, got = brute(rows), found(jaccard_join(frame(spark, rows)))
+    assert got == expected and max(r[3] for r in expected) > 100
 
-def test_one_large_group_goes_through_the_tree_and_groups_stay_the_same(spark, monkeypatch):
-    rows = near_copies(6, 1, 150, 0.03)
-    while len(rows) < 100:
-        rows = near_copies(len(rows) + 7, 1, 200, 0.03)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(jaccard, "PAIRS_A_ROW", 700)
-    every, spanning = found(jaccard_join(df)), found(jaccard_join(df, spanning=True))
-    assert set(every) == set(brute(rows)) and len(spanning) < len(every) / 3
-    groups = lambda pairs: sorted(map(tuple, components(spark.createDataFrame([(a, b) for a, b in pairs], "doc_a long, doc_b long")).collect()))
-    assert groups(every) == groups(spanning)
+
+def test_sets_beyond_the_matrix_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MATRIX_BYTES", 0)
+    rows = near_copies(3, 1, 1, 0.0, (80,)) * 40
+    rng = random.Random(2)
+    rows = [(i, " ".join(w if rng.random() > 0.03 else f"n{rng.randrange(9999)}" for w in t.split())) for i, (_, t) in enumerate(rows)]
+    assert found(jaccard_join(frame(spark, rows))) == brute(rows)
 
 
 def test_tree_keeps_every_pair_that_the_bound_keeps():
     rng = np.random.default_rng(3)
-    for n in (1, 2, 17, 300):
+
+    def points(n):
         counts = rng.poisson(rng.choice([0.5, 3.0], (n, 1)), (n, 8)).astype(np.uint16)
-        sizes = np.maximum(1, counts.sum(1)).astype(np.int32)
-        a, b = CountRTree(counts, sizes).self_join(0.6)
-        got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
-        assert len(got) == len(a)
+        return counts, np.maximum(1, counts.sum(1)).astype(np.int32)
+
+    def passes(x, y, i, j):
+        return pair_passes(x[0][i], y[0][j], x[1][i], y[1][j], 0.6) & (np.minimum(x[1][i], y[1][j]) >= 0.6 * np.maximum(x[1][i], y[1][j]))
+
+    for n, m in ((1, 1), (2, 40), (17, 3), (300, 5), (300, 700)):
+        x, y = points(n), points(m)
+        got = {tuple(sorted(p)) for a, b in CountRTree(*x).join(None, 0.6) for p in zip(a.tolist(), b.tolist(), strict=True)}
         i, j = np.triu_indices(n, 1)
-        ok = pair_passes(counts[i], counts[j], sizes[i], sizes[j], 0.6) & (np.minimum(sizes[i], sizes[j]) >= 0.6 * np.maximum(sizes[i], sizes[j]))
-        assert got == set(zip(i[ok].tolist(), j[ok].tolist(), strict=True))
+        ok = passes(x, x, i, j)
+        assert set(zip(i[ok].tolist(), j[ok].tolist(), strict=True)) <= got
+        across = [p for a, b in CountRTree(*x).join(CountRTree(*y), 0.6) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(across) == len(set(across))
+        i, j = (v.reshape(-1) for v in np.indices((n, m)))
+        ok = passes(x, y, i, j)
+        assert set(zip(i[ok].tolist(), j[ok].tolist(), strict=True)) <= set(across)
 
 
 def test_components(spark):
@@ -109,24 +163,12 @@ def test_components(spark):
         if a != b:
             x, y = sorted((root(a), root(b)))
             parent[y] = x
-    got = {r["doc_id"]: r["group_id"] for r in components(spark.createDataFrame(edges, "doc_a long, doc_b long")).collect()}
+    got = {r["node"]: r["group"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: root(x) for x in parent}
-    assert components(spark.createDataFrame([], "doc_a long, doc_b long")).count() == 0
-
-
-def test_one_document_of_each_group_stays(spark, messy, empty, docs):
-    kept = one_of_each(messy)
-    assert kept.columns == messy.columns
-    # ids are kept or dropped: 7 is a copy of 1
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "1", "2", "3", "4", "5", "6", "None", "None"])
-    assert one_of_each(empty).count() == 0 and jaccard_join(empty).count() == 0
-    pairs = brute([tuple(r) for r in docs.select("doc_id", "text").collect()])
-    groups = {r["doc_id"]: r["group_id"] for r in components(spark.createDataFrame(list(pairs), "doc_a long, doc_b long")).collect()}
-    expected = sorted(r["doc_id"] for r in docs.collect() if groups.get(r["doc_id"], r["doc_id"]) == r["doc_id"])
-    assert sorted(r["doc_id"] for r in one_of_each(docs).collect()) == expected
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_one_row_of_each_group_stays(spark, messy, empty, docs):
+def test_one_row_of_each_class_stays(spark, messy, empty, docs):
     import corpus_pipeline
 
     kept = corpus_pipeline.drop_near_copies(spark, messy.withColumn("_row", F.lit("own")), SF)
@@ -135,8 +177,8 @@ def test_one_row_of_each_group_stays(spark, messy, empty, docs):
     rows = kept.collect()
     assert sorted(str(r["doc_id"]) for r in rows) == sorted(["1", "2", "3", "4", "5", "6", "7", "None", "None"])
     assert [r["text"] for r in rows if r["doc_id"] == 7] == ["another text under an id that is used twice, mail me at a.b@c.example.com"]
-    assert one_of_each(empty, by_row=True).count() == 0
-    # the least id stays wherever its row lies, and single ids fare as they do by id
-    turned = docs.orderBy(F.desc("doc_id"))
-    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
-    assert ids(one_of_each(turned, by_row=True)) == ids(one_of_each(docs))
+    assert one_of_each(empty).count() == 0
+    # the least id stays wherever its row lies
+    classes = brute([tuple(r) for r in docs.select("doc_id", "text").collect()])
+    turned = one_of_each(docs.orderBy(F.desc("doc_id")))
+    assert sorted(r["doc_id"] for r in turned.collect()) == [d for d, c, _, _ in classes if c == d]
