@@ -2,13 +2,17 @@
 
 A vector is cut into segments; with mean m and deviation s of each, a segment of length L contributes at least
 ``L * ((m - m')^2 + (s - s')^2)`` to a squared distance, because a segment's distance is that of the means plus that of
-the centred parts.  Finer segments give tighter bounds.  Every row is a query: pairs are bounded with one segment, then four,
-then sixteen, those that could still enter a query's k nearest go on, and survivors get their exact distance.
-
-Rows are grouped into blocks by medians of coarse statistics, so near rows share a block.  Each
-block first finds its own k nearest, which gives every block a radius; the boxes of the blocks' finest statistics
-then say which blocks can hold nearer rows, and only those pairs of blocks are shuffled, nearest first.
-The search is exact whatever the blocks; they only decide how much is skipped.
+the centred parts.  Finer segments give tighter bounds.  Queries are the rows whose id is divisible by ``every``, searched
+for among all rows: pairs are bounded with one segment, then four, then sixteen, those that could still enter a query's
+k nearest go on, and survivors get their exact distance.
+
+Rows are grouped into cells by medians of coarse statistics, so near rows share a cell, and cells are cut into blocks
+of about ``block_rows``.  A query first searches its own block, which gives it a radius; the boxes of the cells' finest
+statistics, of which there are ``2 ** SPLITS`` at most for a length, then say which cells can hold nearer rows, and the
+query alone travels to the blocks of these.  A block is held by one task and its queries stream past it, so every
+vector is shuffled once for the search whatever the number of queries.  The search is exact whatever the
+blocks; they only decide how much is skipped.  Where no box excludes a cell, as for vectors without any structure, each
+query meets each block, and the segment statistics are the only saving.
 
 Defined cases: rows with a null id or vector, or a null, NaN or infinite element, are left out; only vectors of one
 length are compared; repeated ids are one query each and not their own neighbours by row, so copies are found at distance
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,9 +33,14 @@ from docquarry.llm.common import written
 
 TOP = 10
 LEVELS = (1, 4, 16)
-BLOCK_ROWS = 2048
+#: Queries are the rows whose id it divides.
+EVERY = 100
+#: Rows of a block, at least and at most; between, a 64th of all.
+BLOCK_ROWS = (2048, 32768)
 #: Halvings of coarse coordinates at most; a cell that stays larger than a block is cut by row.
 SPLITS = 12
+#: Boxes broadcast at most (8 MB); vectors of very many lengths have more, which are joined by shuffle.
+BROADCAST_BOXES = 16384
 #: Queries bounded at once; a matrix of them and a block stays in cache.
 QUERY_ROWS = 256
 #: Share of pairs left above which a matrix product is cheaper than single pairs.
@@ -71,19 +80,22 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Nearest:
     """The k nearest so far of a block of queries; ties by id."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, k: int, limit: np.ndarray | None = None):
+        """``limit``: what the squared distance of the k-th is known not to exceed."""
         self.ids, self.rows, self.vectors, self.k = ids, rows, vectors, k
+        self.limit = np.full(len(ids), np.inf) if limit is None else limit * (1 + 1e-12)
         self.levels = [statistics(vectors, s) for s in LEVELS]
         self.distance = np.full((len(ids), k), np.inf)
         self.neighbour = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.neighbour_row = np.full((len(ids), k), np.iinfo(np.int64).max)
 
     @property
     def radius(self) -> np.ndarray:
-        return self.distance[:, -1]
+        return np.minimum(self.distance[:, -1], self.limit)
 
-    def add(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray) -> int:
-        """Search a block of data; returns how many exact distances that took."""
-        levels = [statistics(vectors, s) for s in LEVELS]
+    def add(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, levels: list[np.ndarray] | None = None) -> int:
+        """Search a block of data, whose statistics may be given; returns how many exact distances that took."""
+        levels = levels or [statistics(vectors, s) for s in LEVELS]
         low, high = levels[-1].min(0), levels[-1].max(0)
         gap = np.maximum(low - self.levels[-1], 0) + np.maximum(self.levels[-1] - high, 0)
         reach = np.flatnonzero((gap * gap).sum(1) * (1 - _SLACK) <= self.radius)  # queries that the block's box lets in
@@ -123,7 +135,7 @@ class Nearest:
         q, d = own[q[keep]], d[keep]
         for at in range(0, len(q), 1 << 16):
             s = slice(at, at + (1 << 16))
-            self._merge(q[s], ids[d[s]], self.vectors[q[s]] - vectors[d[s]])
+            self._merge(q[s], ids[d[s]], rows[d[s]], self.vectors[q[s]] - vectors[d[s]])
         return len(q)
 
     @staticmethod
@@ -131,20 +143,21 @@ class Nearest:
         """More than the error of ``distances``, for each row of ``a``."""
         return 1e-12 * ((a * a).sum(1) + (b * b).sum(1).max(initial=0.0)) + 1e-300
 
-    def _merge(self, q: np.ndarray, ids: np.ndarray, gap: np.ndarray) -> None:
+    def _merge(self, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, gap: np.ndarray) -> None:
         distance = np.einsum("ij,ij->i", gap, gap)
         keep = distance <= self.radius[q]
-        q, ids, distance = q[keep], ids[keep], distance[keep]
+        q, ids, rows, distance = q[keep], ids[keep], rows[keep], distance[keep]
         if len(q) == 0:
             return
         touched, where = np.unique(q, return_inverse=True)
         owner = np.concatenate([where, np.repeat(np.arange(len(touched)), self.k)])
         all_d = np.concatenate([distance, self.distance[touched].reshape(-1)])
         all_n = np.concatenate([ids, self.neighbour[touched].reshape(-1)])
-        order = np.lexsort((all_n, all_d, owner))
+        all_r = np.concatenate([rows, self.neighbour_row[touched].reshape(-1)])
+        order = np.lexsort((all_r, all_n, all_d, owner))
         first = np.searchsorted(owner[order], np.arange(len(touched)))
         best = order[(first[:, None] + np.arange(self.k)).reshape(-1)].reshape(len(touched), self.k)
-        self.distance[touched], self.neighbour[touched] = all_d[best], all_n[best]
+        self.distance[touched], self.neighbour[touched], self.neighbour_row[touched] = all_d[best], all_n[best], all_r[best]
 
 
 def _vectors(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
@@ -154,8 +167,8 @@ def _vectors(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
     return flat.reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
 
 
-def _blocked(vectors: DataFrame, id_col: str, vector_col: str, block_rows: int) -> DataFrame:
-    """``(vec_id, row, vector, block)``: sound vectors in blocks of about ``block_rows``."""
+def _blocked(vectors: DataFrame, id_col: str, vector_col: str, block_rows: int | None) -> tuple[DataFrame, DataFrame]:
+    """``(vec_id, row, vector, length, cell, block)``: sound vectors in blocks; and ``(length, cell, shards, base)``: the blocks of each cell."""
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     single = isinstance(vectors.schema[vector_col].dataType, T.ArrayType) and isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
     kind = "array<float>" if single else "array<double>"  # single precision stays so in shuffles; all sums are double
@@ -163,6 +176,7 @@ def _blocked(vectors: DataFrame, id_col: str, vector_col: str, block_rows: int)
     rows = written(rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & sound).withColumn("row", F.monotonically_increasing_id()), "vectors")
     lengths = rows.groupBy(F.size("vector").alias("length")).count().collect()
     n = sum(r["count"] for r in lengths)
+    block_rows = block_rows or min(max(n // 64, BLOCK_ROWS[0]), BLOCK_ROWS[1])
     depth = min(SPLITS, max(0, int(np.ceil(np.log2(max(1, n / block_rows))))))
 
     def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,96 +207,97 @@ def _blocked(vectors: DataFrame, id_col: str, vector_col: str, block_rows: int)
     rows = written(rows.withColumn("cell", cell.cast("long")).withColumn("length", F.size("vector")).drop("stats"), "cells")
     crowd = rows.groupBy("length", "cell").count().withColumn("shards", F.ceil(F.col("count") / block_rows).cast("long"))
     crowd = crowd.withColumn("base", F.coalesce(F.expr("sum(shards) over (order by length, cell rows between unbounded preceding and 1 preceding)"), F.lit(0)))
-    crowd = crowd.select("length", "cell", "shards", "base")
-    return rows.join(crowd, ["length", "cell"]).select("vec_id", "row", "vector", (F.col("base") + F.pmod(F.xxhash64("row"), F.col("shards"))).alias("block"))
+    crowd = written(crowd.select("length", "cell", "shards", "base"), "crowd")
+    block = (F.col("base") + F.pmod(F.xxhash64("row"), F.col("shards"))).alias("block")
+    return written(rows.join(crowd, ["length", "cell"]).select("vec_id", "row", "vector", "length", "cell", block), "blocked"), crowd
 
 
-def _own(k: int):
-    """A block's radius, length and box from a search within itself."""
+def _own(k: int, every: int):
+    """A block's box, and its queries with the squared distance of their k-th nearest in the block."""
+    query = pa.struct([("vec_id", pa.int64()), ("row", pa.int64()), ("radius", pa.float64()), ("vector", pa.list_(pa.float64())), ("fine", pa.list_(pa.float64()))])
 
     def apply(part: pa.Table) -> pa.Table:
-        vectors, rows = _vectors(part), part["row"].to_numpy()
-        near = Nearest(part["vec_id"].to_numpy(), rows, vectors, k)
-        near.add(part["vec_id"].to_numpy(), rows, vectors)
+        vectors, rows, ids = _vectors(part), part["row"].to_numpy(), part["vec_id"].to_numpy()
         fine = statistics(vectors, LEVELS[-1])
+        mine = np.flatnonzero(ids % every == 0)
+        near = Nearest(ids[mine], rows[mine], vectors[mine], k)
+        near.add(ids, rows, vectors)
+        columns = (x.tolist() for x in (ids[mine], rows[mine], near.radius, vectors[mine], fine[mine]))
+        queries = [dict(zip(("vec_id", "row", "radius", "vector", "fine"), q, strict=True)) for q in zip(*columns, strict=True)]
         return pa.table(
             {
-                "block": pa.array([part["block"][0].as_py()], pa.int64()),
                 "length": pa.array([vectors.shape[1]], pa.int32()),
-                "radius": pa.array([float(near.radius.max())], pa.float64()),
+                "cell": pa.array([part["cell"][0].as_py()], pa.int64()),
                 "low": pa.array([fine.min(0).tolist()], pa.list_(pa.float64())),
                 "high": pa.array([fine.max(0).tolist()], pa.list_(pa.float64())),
+                "queries": pa.array([queries], pa.list_(query)),
             }
         )
 
     return apply
 
 
-def _search(k: int):
-    """Rows sorted by query block: its queries, then the data of other blocks, nearest first."""
+_OWN = "length int, cell long, low array<double>, high array<double>, queries array<struct<vec_id:long,row:long,radius:double,vector:array<double>,fine:array<double>>>"
+_FOUND = "row long, vec_id long, neighbour_id long, neighbour_row long, distance double"
 
-    def result(near: Nearest) -> pa.RecordBatch:
-        at, rank = np.nonzero(np.isfinite(near.distance))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(near.ids[at]), pa.array(near.neighbour[at, rank]), pa.array((rank + 1).astype(np.int32)), pa.array(np.round(np.sqrt(near.distance[at, rank]), 6))],
-            names=["vec_id", "neighbour_id", "rank", "distance"],
-        )
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, query, held, held_key = None, [], [], None
-
-        def flush() -> None:
-            nonlocal near, query, held
-            if held:
-                part = pa.Table.from_batches(held)
-                held = []
-                if near is None:
-                    vectors = _vectors(part)
-                    near = Nearest(part["vec_id"].to_numpy(), part["row"].to_numpy(), vectors, k)
-                near.add(part["vec_id"].to_numpy(), part["row"].to_numpy(), _vectors(part))
+def _search(k: int):
+    """Rows sorted by block: its data, which are held, then the queries that come to it, a batch at a time."""
 
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, data = None, [], None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            query_block, data_block = batch.column("query").to_numpy(), batch.column("block").to_numpy()
-            edge = np.flatnonzero(np.concatenate([[True], (query_block[1:] != query_block[:-1]) | (data_block[1:] != data_block[:-1])]))
+            block, query = batch.column("block").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (query[1:] != query[:-1])]))
             for a, b in zip(edge, np.append(edge[1:], batch.num_rows), strict=True):
-                key = (query_block[a], data_block[a])
-                if key != held_key:
-                    flush()
-                    if held_key is not None and key[0] != held_key[0]:
-                        yield result(near)
-                        near = None
-                    held_key = key
-                held.append(batch.slice(a, b - a))
-        flush()
-        if near is not None:
-            yield result(near)
+                if block[a] != at:
+                    at, held, data = block[a], [], None
+                part = batch.slice(a, b - a)
+                if not query[a]:
+                    held.append(part)
+                    continue
+                if data is None:
+                    whole = pa.Table.from_batches(held)
+                    vectors = _vectors(whole)
+                    data = (whole["vec_id"].to_numpy(), whole["row"].to_numpy(), vectors, [statistics(vectors, s) for s in LEVELS])
+                    held = []
+                near = Nearest(part.column("vec_id").to_numpy(), part.column("row").to_numpy(), _vectors(part), k, part.column("radius").to_numpy())
+                near.add(*data)
+                q, rank = np.nonzero(np.isfinite(near.distance))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (near.rows[q], near.ids[q], near.neighbour[q, rank], near.neighbour_row[q, rank], near.distance[q, rank])],
+                    names=["row", "vec_id", "neighbour_id", "neighbour_row", "distance"],
+                )
 
     return apply
 
 
-def nearest(vectors: DataFrame, k: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(vec_id, neighbour_id, rank, distance)``: the k nearest other rows of every row, exactly."""
-    rows = written(_blocked(vectors, id_col, vector_col, block_rows), "blocked")
-    boxes = written(rows.groupBy("block").applyInArrow(_own(k), "block long, length int, radius double, low array<double>, high array<double>"), "boxes")
-    q, d = boxes.alias("q"), boxes.alias("d")
-    gap = F.aggregate(
-        F.arrays_zip(F.col("q.low").alias("a"), F.col("q.high").alias("b"), F.col("d.low").alias("c"), F.col("d.high").alias("e")),
-        F.lit(0.0),
-        lambda total, x: total + F.pow(F.greatest(F.lit(0.0), x["a"] - x["e"], x["c"] - x["b"]), 2),
-    )
-    pairs = q.join(d, F.col("q.length") == F.col("d.length")).select(F.col("q.block").alias("query"), F.col("d.block").alias("block"), F.col("q.radius").alias("radius"), gap.alias("gap"))
-    pairs = pairs.where("query = block or gap * (1 - 1e-9) <= radius").withColumn("near", F.when(F.col("query") == F.col("block"), -1.0).otherwise(F.col("gap")))
-    work = rows.join(pairs.select("query", "block", "near"), "block").select("query", "near", "block", "row", "vec_id", "vector")
-    return work.repartition("query").sortWithinPartitions("query", "near", "block", "row").mapInArrow(_search(k), "vec_id long, neighbour_id long, rank int, distance double")
+def nearest(vectors: DataFrame, k: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, block_rows: int | None = None) -> DataFrame:
+    """``(vec_id, neighbour_id, rank, distance)``: exactly the k nearest other rows of every row whose id ``every`` divides."""
+    rows, crowd = _blocked(vectors, id_col, vector_col, block_rows)
+    own = written(rows.groupBy("block").applyInArrow(_own(k, every), _OWN), "own")
+    corner = F.posexplode(F.arrays_zip("low", "high")).alias("at", "corner")
+    boxes = own.select("length", "cell", corner).groupBy("length", "cell", "at").agg(F.min("corner.low").alias("low"), F.max("corner.high").alias("high"))
+    boxes = written(boxes.groupBy("length", "cell").agg(F.array_sort(F.collect_list(F.struct("at", "low", "high"))).alias("box")).join(crowd, ["length", "cell"]), "boxes")
+    queries = own.select("length", F.explode("queries").alias("q")).select("length", "q.*")
+    gap = F.aggregate(F.zip_with("fine", "box", lambda x, b: F.greatest(F.lit(0.0), b["low"] - x, x - b["high"])), F.lit(0.0), lambda total, x: total + x * x)
+    routes = queries.join(F.broadcast(boxes) if boxes.count() <= BROADCAST_BOXES else boxes, "length").where(gap * (1 - 1e-9) <= F.col("radius"))
+    routes = routes.withColumn("block", F.explode(F.sequence("base", F.col("base") + F.col("shards") - 1)))
+    kind = rows.schema["vector"].dataType
+    data = rows.select("block", F.lit(False).alias("query"), "row", "vec_id", "vector", F.lit(None).cast("double").alias("radius"))
+    work = data.unionByName(routes.select("block", F.lit(True).alias("query"), "row", "vec_id", F.col("vector").cast(kind).alias("vector"), "radius"))
+    found = work.repartition("block").sortWithinPartitions("block", "query").mapInArrow(_search(k), _FOUND)
+    rank = F.row_number().over(Window.partitionBy("row").orderBy("distance", "neighbour_id", "neighbour_row"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "neighbour_id", "rank", F.round(F.sqrt("distance"), 6).alias("distance"))
 
 
 ORACLE_SQL = """
 with v as (select vec_id, embedding::double[] as e from embeddings where vec_id is not null and embedding is not null),
 pairs as (
   select a.vec_id, b.vec_id as neighbour_id, list_distance(a.e, b.e) as d
-  from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)),
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.e) = len(b.e)),
 ranked as (select *, row_number() over (partition by vec_id order by d, neighbour_id) as r from pairs)
 select vec_id, neighbour_id, r::int as rank, round(d, 6) as distance from ranked where r <= 10
 """
