@@ -5,10 +5,14 @@ chain potentials; skip edges join each token that repeats an earlier one, or has
 nearest such token before it in the document, however far.  Loopy message passing then makes
 distant mentions agree: a fragment that says little by itself takes the label of its clear twin.
 
-Only tokens with a digit or an "@" have evidence for a label other than O.  The graph of a document
-therefore holds those tokens and ``MARGIN`` plain tokens around each; beyond, a message has
-forgotten where it came from (tests compare with the whole graph).  Repeats are looked for over the
-whole document, whose text is scanned whole in numpy.
+Only some tokens are *evident*: those with a digit (of any script), with an "@", or of twenty letters, marks of
+identifiers and more; all others are O.  The graph of a document holds the evident tokens and ``MARGIN`` plain tokens
+around each; beyond, a message has forgotten where it came from (tests compare with the whole graph).  Repeats are
+looked for over the whole document.  A fragment that is not evident by itself, such as a name out of an address, is no entity.
+
+Messages are passed until they settle, ``ROUNDS`` rounds at most: after each round only edges at nodes whose belief has moved
+go on.  Edges are taken ``EDGES`` at a time and renewed in place, so that a document needs a few hundred bytes for each evident token
+whatever its length, and a document of nothing but numbers no more than that.
 
 Weights are fitted by gradient ascent on the likelihood with loopy marginals, on documents that a
 seeded generator writes with entities in several formats, noise around tokens, bare fragments of earlier
@@ -24,8 +28,10 @@ from __future__ import annotations
 import functools
 import random
 import re
+import sys
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +47,11 @@ LABELS = ("O", "EMAIL", "PHONE", "CARD", "IP", "SECRET")
 O, EMAIL, PHONE, CARD, IP, SECRET = range(6)
 K = len(LABELS)
 MARGIN = 2
-ROUNDS = 12
+ROUNDS = 200
+#: A belief that moves less has settled.
+SETTLED = 1e-3
+#: Edges whose messages are renewed at once.
+EDGES = 1 << 15
 CHAIN, SAME, ALIKE = range(3)
 TRAIN_DOCUMENTS = 320
 
@@ -49,9 +59,27 @@ _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\r\n\f\v")] = True
 _SIGNAL = np.zeros(256, bool)
 _SIGNAL[list(b"0123456789@")] = True
+#: Whether two bytes can begin a digit that is not ASCII; a token with such a pair is looked at.
+_DIGIT_PAIR = np.zeros(1 << 16, bool)
+for _c in map(chr, range(128, sys.maxunicode + 1)):
+    if _c.isdigit():
+        _DIGIT_PAIR[int.from_bytes(_c.encode()[:2], "big")] = True
 _LEFT = "\"'[{<*%$#&!,.;:|=`~"
 _RIGHT = "\"']}>*%$#&!,.;:|=?`~"
 _HEX = re.compile(r"[0-9a-f]{16,}|[0-9a-z_\-]{20,}")
+#: A token without a digit that may still be a secret.
+LETTERS = 20
+_LETTERS = re.compile(r"[a-z_\-]{%d,}" % LETTERS)
+
+
+def evident(token: str) -> bool:
+    """Whether a token can be anything but O."""
+    if any(c.isdigit() or c == "@" for c in token):
+        return True
+    if len(token) < LETTERS:
+        return False
+    a, b = trim(token)
+    return _LETTERS.fullmatch(token[a:b].lower()) is not None
 
 
 def trim(token: str) -> tuple[int, int]:
@@ -71,32 +99,36 @@ def shape(core: str) -> str:
     return "".join(out) if len(out) <= 14 else "mixed"
 
 
-def _context(token: str) -> str:
+@functools.lru_cache(1 << 14)
+def _look(token: str) -> tuple[int, str, int, str, bool]:
+    """Where the token's core begins, the core, its digits, its shape, and whether the token is evident; neighbours ask again."""
     a, b = trim(token)
     core = token[a:b].lower()
-    if any(c.isdigit() or c == "@" for c in core):
-        return f"{shape(core)}:{sum(c.isdigit() for c in core)}"
-    return core
+    return a, core, sum(c.isdigit() for c in core), shape(core), evident(token)
 
 
-def token_features(tokens: list[str], i: int) -> list[str]:
+def _context(token: str) -> str:
+    _, core, digits, form, _ = _look(token)
+    return f"{form}:{digits}" if digits or "@" in core else core
+
+
+def token_features(tokens: Sequence[str], i: int) -> list[str]:
     """Names of a token's features; a plain token has the one."""
     token = tokens[i]
-    a, b = trim(token)
-    core = token[a:b].lower()
-    digits = sum(c.isdigit() for c in core)
-    if not digits and "@" not in core:
+    a, core, digits, form, some = _look(token)
+    if not some:
         return ["plain"]
-    form = shape(core)
     before = _context(tokens[i - 1]) if i else "<s>"
     after = _context(tokens[i + 1]) if i + 1 < len(tokens) else "</s>"
     out = ["some", "shape=" + form, f"digits={min(digits, 20)}", f"length={min(len(core), 48) // 4}", f"both={form}:{digits}", "before=" + before, "after=" + after, f"joined={form}|{before}", f"followed={form}|{after}"]
     if i > 1:
         out.append("before2=" + _context(tokens[i - 2]))
+    if not digits and "@" not in core:
+        out.append(f"vowels={10 * sum(c in 'aeiou' for c in core) // len(core)}")
     if _HEX.fullmatch(core):
         out += ["hexlike", "hexlike|" + ("quoted" if a and token[a - 1] in "\"'" else "bare")]
     if form == "9.9.9.9":
-        out.append("octets=" + str(all(int(x) < 256 for x in core.split("."))))
+        out.append("octets=" + str(all(x.isascii() and len(x) <= 3 and int(x) < 256 for x in core.split("."))))
     if re.fullmatch(r"[^@\s]+@[^@\s]+\.[^@\s]+", core):
         out.append("address")
     return out
@@ -104,81 +136,113 @@ def token_features(tokens: list[str], i: int) -> list[str]:
 
 def skip_keys(token: str) -> tuple[str, str]:
     """What a token must share with an earlier one for a skip edge: its text, or its shape and size."""
-    a, b = trim(token)
-    core = token[a:b].lower()
-    return core, f"{shape(core)}:{sum(c.isdigit() for c in core)}"
-
-
-def skip_edges(tokens: list[str], nodes: list[int]) -> list[tuple[int, int, int]]:
-    """(earlier node, later node, kind): to the last token of the same text, or else of a like shape."""
-    same: dict[str, int] = {}
-    alike: dict[str, int] = {}
-    fragment: dict[str, int] = {}
-    out = []
+    _, core, digits, form, _ = _look(token)
+    return core, f"{form}:{digits}"
+
+
+def _before(keys: np.ndarray, at: np.ndarray, wanted: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """For each wanted key the last place before ``here`` that has it, or -1; ``at`` are the places of ``keys``, rising."""
+    if len(keys) == 0:
+        return np.full(len(wanted), -1)
+    names, code = np.unique(np.concatenate([keys, wanted]), return_inverse=True)
+    span = int(max(at.max(initial=0), here.max(initial=0))) + 2
+    known = np.sort(code[: len(keys)].astype(np.int64) * span + at)
+    own = code[len(keys) :].astype(np.int64) * span
+    last = np.searchsorted(known, own + here) - 1
+    value = known[np.maximum(last, 0)]
+    return np.where((last >= 0) & (value >= own), value - own, -1)
+
+
+def skip_edges(tokens: Sequence[str], nodes: Sequence[int]) -> np.ndarray:
+    """(earlier node, later node, kind): to the last token of the same text or with it as a piece, or else of a like shape."""
+    texts, forms, pieces, holders = (array("q") for _ in range(4))
     for n, i in enumerate(nodes):
         text, form = skip_keys(tokens[i])
-        if text in same:
-            out.append((same[text], n, SAME))
-        elif text in fragment:
-            out.append((fragment[text], n, SAME))
-        elif form in alike:
-            out.append((alike[form], n, ALIKE))
-        same[text] = alike[form] = n
+        texts.append(hash(text))
+        forms.append(hash(form))
         for piece in re.findall(r"[0-9a-z]{4,}(?:-[0-9a-z]{4,})*", text):
-            fragment[piece] = n
-    return out
+            pieces.append(hash(piece))
+            holders.append(n)
+    text, form, piece, holder, here = (np.array(x, np.int64) for x in (texts, forms, pieces, holders, range(len(nodes))))
+    same, part, alike = _before(text, here, text, here), _before(piece, holder, text, here), _before(form, here, form, here)
+    earlier = np.where(same >= 0, same, np.where(part >= 0, part, alike))
+    kind = np.where((same >= 0) | (part >= 0), SAME, ALIKE)
+    keep = earlier >= 0
+    return np.stack([earlier[keep], here[keep], kind[keep]], 1)
 
 
 @dataclass
 class Graph:
-    """Many documents as one graph: features of each node, and edges by kind."""
+    """Many documents as one graph: the features of its nodes one after another, how many each has, and edges by kind."""
 
-    features: list[np.ndarray]
+    features: np.ndarray
+    sizes: np.ndarray
     edges: np.ndarray
 
+    @property
+    def rows(self) -> np.ndarray:
+        """The node of each feature."""
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
     def unary(self, weights: np.ndarray) -> np.ndarray:
-        sizes = np.array([len(f) for f in self.features])
-        flat = np.concatenate(self.features) if len(self.features) else np.zeros(0, int)
-        rows = np.repeat(np.arange(len(sizes)), sizes)
-        out = np.zeros((len(sizes), K))
-        for k in range(K):
-            out[:, k] = np.bincount(rows, weights=weights[flat, k], minlength=len(sizes))
+        out, edge = np.zeros((len(self.sizes), K)), np.concatenate([[0], np.cumsum(self.sizes)])
+        for at in range(0, len(self.sizes), EDGES):
+            sizes = self.sizes[at : at + EDGES]
+            own, rows = self.features[edge[at] : edge[at + len(sizes)]], np.repeat(np.arange(len(sizes)), sizes)
+            for k in range(K):
+                out[at : at + EDGES, k] = np.bincount(rows, weights=weights[own, k], minlength=len(sizes))
         return out
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (np.log(np.exp(x - top).sum(axis, keepdims=True)) + top).squeeze(axis)
-
+def pass_messages(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int, damp: float = 0.2, settled: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Loopy belief propagation: the nodes' beliefs, and the messages to the later and to the earlier end of each edge.
 
-def propagate(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int = ROUNDS, damp: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
-    """Loopy belief propagation: node marginals and pair marginals of each edge.
-
-    All messages are renewed together; ``pair[kind]`` are log potentials from the earlier to the later.
+    All messages of a round rest on the beliefs before it; ``pair[kind]`` are log potentials from the earlier to the later.
     """
     n, e = len(unary), len(edges)
-    beliefs = unary.copy()
-    if e:
-        source = np.concatenate([edges[:, 0], edges[:, 1]])
-        target = np.concatenate([edges[:, 1], edges[:, 0]])
-        table = np.concatenate([pair[edges[:, 2]], pair[edges[:, 2]].transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
-        messages = np.zeros((2 * e, K))
-        for step in range(rounds):
-            new = _logsum(table + (beliefs[source] - messages[back])[:, :, None], 1)
-            new -= _logsum(new, 1)[:, None]
-            messages = new if step == 0 else damp * messages + (1 - damp) * new
-            beliefs = unary.copy()
-            for k in range(K):
-                beliefs[:, k] += np.bincount(target, weights=messages[:, k], minlength=n)
-        i, j = edges[:, 0], edges[:, 1]
-        joint = pair[edges[:, 2]] + (beliefs[i] - messages[e:])[:, :, None] + (beliefs[j] - messages[:e])[:, None, :]
+    beliefs, messages = unary.copy(), np.zeros((2, e, K), np.float32)
+    tables = np.exp(np.stack([pair, pair.transpose(0, 2, 1)]))
+    at = np.arange(e)
+    for step in range(rounds):
+        if len(at) == 0:
+            break
+        change = np.zeros((n, K))
+        for s in range(0, len(at), EDGES):
+            own = at[s : s + EDGES]
+            first, second, kind = edges[own].T
+            before = messages[:, own]
+            for way, source, target in ((0, first, second), (1, second, first)):
+                sent = beliefs[source] - before[1 - way]
+                sent = np.exp(sent - sent.max(1, keepdims=True))
+                new = np.empty((len(own), K))
+                for x in range(len(pair)):
+                    mine = kind == x
+                    new[mine] = sent[mine] @ tables[way, x]
+                new = np.log(new / new.sum(1, keepdims=True))
+                if step:
+                    new = damp * before[way] + (1 - damp) * new
+                new = new.astype(np.float32)
+                messages[way, own] = new
+                new -= before[way]
+                for k in range(K):
+                    change[:, k] += np.bincount(target, weights=new[:, k], minlength=n)
+        beliefs += change
+        if settled:
+            moved = np.abs(change - change.mean(1, keepdims=True)).max(1) > settled
+            at = np.flatnonzero(moved[edges[:, 0]] | moved[edges[:, 1]])
+    return beliefs, messages
+
+
+def propagate(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Node marginals and pair marginals of each edge."""
+    beliefs, messages = pass_messages(unary, edges, pair, rounds)
+    i, j = edges[:, 0], edges[:, 1]
+    joint = pair[edges[:, 2]] + (beliefs[i] - messages[1])[:, :, None] + (beliefs[j] - messages[0])[:, None, :]
+    if len(edges):
         joint = np.exp(joint - joint.max((1, 2), keepdims=True))
         joint /= joint.sum((1, 2), keepdims=True)
-    else:
-        joint = np.zeros((0, K, K))
-    node = np.exp(beliefs - beliefs.max(1, keepdims=True)) if n else beliefs
-    return node / node.sum(1, keepdims=True) if n else node, joint
+    node = np.exp(beliefs - beliefs.max(1, keepdims=True)) if len(unary) else beliefs
+    return node / node.sum(1, keepdims=True) if len(unary) else node, joint
 
 
 @dataclass(frozen=True)
@@ -189,30 +253,39 @@ class SkipChain:
     weights: np.ndarray
     pair: np.ndarray
 
-    def graph(self, documents: list[list[str]], nodes: list[list[int]]) -> Graph:
-        features, edges, at = [], [], 0
+    def graph(self, documents: Sequence[Sequence[str]], nodes: Sequence[Sequence[int]]) -> Graph:
+        features, sizes, edges, at = array("i"), array("i"), [np.zeros((0, 3), np.int64)], 0
         for tokens, kept in zip(documents, nodes, strict=True):
+            signal = array("q")
             for n, i in enumerate(kept):
-                features.append(np.array([self.ids[f] for f in token_features(tokens, i) if f in self.ids], int))
-                if n and kept[n - 1] == i - 1:
-                    edges.append((at + n - 1, at + n, CHAIN))
-            signal = [n for n, i in enumerate(kept) if any(c.isdigit() or c == "@" for c in tokens[i])]
-            edges += [(at + signal[a], at + signal[b], kind) for a, b, kind in skip_edges(tokens, [kept[n] for n in signal]) if signal[b] - signal[a] > 1 or kept[signal[b]] - kept[signal[a]] > 1]
+                own = [self.ids[f] for f in token_features(tokens, i) if f in self.ids]
+                features.extend(own)
+                sizes.append(len(own))
+                if _look(tokens[i])[4]:
+                    signal.append(n)
+            kept, signal = np.asarray(kept, np.int64), np.array(signal, np.int64)
+            chain = np.flatnonzero(np.diff(kept) == 1)
+            edges.append(np.stack([at + chain, at + chain + 1, np.full(len(chain), CHAIN)], 1))
+            skips = skip_edges(tokens, kept[signal].tolist())
+            skips[:, :2] = signal[skips[:, :2]]
+            skips = skips[kept[skips[:, 1]] - kept[skips[:, 0]] > 1]  # neighbours have their chain
+            skips[:, :2] += at
+            edges.append(skips)
             at += len(kept)
-        return Graph(features, np.array(edges, int).reshape(-1, 3))
+        return Graph(np.array(features, np.int32), np.array(sizes, np.int32), np.concatenate(edges).astype(np.int32))
 
-    def label(self, documents: list[list[str]], nodes: list[list[int]]) -> list[np.ndarray]:
+    def label(self, documents: Sequence[Sequence[str]], nodes: Sequence[Sequence[int]]) -> list[np.ndarray]:
         """The most likely label of every node."""
         graph = self.graph(documents, nodes)
-        best = propagate(graph.unary(self.weights), graph.edges, self.pair)[0].argmax(1)
+        best = pass_messages(graph.unary(self.weights), graph.edges, self.pair, ROUNDS, settled=SETTLED)[0].argmax(1)
         return np.split(best, np.cumsum([len(n) for n in nodes])[:-1]) if nodes else []
 
 
-def active(tokens: list[str], margin: int = MARGIN) -> list[int]:
+def active(tokens: Sequence[str], margin: int = MARGIN) -> list[int]:
     """Tokens with evidence, and ``margin`` plain ones on either side."""
     keep: set[int] = set()
     for i, token in enumerate(tokens):
-        if any(c.isdigit() or c == "@" for c in token):
+        if evident(token):
             keep.update(range(max(0, i - margin), min(len(tokens), i + margin + 1)))
     return sorted(keep)
 
@@ -232,8 +305,8 @@ def generated_document(rng: random.Random) -> tuple[list[str], list[int]]:
     def entity() -> list[tuple[str, int]]:
         kind = rng.randrange(9)
         if kind <= 1:
-            name = word() + rng.choice([f".{number(2)}", "", f"_{word()}", f".{word()}", number(3)])
-            out = [(f"{name}@{word()}{rng.choice(['', number(1)])}.{rng.choice(['example.com', 'net', 'org', 'co.uk', word() + '.de'])}", EMAIL)]
+            name = word() + rng.choice([f".{number(2)}", "", f"_{word()}", f".{word()}", number(3), f"-{word()}", f".{word()}-{number(2)}"])
+            out = [(f"{name}@{word()}{rng.choice(['', number(1)])}.{rng.choice(['example.com', 'net', 'org', 'co.uk', word() + '.de', word() + '.' + word() + '.' + word()[:2]])}", EMAIL)]
             out = ([(rng.choice(["mail", "contact", "email:"]), O)] if rng.random() < 0.2 else []) + out
         elif kind <= 3:
             area, line = number(3), f"{number(3)}-{number(4)}"
@@ -253,7 +326,7 @@ def generated_document(rng: random.Random) -> tuple[list[str], list[int]]:
         elif kind <= 6:
             out = [(".".join(str(rng.randrange(256)) for _ in range(4)), IP)]
         else:
-            secret = hexes(rng.choice([32, 40, 40, 64]))
+            secret = hexes(rng.choice([32, 40, 40, 64])) if rng.random() < 0.85 else "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(24, 44)))
             name = rng.choice(["token", "token", "api_key", "secret", "password", "key"])
             out = [[(name, O), ("=", O), (f'"{secret}"', SECRET)], [(name + ":", O), (secret, SECRET)], [(f'"{secret}"', SECRET)]][rng.choice([0, 0, 0, 1, 2])]
         if len(out[-1][0]) > 6:
@@ -276,10 +349,14 @@ def generated_document(rng: random.Random) -> tuple[list[str], list[int]]:
             [(f"{rng.randint(1, 30)}-{rng.randint(1, 30)}", O)],
             [("@" + word(), O)],
             [("#" + hexes(6), O)],
-        ][rng.randrange(14)]
+            [("".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(9, 16))), O)],
+            [(f"{word()}{word()}{word()}-{word()}{word()}{word()}-{word()}{word()}", O)],
+        ][rng.randrange(16)]
 
     tokens: list[tuple[str, int]] = []
-    for _ in range(rng.randint(2, 8)):
+    if rng.random() < 0.05:  # nothing but a number
+        tokens = harmless()
+    for _ in range(0 if tokens else rng.randint(2, 8)):
         tokens += [(word() + rng.choice(["", "", "", ",", ".", ":"]), O) for _ in range(rng.randint(1, 8))]
         pick = rng.random()
         if pick < 0.45:
@@ -290,7 +367,7 @@ def generated_document(rng: random.Random) -> tuple[list[str], list[int]]:
             tokens.append(rng.choice(seen))
         else:
             tokens += harmless()
-    tokens += [(word(), O) for _ in range(rng.randint(0, 3))]
+    tokens += [(word(), O) for _ in range(rng.choice([0, 0, 1, 2, 3]))]
     style = rng.random()
     out = []
     for text, label in tokens:
@@ -316,8 +393,7 @@ def train(documents: int = TRAIN_DOCUMENTS, seed: int = 7, steps: int = 50, rate
     nodes = [list(range(len(t))) for t in texts]
     graph = model.graph(texts, nodes)
     gold = np.concatenate([np.array(y) for y in truth])
-    sizes = np.array([len(f) for f in graph.features])
-    flat, rows = np.concatenate(graph.features), np.repeat(np.arange(len(sizes)), sizes)
+    flat, rows = graph.features, graph.rows
     hot = np.eye(K)[gold]
     gold_pair = np.zeros((len(graph.edges), K, K))
     gold_pair[np.arange(len(graph.edges)), gold[graph.edges[:, 0]], gold[graph.edges[:, 1]]] = 1
@@ -341,16 +417,29 @@ def train(documents: int = TRAIN_DOCUMENTS, seed: int = 7, steps: int = 50, rate
 Span = tuple[int, int, int]
 
 
-def _document_spans(data: bytes, starts: np.ndarray, ends: np.ndarray, tokens: list[str], nodes: list[int], labels: np.ndarray) -> list[Span]:
+class Tokens:
+    """The tokens of a document, made from its bytes when they are asked for."""
+
+    def __init__(self, raw: bytes, starts: np.ndarray, ends: np.ndarray):
+        self.raw, self.starts, self.ends = raw, starts, ends
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, i: int) -> str:
+        return self.raw[self.starts[i] : self.ends[i]].decode("utf-8", "replace")
+
+
+def _document_spans(tokens: Tokens, nodes: np.ndarray, labels: np.ndarray) -> list[Span]:
     """(start byte, end byte, label); neighbouring tokens of a phone or card number are one span."""
     out: list[Span] = []
     last = None
-    for i, y in zip(nodes, labels.tolist(), strict=True):
-        if y == O:
-            continue
-        a, b = trim(tokens[i])
-        a = int(starts[i]) + len(tokens[i][:a].encode())
-        b = int(ends[i]) - len(tokens[i][b:].encode())
+    found = np.flatnonzero(labels != O)
+    for i, y in zip(nodes[found].tolist(), labels[found].tolist(), strict=True):
+        token = tokens[i]
+        a, b = trim(token)
+        a = int(tokens.starts[i]) + len(token[:a].encode())
+        b = int(tokens.ends[i]) - len(token[b:].encode())
         if out and last == i - 1 and out[-1][2] == y and y in (PHONE, CARD) and not (y == CARD and out[-1][1] - out[-1][0] > 12 and b - a > 12):
             out[-1] = (out[-1][0], b, y)
         else:
@@ -359,34 +448,40 @@ def _document_spans(data: bytes, starts: np.ndarray, ends: np.ndarray, tokens: l
     return out
 
 
+def _evident(raw: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places of the evident tokens; only tokens of rare bytes or many are made to be looked at."""
+    total = np.concatenate([[0], np.cumsum(_SIGNAL[data], dtype=np.int32)])
+    sure = total[ends] > total[starts]
+    pair = np.zeros(len(data) + 1, np.int32)
+    high = np.flatnonzero(data[:-1] >= 0xC2)
+    pair[high + 1] = _DIGIT_PAIR[(data[high].astype(np.int32) << 8) | data[high + 1]]
+    np.cumsum(pair, out=pair)
+    look = np.flatnonzero(~sure & ((pair[ends] > pair[starts]) | (ends - starts >= LETTERS)))
+    sure[look] = [evident(raw[starts[i] : ends[i]].decode("utf-8", "replace")) for i in look.tolist()]
+    return np.flatnonzero(sure)
+
+
 def find(texts: pa.Array, model: SkipChain) -> list[list[Span]]:
     """Entity spans of each text, in bytes of its UTF-8."""
     found: list[list[Span]] = [[] for _ in range(len(texts))]
     for lo, hi in slices(texts):
         data, offsets = string_buffers(texts.slice(lo, hi - lo))
+        raw = data.tobytes()
         starts, ends = runs(~_SPACE[data], offsets)
-        total = np.concatenate([[0], np.cumsum(_SIGNAL[data])])
-        signal = np.flatnonzero(total[ends] > total[starts])
+        signal = _evident(raw, data, starts, ends)
         edge = np.searchsorted(starts, offsets)
         rows = np.unique(np.searchsorted(edge, signal, "right") - 1)
-        raw = data.tobytes()
-        documents, nodes, places = [], [], []
+        documents, nodes = [], []
         for r in rows:
             a, b = edge[r], edge[r + 1]
             mine = signal[np.searchsorted(signal, a) : np.searchsorted(signal, b)] - a
-            near = (mine[:, None] + np.arange(-MARGIN - 2, MARGIN + 3)).reshape(-1)
-            # token texts are made near evidence only; the rest of the list stays empty and is never read
-            tokens = [""] * int(b - a)
-            for i in np.unique(near[(near >= 0) & (near < b - a)]):
-                tokens[i] = raw[starts[a + i] : ends[a + i]].decode("utf-8", "replace")
-            kept = (mine[:, None] + np.arange(-MARGIN, MARGIN + 1)).reshape(-1)
-            documents.append(tokens)
-            nodes.append(np.unique(kept[(kept >= 0) & (kept < b - a)]).tolist())
-            places.append((r, starts[a:b] - offsets[r], ends[a:b] - offsets[r]))
+            near = (mine[:, None] + np.arange(-MARGIN, MARGIN + 1)).reshape(-1)
+            documents.append(Tokens(raw[offsets[r] : offsets[r + 1]], starts[a:b] - offsets[r], ends[a:b] - offsets[r]))
+            nodes.append(np.unique(near[(near >= 0) & (near < b - a)]))
         if not documents:
             continue
-        for (r, s, e), tokens, kept, labels in zip(places, documents, nodes, model.label(documents, nodes), strict=True):
-            found[lo + int(r)] = _document_spans(raw, s, e, tokens, kept, labels)
+        for r, tokens, kept, labels in zip(rows, documents, nodes, model.label(documents, nodes), strict=True):
+            found[lo + int(r)] = _document_spans(tokens, kept, labels)
     return found
 
 
@@ -411,8 +506,8 @@ def entities(docs: DataFrame, model: SkipChain | None = None) -> DataFrame:
             lists, clean = [], []
             for i in rows:
                 text = texts[i].as_py()
-                data = text.encode()
-                lists.append([{"start": len(data[:a].decode("utf-8", "replace")), "end": len(data[:b].decode("utf-8", "replace")), "label": LABELS[y]} for a, b, y in found[i]])
+                characters = np.concatenate([[0], np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)])
+                lists.append([{"start": int(characters[a]), "end": int(characters[b]), "label": LABELS[y]} for a, b, y in found[i]])
                 clean.append(redacted(text, found[i]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array([len(x) for x in lists], pa.int32()), pa.array(lists, pa.list_(span)), pa.array(clean, pa.string())],
