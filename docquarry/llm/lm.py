@@ -1,18 +1,20 @@
 """Document log-likelihood by a gated recurrent language model in numpy.
 
-Vocabulary: every word seen ``LEAST`` times or more, counted over all documents, V in all.  The output softmax
-is factored by class, P(word) = P(class | state) P(word | class, state), with about V^(1/3) classes of V^(1/3) of
-the most frequent words.  As many *tails* are classes of the rest, of equal mass by falling frequency: a tail is one
-symbol, as input and as target, and its words share it by their counts, P(word) = P(tail | state) P(word | tail).  A
-word seen less often is the unknown word times its spelling under a byte bigram model, whose counts also
-come from all documents, so every text has a proper probability.
-
-Training is truncated backpropagation through time over the whole corpus, once: the documents
-are split by id hash into ``ROUNDS`` rounds; in a round every task starts from the current weights,
-trains on its share with the state carried from window to window, and the tasks' weights are averaged by tokens
-they saw.  Weights are summed in pieces after a shuffle, so the driver receives one model whatever the number of
-tasks.  Scoring carries the state through each document from its first word to its end mark; no text
-is cut.
+Words are counted over all documents, and the counts stay a table of the cluster.  The output softmax is factored by class,
+P(word) = P(class | state) P(word | class, state).  The most frequent words have places in classes, ``side`` classes of
+``side`` words, where ``side`` follows the cube root of the number of words seen twice, up to ``MOST_CLASSES``; they alone
+travel to the tasks.  All other words fall by their hash into ``TAILS`` tails, which are classes of the first layer
+and inputs like words, so every task knows every word's symbol without a look-up.  A tail's words share it by their counts,
+P(word | tail) = count / mass, which is joined to the words of the documents; words seen once share what these have of the tail by
+their spelling under a byte bigram model, whose counts also come from all documents.  So every text has a
+proper probability, and it follows the whole corpus however large the vocabulary.
+
+Training is truncated backpropagation through time over the whole corpus, once, every token a target: the documents
+are split by hash into ``ROUNDS`` rounds; in a round every task starts from the current weights,
+trains on its share in streams whose state is carried from window to window, and the tasks' weights are averaged by tokens
+they saw.  A stream may begin inside a document, with a state of zero.  Weights are summed in pieces after a shuffle, so
+the driver receives one model whatever the number of tasks.  Scoring carries the state through each document from its
+first word to its end mark; no text is cut.
 
 Defined cases: a null text has a null log-likelihood and no words; a text without words has the
 log-likelihood of the end mark; null ids are kept; repeated rows are scored each; on an empty table the
@@ -29,14 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import documents_only
+from docquarry.llm.common import documents_only, written
 from docquarry.llm.tokens import WORD_BYTE, Words, slices
 
-#: At least; both grow with the vocabulary.
-CLASSES = 32
-CLASS_SIZE = 32
-#: A word of the vocabulary occurs so often.
-LEAST = 2
+#: Classes, and words of a class, at least and at most; between, the cube root of the words seen twice.  At the most, the
+#: frequent words and the model are 2 MB together.
+CLASSES, MOST_CLASSES = 32, 80
+TAILS = 32
 HIDDEN = 16
 ROUNDS = 3
 STEPS = 16
@@ -44,8 +45,8 @@ STREAMS = 512
 CHUNK_TOKENS = STEPS * STREAMS * 48
 RATE = 0.01
 PIECE = 2048
-#: Ids 0 and 1: the mark between documents, and any word outside the vocabulary.
-END, UNKNOWN, FIRST = 0, 1, 2
+#: Symbol 0 is the mark between documents; the most frequent words follow.
+END, FIRST = 0, 1
 SCORE_BYTES = 12 << 20
 
 
@@ -64,7 +65,7 @@ class Gru:
     word_bias: np.ndarray
 
     @staticmethod
-    def initial(classes: int = CLASSES, size: int = CLASS_SIZE, hidden: int = HIDDEN, tails: int = 0, seed: int = 11) -> Gru:
+    def initial(classes: int = CLASSES, size: int = CLASSES, hidden: int = HIDDEN, tails: int = 0, seed: int = 11) -> Gru:
         rng = np.random.default_rng(seed)
         draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         return Gru(
@@ -81,7 +82,7 @@ class Gru:
         return np.concatenate([getattr(self, f.name).reshape(-1) for f in fields(self)])
 
     @staticmethod
-    def of(values: np.ndarray, classes: int = CLASSES, size: int = CLASS_SIZE, hidden: int = HIDDEN, tails: int = 0) -> Gru:
+    def of(values: np.ndarray, classes: int = CLASSES, size: int = CLASSES, hidden: int = HIDDEN, tails: int = 0) -> Gru:
         """Views of one vector, in the order of the fields."""
         kinds = classes + tails
         shapes = ((classes * size + tails, 3 * hidden), (hidden, 3 * hidden), (hidden, kinds), (kinds,), (classes, hidden, size), (classes, size))
@@ -125,11 +126,15 @@ def _exp(logits: np.ndarray) -> np.ndarray:
 
 
 def _by_class(symbol: np.ndarray, classes: int, size: int, hidden: int, tails: int) -> tuple[np.ndarray, ...]:
-    """Class or tail of each symbol; positions of words of classes in order of these, their places there, and the classes' edges."""
+    """Class or tail of each symbol; positions of words of classes in order of these, their places there, and the classes' edges.
+
+    A symbol below zero is none and has the kind after the last.
+    """
     words = classes * size
     kind = np.where(symbol < words, symbol // size, symbol - (words - classes))
-    order = np.argsort(_narrow(kind, classes + tails), kind="stable")
-    edge = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=classes + tails)[:classes])])
+    kind[symbol < 0] = classes + tails
+    order = np.argsort(_narrow(kind, classes + tails + 1), kind="stable")
+    edge = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=classes + tails + 1)[:classes])])
     order = order[: edge[-1]]
     return kind, order, symbol[order] % size, edge
 
@@ -143,7 +148,7 @@ def window_gradient(model: Gru, words: np.ndarray, targets: np.ndarray, fresh: n
     """Loss summed over a window, its gradient, and the state after it.
 
     ``words``, ``targets`` and ``fresh`` are steps x streams; ``fresh`` marks a document's first step, where
-    the state is zero.
+    the state is zero; a target below zero counts for nothing.
     """
     steps, streams = words.shape
     classes, size, hidden, tails = model.shape
@@ -154,18 +159,21 @@ def window_gradient(model: Gru, words: np.ndarray, targets: np.ndarray, fresh: n
         np.multiply(h, live[t], out=before[t])
         h, z[t], r[t], new[t], u[t] = model.step(words[t], before[t])
         states[t] = h
-    flat, rows = states.reshape(-1, hidden), np.arange(steps * streams)
+    flat, rows = states.reshape(-1, hidden), np.flatnonzero(targets.reshape(-1) >= 0)
     kind, order, word, edge = _by_class(targets.reshape(-1), *model.shape)
     p = flat @ model.class_weight
     p += model.class_bias
     _exp(p)
     p /= (p @ np.ones(classes + tails, kind_of))[:, None]
+    if len(rows) < steps * streams:
+        p[targets.reshape(-1) < 0] = 0
+    kind = kind[rows]
     loss = -float(np.log(p[rows, kind] + 1e-30).sum())
     p[rows, kind] -= 1
     d_state, d_class, d_class_bias = p @ model.class_weight.T, flat.T @ p, np.ones(len(p), kind_of) @ p
 
     # Tokens in order of their class: a class is a slice, and what is not a product is done for all at once.
-    mine, rows = flat[order], rows[: len(order)]
+    mine, rows = flat[order], np.arange(len(order))
     used = np.flatnonzero(np.diff(edge))
     parts = [slice(edge[c], edge[c + 1]) for c in used]
     q = np.empty((len(mine), size), kind_of)
@@ -218,25 +226,27 @@ class Trainer:
         self.first, self.second = np.zeros_like(self.values), np.zeros_like(self.values)
 
     def train(self, ids: np.ndarray) -> None:
-        """``ids``: documents one after another, each with END behind it."""
-        steps = STEPS
-        streams = int(min(STREAMS, max(1, len(ids) // (4 * steps))))
-        length = (len(ids) - 1) // streams
-        if length < 1:
+        """``ids``: documents one after another, each with END before and behind it."""
+        n = len(ids) - 1
+        if n < 1:
             return
-        words = ids[: length * streams].reshape(streams, length).T
-        targets = ids[1 : length * streams + 1].reshape(streams, length).T
+        streams = int(min(STREAMS, max(1, n // (4 * STEPS))))
+        length = -(-n // streams)
+        short = length * streams - n  # the last stream's steps without a target
+        words = np.concatenate([ids[:-1], np.zeros(short, ids.dtype)]).reshape(streams, length).T
+        targets = np.concatenate([ids[1:], np.full(short, -1, ids.dtype)]).reshape(streams, length).T
         h = np.zeros((streams, self.shape[2]), np.float32)
-        for at in range(0, length, steps):
-            x = words[at : at + steps]
+        for at in range(0, length, STEPS):
+            x, y = words[at : at + STEPS], targets[at : at + STEPS]
+            seen = int((y >= 0).sum())
             model = Gru.of(self.values, *self.shape)
-            loss, slope, h = window_gradient(model, x, targets[at : at + steps], x == END, h)
-            g = slope.flat() / x.size
+            loss, slope, h = window_gradient(model, x, y, x == END, h)
+            g = slope.flat() / seen
             norm = float(np.sqrt(np.dot(g, g)))
             if norm > 1:
                 g /= norm
             self.updates += 1
-            self.tokens += x.size
+            self.tokens += seen
             self.loss += loss
             self.first += 0.1 * (g - self.first)
             self.second += 0.01 * (g * g - self.second)
@@ -246,26 +256,26 @@ class Trainer:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Word hashes in order with their symbols and log P(word | symbol), log probabilities of byte pairs (index 256: a
-    word's edge), how often each symbol occurs, and the classes, words of a class and tails of the model."""
+    """The frequent words' hashes in order with their symbols, log probabilities of byte pairs (index 256: a word's edge), how
+    often each symbol occurs, the classes, words of a class and tails of the model; and for each tail the log of its mass
+    and of what words seen once have of it."""
 
     hashes: np.ndarray
     ids: np.ndarray
-    within: np.ndarray
     spelling: np.ndarray
     counts: np.ndarray
     shape: tuple[int, int, int]
+    mass: np.ndarray
+    once: np.ndarray
 
     def encode(self, words: Words) -> np.ndarray:
-        return self.look_up(words)[0]
-
-    def look_up(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols, and log P(word | symbol), which is 0 for the unknown word."""
+        """The symbol of each word."""
+        classes, size, tails = self.shape
+        tail = (classes * size + words.hashes.view(np.int64) % tails).astype(np.int32)
         if len(self.hashes) == 0:
-            return np.full(len(words.hashes), UNKNOWN, np.int32), np.zeros(len(words.hashes), np.float32)
+            return tail
         at = np.minimum(np.searchsorted(self.hashes, words.hashes), len(self.hashes) - 1)
-        hit = self.hashes[at] == words.hashes
-        return np.where(hit, self.ids[at], np.int32(UNKNOWN)), np.where(hit, self.within[at], np.float32(0))
+        return np.where(self.hashes[at] == words.hashes, self.ids[at], tail)
 
     def initial(self) -> Gru:
         """A model whose biases are the counts'."""
@@ -354,34 +364,36 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(2, np.zeros(1, np.int64), np.array([texts]))
 
 
-def vocabulary(docs: DataFrame, size: int | None = CLASSES * CLASS_SIZE) -> Vocabulary:
-    """From counts over all documents: the ``size`` most frequent words, marks included, or, if it is None, every word seen
-    ``LEAST`` times.  The driver receives these words and 257^2 pairs at most."""
-    counts = docs.select("text").where("text is not null").mapInArrow(_counts, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    if size is None:
-        got = counts.where(f"kind <> 0 or n >= {LEAST}").toArrow()
-    else:
-        got = counts.where("kind = 0").orderBy(F.desc("n"), "key").limit(size - FIRST).unionByName(counts.where("kind <> 0")).toArrow()
-    kind, key, n = (got[c].to_numpy() for c in ("kind", "key", "n"))
-    falling = np.lexsort((key[kind == 0], -n[kind == 0]))
-    words, often = key[kind == 0][falling].astype(np.uint64), n[kind == 0][falling]
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``(kind, key, n)``: how often each word (kind 0, by hash) and byte pair (1) occurs, and the number of texts (2)."""
+    counts = docs.select("text").where("text is not null").mapInArrow(_counts, "kind int, key long, n long")
+    return written(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+
+
+def vocabulary(counts: DataFrame, classes: int | None = None) -> Vocabulary:
+    """From the counts; the driver receives ``MOST_CLASSES ** 2`` words at most, 257^2 pairs and a row for each tail."""
+    words = counts.where("kind = 0").select("key", "n")
+    if classes is None:
+        classes = min(MOST_CLASSES, max(CLASSES, int(np.ceil(words.where("n > 1").count() ** (1 / 3)))))
+    head = words.orderBy(F.desc("n"), "key").limit(classes * classes - FIRST).toArrow()
+    key, often = head["key"].to_numpy(), head["n"].to_numpy()
+    order = np.lexsort((key, -often))
+    key, often = key[order], often[order]
+    rest = words.limit(0) if len(key) == 0 else words.where((F.col("n") < int(often[-1])) | ((F.col("n") == int(often[-1])) & (F.col("key") > int(key[-1]))))
+    tails = rest.groupBy(F.pmod("key", F.lit(TAILS)).cast("int").alias("tail")).agg(F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("long")).alias("once")).toArrow()
+    mass, once = np.zeros(TAILS), np.zeros(TAILS)
+    mass[tails["tail"].to_numpy()], once[tails["tail"].to_numpy()] = tails["n"].to_numpy(), tails["once"].to_numpy()
+    other = counts.where("kind <> 0").toArrow()
+    kind, code, n = (other[c].to_numpy() for c in ("kind", "key", "n"))
     pairs = np.zeros(257 * 257)
-    pairs[key[kind == 1]] += n[kind == 1]
-    side = CLASS_SIZE if size is not None else max(CLASS_SIZE, int(np.ceil(len(words) ** (1 / 3))))
-    classes = CLASSES if size is not None else side
-    head = classes * side - FIRST
-    ids, within, rest = np.arange(len(words), dtype=np.int32) + np.int32(FIRST), np.zeros(len(words), np.float32), often[head:]
-    tails = side if len(rest) else 0
-    if tails:
-        tail = np.minimum((np.cumsum(rest) - rest) * tails // rest.sum(), tails - 1)
-        ids[head:] = tail + classes * side
-        within[head:] = np.log(rest / np.bincount(tail, rest, tails)[tail])
-    symbols = np.bincount(ids, often, classes * side + tails)
-    symbols[END] = n[kind == 2].sum()
-    symbols[UNKNOWN] = pairs[256 * 257 :].sum() - often.sum()  # each word has one first byte
+    pairs[code[kind == 1]] += n[kind == 1]
     pairs = pairs.reshape(257, 257) + 0.01
-    order = np.argsort(words)
-    return Vocabulary(words[order], ids[order], within[order], np.log(pairs / pairs.sum(1, keepdims=True)), symbols, (classes, side, tails))
+    symbols = np.zeros(classes * classes + TAILS)
+    symbols[END], symbols[FIRST : FIRST + len(key)], symbols[classes * classes :] = n[kind == 2].sum(), often, mass
+    by_hash = np.argsort(key.view(np.uint64))
+    # a spelling may belong to any tail, so those of one tail are TAILS times as likely within it
+    share = np.log(np.maximum(once, 0.5) / np.maximum(mass, 1)) + np.log(TAILS)
+    return Vocabulary(key.view(np.uint64)[by_hash], (by_hash + FIRST).astype(np.int32), np.log(pairs / pairs.sum(1, keepdims=True)), symbols, (classes, classes, TAILS), np.log(np.maximum(mass, 1)), share)
 
 
 def _with_ends(ids: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -444,7 +456,7 @@ def fit(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, rate: float =
 
 
 def document_scores(model: Gru, documents: list[np.ndarray]) -> np.ndarray:
-    """Sum of log P of each document's ids and its end mark; the state runs through the whole document."""
+    """Sum of log P of each document's symbols and its end mark; the state runs through the whole document."""
     order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
     lengths = np.array([len(documents[i]) + 1 for i in order])
     flat = np.concatenate([documents[i] for i in order]) if documents else np.zeros(0, np.int32)
@@ -474,51 +486,69 @@ def document_scores(model: Gru, documents: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, model: Gru, words: Vocabulary) -> DataFrame:
+def score(docs: DataFrame, model: Gru, words: Vocabulary, counts: DataFrame) -> DataFrame:
     """``(doc_id, n_words, log_likelihood, per_word)``, natural logarithms."""
     context = docs.sparkSession.sparkContext
     shared, shape = context.broadcast((model.flat(), words)), model.shape
+    first_tail = words.shape[0] * words.shape[1]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, vocab = Gru.of(shared.value[0], *shape), shared.value[1]
-        ids: list = []
+        ids: list[pa.Array] = []
+        known: list[pa.Array] = []
         documents: list[np.ndarray] = []
-        spelled: list[np.ndarray] = []
-        known: list[np.ndarray] = []
+        rare: list[pa.Array] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            value = document_scores(own, documents) + np.concatenate(spelled)
-            n = np.array([len(d) for d in documents])
-            missing = ~np.concatenate(known)
+            value, n = document_scores(own, documents), np.array([len(d) for d in documents])
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(np.round(value, 4), mask=missing), pa.array(np.round(value / (n + 1), 6), mask=missing)],
-                names=["doc_id", "n_words", "log_likelihood", "per_word"],
+                [pa.concat_arrays(ids), pa.concat_arrays(known), pa.array(n, pa.int32()), pa.array(value), pa.concat_arrays(rare)],
+                names=["doc_id", "known", "n_words", "value", "rare"],
             )
 
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 texts = batch.column("text").slice(a, b - a)
                 got = Words(texts)
-                code, within = vocab.look_up(got)
-                unknown = np.flatnonzero(code == UNKNOWN)
-                within[unknown] = vocab.spelled(got, unknown)
-                spelled.append(np.bincount(np.repeat(np.arange(b - a), np.diff(got.row)), weights=within, minlength=b - a))
-                known.append(texts.is_valid().to_numpy(zero_copy_only=False))
-                ids += batch.column("doc_id").slice(a, b - a).to_pylist()
+                code = vocab.encode(got)
+                at = np.flatnonzero(code >= first_tail)
+                row = np.searchsorted(got.row, at, "right") - 1
+                # a word that is several times in a document is looked up once
+                order = np.lexsort((got.hashes[at], row))
+                at, row = at[order], row[order]
+                new = np.concatenate([[True], (row[1:] != row[:-1]) | (got.hashes[at[1:]] != got.hashes[at[:-1]])])[: len(at)]
+                one = at[new]
+                times = np.diff(np.append(np.flatnonzero(new), len(at)))
+                edge = np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=b - a))])
+                parts = [pa.array(got.hashes[one].astype(np.int64)), pa.array(times, pa.int32()), pa.array(vocab.spelled(got, one).astype(np.float32))]
+                rare.append(pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.StructArray.from_arrays(parts, names=["key", "times", "spelled"])))
+                known.append(texts.is_valid())
+                ids.append(batch.column("doc_id").slice(a, b - a))
                 documents += np.split(code, got.row[1:-1])
                 size += len(got.data)
                 if size >= SCORE_BYTES:
                     yield flush()
-                    ids, documents, spelled, known, size = [], [], [], [], 0
+                    ids, known, documents, rare, size = [], [], [], [], 0
         if documents:
             yield flush()
 
-    return docs.mapInArrow(apply, "doc_id long, n_words int, log_likelihood double, per_word double")
+    schema = "doc_id long, known boolean, n_words int, value double, rare array<struct<key:long,times:int,spelled:float>>"
+    base = written(docs.mapInArrow(apply, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
+    rare = base.select("row", F.explode("rare").alias("w")).select("row", "w.*")
+    seen = counts.where("kind = 0 and n > 1").select("key", "n")
+    tail = F.pmod("key", F.lit(TAILS)).cast("int")
+    of = lambda values: F.get(F.array(*[F.lit(float(x)) for x in values]), tail)
+    within = F.when(F.col("n").isNotNull(), F.log(F.col("n").cast("double")) - of(words.mass)).otherwise(of(words.once) + F.col("spelled"))
+    more = rare.join(seen, "key", "left").select("row", (F.col("times") * within).alias("more")).groupBy("row").agg(F.sum("more").alias("more"))
+    value = F.when(F.col("known"), F.col("value") + F.coalesce("more", F.lit(0.0)))
+    scored = base.drop("rare").join(more, "row", "left")
+    return scored.select("doc_id", "n_words", F.round(value, 4).alias("log_likelihood"), F.round(value / (F.col("n_words") + 1), 6).alias("per_word"))
 
 
 def log_likelihood(docs: DataFrame) -> DataFrame:
     """Train on all documents and score all documents."""
     docs = documents_only(docs)
-    words = vocabulary(docs, None)
-    return score(docs, fit(docs, words), words)
+    counts = word_counts(docs)
+    words = vocabulary(counts)
+    return score(docs, fit(docs, words), words, counts)

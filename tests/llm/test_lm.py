@@ -1,7 +1,9 @@
+from collections import Counter
 from dataclasses import fields
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from docquarry.llm import lm
 from docquarry.llm.tokens import Words
@@ -69,30 +71,91 @@ def test_gradient_and_sum_with_tails():
     assert np.isclose(np.exp(lm.Gru.initial(3, 4, 5, tails=6).log_probability(np.repeat(one, 18, 0), np.arange(18))).sum(), 1, atol=1e-5)
 
 
-def test_vocabulary_grows_with_the_corpus(spark, docs):
+def test_targets_below_zero_count_for_nothing():
+    rng = np.random.default_rng(7)
+    model = doubled(lm.Gru.initial(3, 4, 5, tails=6))
+    words, targets = rng.integers(0, 18, (6, 4)), rng.integers(0, 18, (6, 4))
+    fresh, h = words == lm.END, rng.normal(size=(4, 5))
+    targets[4:, 3] = -1
+    loss, slope, _ = lm.window_gradient(model, words, targets, fresh, h)
+    one, first, _ = lm.window_gradient(model, words[:, :3], targets[:, :3], fresh[:, :3], h[:3])
+    two, second, _ = lm.window_gradient(model, words[:4, 3:], targets[:4, 3:], fresh[:4, 3:], h[3:])
+    assert np.isclose(loss, one + two)
+    assert all(np.allclose(getattr(slope, f.name), getattr(first, f.name) + getattr(second, f.name)) for f in fields(model))
+
+
+def test_every_token_is_a_target_once(monkeypatch):
+    met = Counter()
+    plain = lm.window_gradient
+
+    def counted(model, words, targets, fresh, h):
+        met.update(targets[targets >= 0].tolist())
+        return plain(model, words, targets, fresh, h)
+
+    monkeypatch.setattr(lm, "window_gradient", counted)
+    for n in (1, 2, 63, 64, 65, 1000, 5003):
+        met.clear()
+        trainer = lm.Trainer(lm.Gru.initial(100, 100, tails=4))
+        trainer.train(np.arange(n + 1))
+        assert met == Counter(range(1, n + 1)) and trainer.tokens == n
+
+
+def test_vocabulary_and_counts_follow_the_corpus(spark, docs):
     plain = lm.documents_only(docs)
-    words, most = lm.vocabulary(plain, None), lm.vocabulary(plain)
+    counts = lm.word_counts(plain)
+    words = lm.vocabulary(counts)
     seen = Words(pa.array([r["text"] for r in plain.collect()]))
     distinct, n = np.unique(seen.hashes, return_counts=True)
-    assert (words.hashes == distinct[n >= lm.LEAST]).all() and len(words.hashes) > 5 * len(most.hashes)
-    code, within = words.look_up(seen)
-    assert (code == lm.UNKNOWN).mean() < 0.2 < 0.4 < (most.encode(seen) == lm.UNKNOWN).mean()
-    assert (np.bincount(code, minlength=len(words.counts))[lm.UNKNOWN :] == words.counts[lm.UNKNOWN :]).all()
-    # words of a tail share it in proportion to their counts, and the model is of the vocabulary's size
-    shared = words.ids >= words.shape[0] * words.shape[1]
-    sums = np.bincount(words.ids[shared], np.exp(words.within[shared].astype(np.float64)))
-    assert np.allclose(sums[sums > 0], 1, atol=1e-4) and not words.within[~shared].any()
-    assert lm.fit(plain, words).shape == (*words.shape[:2], lm.HIDDEN, words.shape[2])
-
-
-def test_query_scores_words_beyond_the_first_thousand_by_their_counts(spark):
+    got = {r["key"]: r["n"] for r in counts.where("kind = 0").collect()}
+    assert got == dict(zip(distinct.astype(np.int64).tolist(), n.tolist(), strict=True))
+    classes, size, tails = words.shape
+    assert classes == size == max(lm.CLASSES, int(np.ceil((n > 1).sum() ** (1 / 3))))
+    code = words.encode(seen)
+    assert (np.bincount(code, minlength=len(words.counts))[lm.FIRST :] == words.counts[lm.FIRST :]).all()
+    assert n[np.isin(distinct, words.hashes)].min() >= n[~np.isin(distinct, words.hashes)].max()
+    # counts of a tail's words, and what words seen once have of it, make one
+    tail = words.encode(Words(pa.array([" "])))
+    assert len(tail) == 0
+    for t in range(tails):
+        mine = ~np.isin(distinct, words.hashes) & (distinct.astype(np.int64) % tails == t)
+        total = (n[mine & (n > 1)] / np.exp(words.mass[t])).sum() + np.exp(words.once[t]) / tails
+        assert not mine.any() or np.isclose(total, 1, atol=0.02)
+    assert lm.fit(plain, words).shape == (classes, size, lm.HIDDEN, tails)
+
+
+def test_query_scores_words_beyond_the_classes_by_their_counts(spark):
     rng = np.random.default_rng(9)
     common = [f"c{i}" for i in range(1100)]
-    texts = [" ".join(common) for _ in range(9)] + [" ".join(["qzxj"] * 1 + list(rng.choice(common, 30))) for _ in range(8)]
+    texts = [" ".join(common) for _ in range(9)] + [" ".join(["qzxj", *rng.choice(common, 30)]) for _ in range(8)]
     rows = [(i, t) for i, t in enumerate([*texts, "qzxj", "jxzq"])]
     got = {r["doc_id"]: r["log_likelihood"] for r in lm.log_likelihood(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     # seen nine times and in a tail, against a word of the same letters seen once and spelled
-    assert lm.vocabulary(spark.createDataFrame(rows, "doc_id long, text string"), None).shape[2] and got[17] > got[18] + 5
+    assert got[17] > got[18] + 3
+
+
+def test_repeated_documents_are_told_apart_by_their_likelihood(spark):
+    """Rare words of a document that occurs twice have counts; those of one that occurs once are spelled."""
+    rng = np.random.default_rng(3)
+    common = [f"c{i}" for i in range(1500)]
+    name = lambda: "".join(rng.choice(list("bcdfgklmnprstvaeiou"), 9))
+    texts = [" ".join([*rng.choice(common, 40), *(name() for _ in range(12))]) for _ in range(300)]
+    rows = list(enumerate([*texts, *texts[:60]])) + [(1000 + i, " ".join(common)) for i in range(3)]
+    got = {r["doc_id"]: r["log_likelihood"] / r["n_words"] for r in lm.log_likelihood(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    twice, once = np.array([got[i] for i in range(60)]), np.array([got[i] for i in range(60, 300)])
+    assert (twice > np.quantile(once, 0.95)).mean() > 0.9
+
+
+def test_held_out_text_is_likelier_than_under_word_frequencies(spark, docs):
+    """A model of one half scores the other half's symbols above a unigram model of that half."""
+    plain = lm.documents_only(docs)
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    known, held = plain.where(half), plain.where(~half)
+    words = lm.vocabulary(lm.word_counts(known))
+    model = lm.fit(known, words, rounds=2)
+    ids = [words.encode(Words(pa.array([r["text"]]))) for r in held.collect()]
+    share = np.log((words.counts + 1) / (words.counts + 1).sum())
+    unigram = sum(share[i].sum() + share[lm.END] for i in ids)
+    assert lm.document_scores(model, ids).sum() > unigram
 
 
 def test_byte_pairs_have_two_ways():
@@ -105,7 +168,9 @@ def test_training_helps_and_query_scores_all(spark, docs):
 
     got = {r["doc_id"]: r for r in op9_lm(spark, SF).collect()}
     plain = lm.documents_only(docs)
-    untrained = {r["doc_id"]: r for r in lm.score(plain, lm.Gru.initial(), lm.vocabulary(plain)).collect()}
+    counts = lm.word_counts(plain)
+    words = lm.vocabulary(counts)
+    untrained = {r["doc_id"]: r for r in lm.score(plain, lm.Gru.initial(*words.shape[:2], tails=words.shape[2]), words, counts).collect()}
     assert len(got) == docs.count()
     better = [got[d]["per_word"] > untrained[d]["per_word"] for d in got if got[d]["n_words"] > 20]
     assert np.mean(better) > 0.95
