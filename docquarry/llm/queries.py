@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from docquarry.llm import chat, decontaminate, jaccard, lm, packing, pii, quality, reshard, topk, warc
 from docquarry.llm.common import documents_only, table
 
+#: The target mixture: equal parts of twenty sources.  Others follow when these are used up.
+MIXTURE = {f"src{i}": 1.0 for i in range(20)}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,8 +27,8 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in their new shards, the fewest bytes moved."""
-    return reshard.reshard(spark, f"{sf_dir}/documents.parquet").select("doc_id", "old_shard", "new_shard", "moved", F.length("text").alias("n_chars"))
+    """All documents, written as uneven shards, in one more and equal shards, the fewest bytes moved."""
+    return reshard.evened(table(spark, sf_dir, "documents")).select("doc_id", "old_shard", "new_shard", "moved", F.length("text").alias("n_chars"))
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +48,8 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed in windows of 2,048 tokens at the corpus's proportions of sources."""
-    return packing.pack(table(spark, sf_dir, "documents"))
+    """All documents packed in windows of 2,048 tokens at equal shares of the named sources, whatever the corpus has of each."""
+    return packing.pack(table(spark, sf_dir, "documents"), MIXTURE)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +82,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_jaccard": jaccard.ORACLE_SQL,
+    "op3_reshard": reshard.ORACLE_SQL,
     "op4_chat": chat.ORACLE_SQL,
     "op6_topk": topk.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,

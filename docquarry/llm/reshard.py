@@ -20,6 +20,7 @@ columns named as an added one are not.
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from dataclasses import dataclass
 
@@ -162,10 +163,10 @@ def transfers(sizes: list[int], capacities: list[int]) -> list[Move]:
     return out
 
 
-def new_capacities(sizes: list[int], largest_block: int, target_bytes: int = TARGET_BYTES, slack: float = SLACK) -> list[int]:
-    """Equal capacities for as many shards as the target asks for."""
-    count = max(1, -(-sum(sizes) // target_bytes))
-    return [int(sum(sizes) / count * (1 + slack)) + 4 * largest_block + 1] * count
+def new_capacities(sizes: list[int], largest_block: int, target_bytes: int = TARGET_BYTES, slack: float = SLACK, count: int | None = None) -> list[int]:
+    """Equal capacities for ``count`` shards, or as many as the target asks for."""
+    count = count or max(1, -(-sum(sizes) // target_bytes))
+    return [int(sum(sizes) / count * (1 + slack)) + 2 * largest_block + 1] * count
 
 
 def _free(names: list[str], columns: list[str]) -> list[str]:
@@ -178,20 +179,20 @@ def _free(names: list[str], columns: list[str]) -> list[str]:
     return out
 
 
-def reshard(spark: SparkSession, path: str, capacities: list[int] | None = None, target_bytes: int = TARGET_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def reshard(spark: SparkSession, path: str, capacities: list[int] | None = None, target_bytes: int = TARGET_BYTES, block_rows: int = BLOCK_ROWS, count: int | None = None) -> DataFrame:
     """The table of Parquet files at ``path`` in its new shards, with ``old_shard``, ``new_shard`` and ``moved``."""
     rows = spark.read.parquet(path)
     kept = [c for c in rows.columns if c.lower() not in ADDED]
     file, block, donor, first, last = _free(["_path", "_block", "_from", "_first", "_last"], kept)
     place = lambda df: (df.metadataColumn("_metadata")["file_path"].alias(file), F.floor(df.metadataColumn("_metadata")["row_index"] / block_rows).alias(block))
     at = rows.select(*kept, *place(rows))
-    weight = F.lit(ROW_BYTES) + F.coalesce(F.octet_length("text"), F.lit(0)) if "text" in kept else F.lit(ROW_BYTES)
+    weight = row_weight() if "text" in kept else F.lit(ROW_BYTES)
     blocks = written(at.groupBy(file, block).agg(F.sum(weight).alias("bytes")), "blocks")
     files = blocks.groupBy(file).agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("largest")).orderBy(file).collect()
     if not files:
         return rows.select(*kept).select("*", F.lit(0).alias("old_shard"), F.lit(0).alias("new_shard"), F.lit(False).alias("moved"))
     names, sizes, largest = [f[file] for f in files], [int(f["bytes"]) for f in files], max(int(f["largest"]) for f in files)
-    limits = capacities or new_capacities(sizes, largest, target_bytes)
+    limits = capacities or new_capacities(sizes, largest, target_bytes, count=count)
     inner = [max(0, c - 2 * largest) for c in limits]
     moves = transfers(sizes, inner if sum(inner) >= sum(sizes) else limits)
 
@@ -227,3 +228,52 @@ def reshard(spark: SparkSession, path: str, capacities: list[int] | None = None,
     for part in parts[1:]:
         result = result.unionByName(part)
     return result
+
+
+def row_weight(text: str = "text") -> F.Column:
+    """Bytes that a row counts for."""
+    return F.lit(ROW_BYTES) + F.coalesce(F.octet_length(text), F.lit(0))
+
+
+def uneven_shards(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> tuple[str, int]:
+    """Write ``docs`` as shards of about 1, 2, 3 and 4 parts in ten of four targets, and so on; returns their folder and number.
+
+    A row's shard follows from its id, and rows lie in a shard by id and text, so the same table gives the same shards.
+    """
+    groups = max(1, math.ceil((docs.agg(F.sum(row_weight())).first()[0] or 0) / (4 * target_bytes)))
+    part = F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(10 * groups)), F.lit(0))
+    digit = part % 10
+    shard = F.floor(part / 10) * 4 + F.when(digit < 1, 0).when(digit < 3, 1).when(digit < 6, 2).otherwise(3)
+    path = shared_dir(docs.sparkSession, "uneven")
+    placed = docs.drop("old_shard").withColumn("old_shard", F.format_string("%06d", shard.cast("int")))
+    placed.repartition("old_shard").sortWithinPartitions("old_shard", "doc_id", "text").write.partitionBy("old_shard").parquet(path)
+    return path, 4 * groups
+
+
+def evened(docs: DataFrame, block_rows: int = 16, target_bytes: int = TARGET_BYTES) -> DataFrame:
+    """``docs`` from uneven shards in one more, equal ones."""
+    path, count = uneven_shards(docs, target_bytes)
+    return reshard(docs.sparkSession, path, target_bytes=target_bytes, block_rows=block_rows, count=count + 1)
+
+
+#: The same by the closed form: what is beyond a capacity goes, donors and receivers in order.
+ORACLE_SQL = f"""
+with d as (select doc_id, text, {ROW_BYTES} + coalesce(strlen(text), 0) as w from documents),
+t as (select sum(w) as total, greatest(1, ceil(sum(w) / (4.0 * {TARGET_BYTES})))::int as m from d),
+p as (select doc_id, text, w, r // 10 * 4 + case when r % 10 < 1 then 0 when r % 10 < 3 then 1 when r % 10 < 6 then 2 else 3 end as k
+  from (select d.*, coalesce((doc_id % (10 * m) + 10 * m) % (10 * m), 0) as r from d, t)),
+s as (select *, (dense_rank() over (order by k) - 1)::int as old_shard,
+  (row_number() over (partition by k order by doc_id nulls first, text nulls first) - 1) // 16 as block from p),
+b as (select old_shard, block, sum(w) as bytes from s group by all),
+c as (select 4 * m + 1 as n, floor(total::double / (4 * m + 1) * 1.02::double)::bigint + 1 as cap from t),
+shards as (select j, coalesce(size, 0) as size, cap, least(coalesce(size, 0), cap) as stay
+  from (select unnest(range(n)) as j, cap from c) left join (select old_shard as j, sum(bytes) as size from b group by 1) using (j)),
+give as (select j as i, size - stay as n, sum(size - stay) over (order by j) - (size - stay) as start from shards),
+room as (select j, cap - stay as n, sum(cap - stay) over (order by j) - (cap - stay) as start from shards),
+moves as (select i, j, greatest(g.start, r.start) - g.start as low, least(g.start + g.n, r.start + r.n) - g.start as high
+  from give g join room r on greatest(g.start, r.start) < least(g.start + g.n, r.start + r.n)),
+placed as (select old_shard, block, sum(bytes) over (partition by old_shard order by block desc) - bytes / 2.0::double as middle from b),
+goes as (select old_shard, block, j from placed join moves on i = old_shard and middle >= low and middle < high)
+select doc_id, old_shard, coalesce(j, old_shard)::int as new_shard, j is not null as moved, length(text)::int as n_chars
+from s left join goes using (old_shard, block)
+"""

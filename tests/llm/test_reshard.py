@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from docquarry.llm import reshard
 from tests.llm.conftest import SF
@@ -76,4 +77,29 @@ def test_empty_table_and_query(spark, empty, docs, tmp_path):
     assert reshard.reshard(spark, f"file://{tmp_path}/none").count() == 0
     from docquarry.llm.queries import op3_reshard
 
-    assert op3_reshard(spark, SF).select("doc_id").exceptAll(docs.select("doc_id")).isEmpty()
+    got = op3_reshard(spark, SF).collect()
+    assert Counter((r["doc_id"], r["n_chars"]) for r in got) == Counter((r["doc_id"], len(r["text"])) for r in docs.collect())
+    assert any(r["moved"] for r in got) and {r["new_shard"] for r in got} - {r["old_shard"] for r in got}
+
+
+def test_evened_shards_move_the_least(spark, docs):
+    """Bytes moved against what is beyond each capacity, and no row lost or changed."""
+    rows = reshard.evened(docs.withColumn("old_shard", F.lit("own")), target_bytes=20_000).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    old, new = Counter(), Counter()
+    for r in rows:
+        old[r["old_shard"]] += weight(r)
+        new[r["new_shard"]] += weight(r)
+    block = 16 * max(map(weight, rows))
+    even = sum(old.values()) / (len(old) + 1) * (1 + reshard.SLACK)
+    assert len(old) > 4 and max(new.values()) <= even + 2 * block + 1
+    assert sum(weight(r) for r in rows if r["moved"]) <= sum(max(0, n - even) for n in old.values())
+
+
+def test_messy_documents(spark, messy):
+    """Nulls, empty and very long texts, repeated rows, and columns named like the operator's own."""
+    table = messy.selectExpr("*", "'f' as _from", "1 as _block", "true as moved", "'n' as new_shard")
+    rows = reshard.evened(table).collect()
+    key = lambda r: (r["doc_id"], r["text"], r["lang"], r["_path"], r["_from"])
+    assert Counter(map(key, rows)) == Counter(map(key, table.collect()))
+    assert all(isinstance(r["moved"], bool) and isinstance(r["new_shard"], int) for r in rows)
