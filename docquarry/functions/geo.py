@@ -32,9 +32,3 @@ def cosine_column(a: Column, b: Column) -> Column:
     """Cosine of two vectors of one length; zero if either has no length."""
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / size)
-
-
-def vector_column(values: Column) -> Column:
-    """An array of strings or numbers as doubles if every element is one, else null."""
-    doubles = F.transform(values, lambda x: x.try_cast("double"))
-    return F.when(F.forall(doubles, lambda x: x.isNotNull()), doubles)

@@ -6,10 +6,13 @@ Each exists as a Spark column expression; those that also run on query strings h
 from __future__ import annotations
 
 import functools
+import math
 import re
 import sys
 import unicodedata
+from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,9 +23,6 @@ _MARKS = r"\p{Mn}+"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-# --- words ---------------------------------------------------------------------------------------
-
-
 def fold(text: str) -> str:
     """Lower case, without combining marks."""
     parts = unicodedata.normalize("NFD", text.lower())
@@ -72,9 +72,6 @@ def bigrams_column(term: Column) -> Column:
     return F.array_distinct(F.transform(places, lambda i: F.substring(term, i, F.lit(2))))
 
 
-# --- optimal string alignment --------------------------------------------------------------------
-
-
 def osa(a: str, b: str) -> int:
     """Edits between two strings, where swapping neighbours is one and no place is edited twice."""
     before: list[int] = []
@@ -90,9 +87,33 @@ def osa(a: str, b: str) -> int:
     return row[-1]
 
 
+def osa_many(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """``osa`` of many pairs, those of equal lengths at once."""
+    out = np.zeros(len(pairs), np.int32)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, (a, b) in enumerate(pairs):
+        groups.setdefault((len(a), len(b)), []).append(i)
+    for (n, m), at in groups.items():
+        a, b = (np.array([[ord(c) for c in pairs[i][side]] for i in at], np.int32).reshape(len(at), size) for side, size in ((0, n), (1, m)))
+        before, row = None, np.tile(np.arange(m + 1, dtype=np.int32), (len(at), 1))
+        for i in range(1, n + 1):
+            new = np.empty_like(row)
+            new[:, 0] = i
+            differ = a[:, i - 1 : i] != b
+            for j in range(1, m + 1):
+                best = np.minimum(np.minimum(row[:, j], new[:, j - 1]) + 1, row[:, j - 1] + differ[:, j - 1])
+                if i > 1 and j > 1:
+                    swapped = (a[:, i - 1] == b[:, j - 2]) & (a[:, i - 2] == b[:, j - 1])
+                    best = np.where(swapped, np.minimum(best, before[:, j - 2] + 1), best)
+                new[:, j] = best
+            before, row = row, new
+        out[at] = row[:, m]
+    return out
+
+
 @F.pandas_udf(IntegerType())
 def _osa_batch(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([osa(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+    return pd.Series(osa_many(list(zip(a, b, strict=True))), dtype="int32")
 
 
 def _swapped(a: Column, b: Column) -> Column:
@@ -118,9 +139,6 @@ def osa_possible(a: Column, b: Column, most: int) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= most) & (F.levenshtein(a, b, 2 * most) >= 0)
 
 
-# --- numbers and text of values ------------------------------------------------------------------
-
-
 def parse_number(text: str) -> float | None:
     return float(text) if re.match(_NUMBER, text) else {"inf": float("inf"), "+inf": float("inf"), "-inf": float("-inf"), "nan": float("nan")}.get(text.lower())
 
@@ -132,20 +150,33 @@ def number_of_text(text: Column) -> Column:
 
 def number_text(x: Column) -> Column:
     """A double as shown in facets and compared in sorts: whole numbers without a fraction."""
-    whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
-    return F.when(whole, F.floor(x).cast("string")).otherwise(x.cast("string"))
+    small = F.when(F.abs(x) < 1e15, x)  # nothing larger is made an integer
+    return F.when(small == F.floor(small), F.floor(small).cast("string")).otherwise(x.cast("string"))
 
 
 def filter_text_of_number(x: Column) -> Column:
-    """A number as a filter's text comparison sees it: fixed notation without zeros at its end."""
-    return F.rtrim(F.rtrim(F.when(x == F.floor(x), F.concat(F.floor(x).cast("string"))).otherwise(x.cast("decimal(38,12)").cast("string")), F.lit("0")), F.lit("."))
+    """A number as a filter's text comparison sees it: fixed notation without zeros at its end, those of whole numbers included."""
+    text = F.abs(x).cast("string")
+    power = F.regexp_extract(text, r"E(-?\d+)$", 1)
+    whole, part = F.regexp_extract(text, r"^(\d+)", 1), F.regexp_extract(text, r"^\d+\.(\d+)", 1)
+    e, digits = F.coalesce(power.try_cast("int"), F.lit(0)), F.concat(whole, part)
+    point = F.length(whole) + e
+    fixed = (
+        F.when(power == "", F.regexp_replace(text, r"\.0$", ""))
+        .when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= F.length(digits), digits)
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
+    )
+    short = F.rtrim(F.rtrim(fixed, F.lit("0")), F.lit("."))
+    odd = F.when(F.isnan(x), F.lit("NaN")).when(x == float("inf"), F.lit("+Inf")).when(x == float("-inf"), F.lit("-Inf"))
+    return F.coalesce(odd, F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), short))
 
 
 def filter_text(x: float) -> str:
-    return f"{x:f}".rstrip("0").rstrip(".") if x != int(x) else str(int(x)).rstrip("0").rstrip(".")
-
-
-# --- highlighting --------------------------------------------------------------------------------
+    """The same of one number."""
+    if not math.isfinite(x):
+        return "NaN" if math.isnan(x) else f"{x:+.0f}".replace("inf", "Inf")
+    return format(Decimal(repr(x + 0.0)), "f").removesuffix(".0").rstrip("0").rstrip(".")
 
 
 def highlight(text: str, terms: list[str]) -> str:

@@ -62,7 +62,11 @@ def facet_order(counts: DataFrame) -> DataFrame:
 
 
 def sort_keys(fields: Fields, keys: Sequence[tuple[str, bool]]) -> list[Column]:
-    """Order by fields: numbers by value, else by text; missing first when ascending, last when descending."""
+    """Order by fields: numbers by value, else by text; missing first when ascending, last when descending.
+
+    In a field of both, texts come before numbers when ascending.  (Comparing each two values as numbers if both
+    are and as texts otherwise, as a sort by comparisons can, is no order: 10 < "9" < 9 < 10.)
+    """
     out = []
     for name, down in keys:
         if not fields.has(name):

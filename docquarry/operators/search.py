@@ -27,12 +27,21 @@ def query_relation(spark: SparkSession, terms: Sequence[QueryTerm]) -> DataFrame
     return F.broadcast(rows) if len(terms) <= BROADCAST_TERMS else rows
 
 
-def expand(queries: DataFrame, bigrams: DataFrame, most_typos: int = 2) -> DataFrame:
+def expand(queries: DataFrame, bigrams: DataFrame, most_typos: int = 2, exact_only: bool = False) -> DataFrame:
     """``(query_id, kind, ord, term, dist)``: vocabulary terms that a query term matches.
 
     Candidates share the query term's first two characters somewhere; of these match the term itself, terms it
-    begins (at any distance, even with no typo allowed) and terms within its typos.
+    begins (at any distance, even with no typo allowed) and terms within its typos.  With ``exact_only``, a query term that
+    is in the vocabulary matches itself alone; one that is not matches as before.
     """
+    found = _expanded(queries, bigrams, most_typos)
+    if not exact_only:
+        return found
+    direct = Window.partitionBy("query_id", "kind", "ord")
+    return found.withColumn("_best", F.min("dist").over(direct)).where("dist = 0 or _best > 0").drop("_best")
+
+
+def _expanded(queries: DataFrame, bigrams: DataFrame, most_typos: int) -> DataFrame:
     key = F.substring("query_term", 1, 2)
     pairs = queries.join(bigrams, F.col("bigram") == key).drop("bigram")
     q, t, k = F.col("query_term"), F.col("term"), F.col("k")

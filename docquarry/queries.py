@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions.geo import cosine_column, haversine_column
-from docquarry.functions.text import highlight_column, osa_within_one, words_column
+from docquarry.functions.text import filter_text_of_number, highlight_column, osa_column, osa_within_one, words_column
 from docquarry.operators import filters as flt
 from docquarry.operators import search as srch
 from docquarry.operators.postings import Fields, bigrams, postings, tokens, vocabulary
-from docquarry.plans.query import parse_filters, parse_query, parse_sort, query_terms
+from docquarry.plans.query import SearchRequest, parse_facets, parse_filters, parse_query, parse_sort, parse_vector, query_terms
 from docquarry.plans.settings import Settings, SitemapSettings
 from docquarry.sources import changelog
-from docquarry.sources.documents import delete, id_column, listing, sitemap_entries, upsert
+from docquarry.sources.documents import bodies, delete, generated_products, id_column, listing, read_json, robots_txt, sitemap_entries, upsert, with_variant
+from docquarry.sources.index import Index
+from docquarry.sources.scratch import shared_dir, spread, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,7 +38,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,13 +51,20 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = Settings(searchable_fields=("p_name",))
 BODY = Settings(searchable_fields=("text",))
+_INDEXES: dict[tuple[str, str, str, str], Index] = {}
 
 
-def _search(spark: SparkSession, docs: DataFrame, settings: Settings, queries: list[str], fuzziness: str = "") -> DataFrame:
-    terms = [t for i, q in enumerate(queries) for t in query_terms(i, parse_query(q, settings.stop_words), settings, fuzziness)]
-    found = postings(docs, settings)
-    relation = srch.query_relation(spark, terms)
-    return srch.text_search(relation, found, bigrams(vocabulary(found)), settings.field_weights, max(t.k for t in terms))
+def built(spark: SparkSession, sf_dir: str, docs: str, settings: Settings) -> Index:
+    """The index of parts or texts in the shared folder; searches of one session share what the first of them built."""
+    key = (spark.sparkContext.applicationId, sf_dir, docs, settings.to_json())
+    if key not in _INDEXES:
+        table = {"parts": _parts, "texts": _texts}[docs](spark, sf_dir)
+        _INDEXES[key] = Index.build(table, settings, shared_dir(spark, f"index-{docs}"))
+    return _INDEXES[key]
+
+
+def _search(spark: SparkSession, sf_dir: str, settings: Settings, queries: list[str], fuzziness: str = "", docs: str = "parts") -> DataFrame:
+    return built(spark, sf_dir, docs, settings).search(queries, fuzziness)
 
 
 # SQL pieces: words, postings of part names and document texts, and the engine's matching and scores.
@@ -101,9 +110,6 @@ def _terms(queries: list[str], fuzziness: str = "") -> list[tuple[int, str, int,
     return [(t.query_id, t.kind, t.ord, t.term, t.k) for i, q in enumerate(queries) for t in query_terms(i, parse_query(q), Settings(), fuzziness)]
 
 
-# --- exact search and analysis -------------------------------------------------------------------
-
-
 @query(
     f"""with {_PART_TOKENS},
 q as (select * from (values (0, 'cold'), (1, 'widget')) t(ord, term)),
@@ -113,13 +119,13 @@ select doc_id, count(*) as words, count(*) * 12.0::double as score from hit grou
 def search_exact_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts whose names hold both words as they are, scored."""
     relation = srch.query_relation(spark, query_terms(0, parse_query("cold widget"), NAMES, "0"))
-    return srch.text_search(relation, postings(_parts(spark, sf_dir), NAMES), None).select("doc_id", "words", "score")
+    return srch.text_search(relation, built(spark, sf_dir, "parts", NAMES).postings, None).select("doc_id", "words", "score")
 
 
 @query(f"with {_PART_TOKENS} select doc_id from tok where term in ('cold', 'widget') group by doc_id having count(distinct term) = 2")
 def search_exact_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unranked ids of the same search."""
-    return srch.exact_search(spark, postings(_parts(spark, sf_dir), NAMES), ["cold", "widget"])
+    return built(spark, sf_dir, "parts", NAMES).search_exact(["cold", "widget"])
 
 
 @query(f"with {_DOC_TOKENS} select term, count(*) as n, count(distinct doc_id) as docs from tok group by term")
@@ -162,13 +168,10 @@ def vocab_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bigrams(vocabulary(tokens(_texts(spark, sf_dir), BODY))).groupBy("bigram").agg(F.count("*").alias("terms"))
 
 
-# --- expansion and boolean search ----------------------------------------------------------------
-
-
 @query(_search_sql(_PART_TOKENS, _terms(["wid"], "0")))
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prefix matches even where no typo is allowed."""
-    return _search(spark, _parts(spark, sf_dir), NAMES, ["wid"], "0").drop("query_id")
+    return _search(spark, sf_dir, NAMES, ["wid"], "0").drop("query_id")
 
 
 @query(
@@ -181,38 +184,126 @@ def fuzzy_terms_k1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vocabulary terms within one edit of a word, or begun by it."""
     words = ["thing", "ation", "pahtetic", "worthles"]
     queries = srch.query_relation(spark, query_terms(0, parse_query(" ".join(words)), BODY, "1"))
-    grams = bigrams(vocabulary(tokens(_texts(spark, sf_dir), BODY)))
+    grams = built(spark, sf_dir, "texts", BODY).bigrams
     names = F.create_map(*[F.lit(x) for i, w in enumerate(words) for x in (i, w)])
     return srch.expand(queries, grams, 1).select(F.element_at(names, F.col("ord")).alias("query_term"), "term", "dist")
 
 
-@query()
+#: Optimal string alignment row by row; each row of the table is folded from the two before it.
+_OSA_SQL = """osa as (
+  select q, term, 0 as i, null::int[] as before, range(0, length(term) + 1)::int[] as line from pairs
+  union all
+  select q, term, i + 1, line, list_reduce(list_transform(range(1, length(term) + 1), lambda j: [j::int]), lambda acc, x:
+    list_append(acc, least(line[x[1] + 1] + 1, acc[x[1]] + 1, line[x[1]] + (q[i + 1] <> term[x[1]])::int,
+      case when i >= 1 and x[1] >= 2 and q[i + 1] = term[x[1] - 1] and q[i] = term[x[1]] then before[x[1] - 1] + 1 else 99 end)), [i + 1])
+  from osa where i < length(q)),
+distances as (select q, term, line[length(term) + 1] as d from osa where i = length(q))"""
+
+
+@query(
+    f"""with recursive {_DOC_TOKENS}, vocab as materialized (select distinct term from tok),
+words as (select * from (values (0, 'disgutsing'), (1, 'pahtetci'), (2, 'worhtelss')) v(ord, q)),
+cand as (select ord, q, term from words join vocab on contains(term, substring(q, 1, 2))),
+pairs as (select distinct q, term from cand where abs(length(q) - length(term)) <= 2),
+{_OSA_SQL}
+select ord, term, case when starts_with(term, q) then length(term) - length(q) else d end::int as dist
+from cand left join distances using (q, term) where starts_with(term, q) or d <= 2"""
+)
 def fuzzy_terms_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same within two edits; SQL engines have only the unrestricted distance."""
-    queries = srch.query_relation(spark, query_terms(0, parse_query("disgutsing pahtetci"), BODY, "2"))
-    return srch.expand(queries, bigrams(vocabulary(tokens(_texts(spark, sf_dir), BODY))), 2).select("ord", "term", "dist")
+    """The same within two edits."""
+    queries = srch.query_relation(spark, query_terms(0, parse_query("disgutsing pahtetci worhtelss"), BODY, "2"))
+    return srch.expand(queries, built(spark, sf_dir, "texts", BODY).bigrams, 2).select("ord", "term", "dist")
+
+
+@query(
+    f"""with recursive {_DOC_TOKENS}, vocab as materialized (select distinct term from tok),
+words as (select distinct substring(term, 1, 7) || 'x' as a, term as b from vocab where length(term) between 7 and 9),
+pairs as (select a as q, b as term from words), {_OSA_SQL}
+select d::int as dist, count(*) as n from distances group by d"""
+)
+def edit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each distance lies between a word and its first seven letters with one more."""
+    vocab = vocabulary(built(spark, sf_dir, "texts", BODY).postings).where(F.length("term").between(7, 9))
+    pairs = vocab.select(F.concat(F.substring("term", 1, 7), F.lit("x")).alias("a"), F.col("term").alias("b")).distinct()
+    return pairs.select(osa_column(F.col("a"), F.col("b")).alias("dist")).groupBy("dist").agg(F.count("*").alias("n"))
+
+
+_EXACT_OR_SQL = f"""with {_PART_TOKENS}, vocab as (select distinct term from tok),
+q as (select * from (values (0, 'cold'), (1, 'widgte'), (2, 'gea')) v(ord, q)),
+near as (select ord, term, case when term = q then 0 when starts_with(term, q) then length(term) - length(q) else damerau_levenshtein(q, term) end::int as dist
+  from q join vocab on contains(term, substring(q, 1, 2)) where term = q or starts_with(term, q) or damerau_levenshtein(q, term) <= 1)
+select ord, term, dist from near qualify dist = 0 or min(dist) over (partition by ord) > 0"""
+
+
+@query(_EXACT_OR_SQL)
+def exact_or_fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word that the vocabulary has matches itself alone; one that it lacks matches as ever."""
+    queries = srch.query_relation(spark, query_terms(0, parse_query("cold widgte gea"), NAMES, "1"))
+    return srch.expand(queries, built(spark, sf_dir, "parts", NAMES).bigrams, 1, exact_only=True).select("ord", "term", "dist")
+
+
+@query(
+    """select ord::int as ord, term, case when n < 4 then 0 when n < 8 then 1 else 2 end::int as k
+from (select *, length(term) as n from (values (0, 'of'), (1, 'cold'), (2, 'widgets'), (3, 'telescope'), (4, 'großere')) v(ord, term))"""
+)
+def typo_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many typos each word of a query may have."""
+    return srch.query_relation(spark, query_terms(0, parse_query("of cold widgets telescope größere"), NAMES)).select("ord", F.col("query_term").alias("term"), "k")
+
+
+@query("select cast(null as varchar) as doc_id, 0::bigint as words, 0.0::double as score where false")
+def pure_not_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nothing but an exclusion finds nothing."""
+    return _search(spark, sf_dir, NAMES, ["-cold"], "0").select("doc_id", "words", "score")
+
+
+@query("select cast(null as varchar) as doc_id, 0::bigint as words, 0.0::double as score where false")
+def empty_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neither does a query without a word."""
+    return _search(spark, sf_dir, NAMES, [" - ... "], "0").select("doc_id", "words", "score")
+
+
+@query(
+    f"""with {_PART_TOKENS},
+q as (select * from (values (0, 'cold'), (1, 'wid')) v(ord, q)),
+hit as (select distinct doc_id, ord, case when term = q then 0 else length(term) - length(q) end as dist, term from tok join q on starts_with(term, q))
+select doc_id, string_agg(term, ' ' order by ord, dist, term) as terms from hit group by doc_id"""
+)
+def matched_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms to highlight in each document, those of each word wanted in turn."""
+    index = built(spark, sf_dir, "parts", NAMES)
+    terms = index.terms(["cold wid"], "0")
+    matched, found = index.matched(terms, srch.query_relation(spark, terms))
+    return srch.matched_terms(matched, found).select("doc_id", F.array_join("terms", " ").alias("terms"))
+
+
+@query(f"select count(*) as total_hits from ({_search_sql(_PART_TOKENS, _terms(['cold OR widget'], '0'))}) s join part on doc_id = cast(p_partkey as varchar) where p_size > 25")
+def total_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents a filtered search finds, whatever the page."""
+    found = flt.apply_filters(_parts(spark, sf_dir), parse_filters("p_size>25"))
+    return _search(spark, sf_dir, NAMES, ["cold OR widget"], "0").join(found, "doc_id").agg(F.count("*").alias("total_hits"))
 
 
 @query(_search_sql(_PART_TOKENS, _terms(["wigdet cod"], "1")))
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both words with a typo."""
-    return _search(spark, _parts(spark, sf_dir), NAMES, ["wigdet cod"], "1").drop("query_id")
+    return _search(spark, sf_dir, NAMES, ["wigdet cod"], "1").drop("query_id")
 
 
 @query(_search_sql(_PART_TOKENS, _terms(["cold OR hot"], "0")))
 def or_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, _parts(spark, sf_dir), NAMES, ["cold OR hot"], "0").drop("query_id")
+    return _search(spark, sf_dir, NAMES, ["cold OR hot"], "0").drop("query_id")
 
 
 @query(_search_sql(_PART_TOKENS, _terms(["widget -cold"], "0")))
 def not_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, _parts(spark, sf_dir), NAMES, ["widget -cold"], "0").drop("query_id")
+    return _search(spark, sf_dir, NAMES, ["widget -cold"], "0").drop("query_id")
 
 
 @query(_search_sql(_PART_TOKENS, _terms(["widget cold OR hot"], "0")))
 def must_or_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alternatives admit documents that lack the word that must match."""
-    return _search(spark, _parts(spark, sf_dir), NAMES, ["widget cold OR hot"], "0").drop("query_id")
+    return _search(spark, sf_dir, NAMES, ["widget cold OR hot"], "0").drop("query_id")
 
 
 BATCH = ["cold widget", "hot", "widget -cold", "cold OR hot", "gear", "blue bolt", "bol", "red OR blue -bolt"]
@@ -221,7 +312,7 @@ BATCH = ["cold widget", "hot", "widget -cold", "cold OR hot", "gear", "blue bolt
 @query(_search_sql(_PART_TOKENS, _terms(BATCH, "1"), select="query_id, doc_id, words, typos, exact, score"))
 def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight queries in one plan."""
-    return _search(spark, _parts(spark, sf_dir), NAMES, BATCH, "1")
+    return _search(spark, sf_dir, NAMES, BATCH, "1")
 
 
 _TWO_FIELDS = f"""tok as (
@@ -233,22 +324,19 @@ _TWO_FIELDS = f"""tok as (
 def weighted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields that count differently."""
     settings = Settings(searchable_fields=("p_name", "p_type"), field_weights={"p_name": 5.0, "p_type": 2.0})
-    return _search(spark, _parts(spark, sf_dir), settings, ["cold OR steel"], "0").drop("query_id")
+    return _search(spark, sf_dir, settings, ["cold OR steel"], "0").drop("query_id")
 
 
 @query(_search_sql(_DOC_TOKENS, _terms(["idiot OR moron -clown"], "0")))
 def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search over the document texts."""
-    return _search(spark, _texts(spark, sf_dir), BODY, ["idiot OR moron -clown"], "0").drop("query_id")
+    return _search(spark, sf_dir, BODY, ["idiot OR moron -clown"], "0", "texts").drop("query_id")
 
 
 @query(f"select * from ({_search_sql(_PART_TOKENS, _terms(['cold OR widget'], '0'))}) order by score desc, words desc, typos, exact desc, doc_id limit 20 offset 10")
 def ranked_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of a ranking."""
-    return srch.top(_search(spark, _parts(spark, sf_dir), NAMES, ["cold OR widget"], "0"), 20, 10).drop("query_id", "rank")
-
-
-# --- filters, facets, sorts ----------------------------------------------------------------------
+    return srch.top(_search(spark, sf_dir, NAMES, ["cold OR widget"], "0"), 20, 10).drop("query_id", "rank")
 
 
 def _filtered(spark: SparkSession, sf_dir: str, clauses: str) -> DataFrame:
@@ -347,13 +435,10 @@ from ({_search_sql(_PART_TOKENS, _terms(['cold OR widget'], '0'))}) t left join
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text scores of parts, with the vector of the same number added where there is one."""
     vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), F.col("embedding").alias("_vector"))
-    text = _search(spark, _parts(spark, sf_dir), NAMES, ["cold OR widget"], "0")
+    text = _search(spark, sf_dir, NAMES, ["cold OR widget"], "0")
     return srch.hybrid(text, vectors, _QUERY_VECTOR).select("doc_id", "words", F.round("score", 6).alias("score"))
 
 
-# --- projection, highlight, sitemap --------------------------------------------------------------
-
-
 @query(
     """with a as (select *, instr(lower(p_name), 'cold') as i from part),
 b as (select p_partkey, case when i > 0 then substring(p_name, 1, i - 1) || '<em>' || substring(p_name, i, 4) || '</em>' || substring(p_name, i + 4) else p_name end as n from a),
@@ -375,9 +460,6 @@ def sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitemap_entries(docs, F.col("url"), SitemapSettings(base_url="https://site.example/"))
 
 
-# --- changes -------------------------------------------------------------------------------------
-
-
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a change log: users are documents of one index by event type, some events delete."""
     e = _table(spark, sf_dir, "events")
@@ -459,3 +541,182 @@ select label, round(avg(list_cosine_similarity(e, [1.0 for i in range(64)])), 6)
 def cosine_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     ones = F.array(*[F.lit(1.0)] * 64)
     return _table(spark, sf_dir, "embeddings").groupBy("label").agg(F.round(F.avg(cosine_column(F.col("embedding").cast("array<double>"), ones)), 6).alias("mean_cosine"))
+
+
+@query(f"select * from ({_search_sql(_PART_TOKENS, _terms(['cold OR widget'], '1'))}) s where exists (select 1 from part where doc_id = cast(p_partkey as varchar) and p_size < 30) order by score desc, words desc, typos, exact desc, doc_id limit 7 offset 3")
+def merged_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URL parameters under a request body: its values win where given, its offset always."""
+    request = SearchRequest.of({"q": "hot", "filter": "p_size<30", "limit": "7", "offset": "50"}, {"q": "cold OR widget", "fuzziness": "1", "offset": 3})
+    found = _search(spark, sf_dir, NAMES, [request.query], request.fuzziness).join(flt.apply_filters(_parts(spark, sf_dir), parse_filters(request.filter)).select("doc_id"), "doc_id")
+    return srch.top(found, request.limit, request.offset).drop("query_id", "rank")
+
+
+@query("select cast(p_partkey as varchar) as doc_id from part order by 1 limit 1000")
+def capped_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is of 1,000 documents at most."""
+    request = SearchRequest.of({"q": "x", "limit": "5000"})
+    return listing(_parts(spark, sf_dir), request.limit, request.offset).select("doc_id")
+
+
+@query(
+    """with f as (select 'lang' as field, lang as value, count(*) as count from documents where lang is not null group by lang
+union all select 'source', source, count(*) from documents where source is not null group by source)
+select * from f order by field, count desc, value limit 9"""
+)
+def ordered_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facets as a client shows them, the most frequent value first; a field asked for twice or unknown adds nothing."""
+    return flt.facet_order(flt.facets(_texts(spark, sf_dir), parse_facets("lang,source,lang,none"))).limit(9)
+
+
+@query("select cast(p_partkey as varchar) as doc_id, p_name, p_size from part")
+def displayed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flt.project(_parts(spark, sf_dir), Settings(displayed_fields=("p_size", "p_name", "nothing")))
+
+
+@query(
+    """select cast(p_partkey as varchar) as doc_id, case when i > 0 then substring(p_type, 1, i - 1) || '<em>' || substring(p_type, i, 5) || '</em>' || substring(p_type, i + 5) else p_type end as p_type
+from (select *, instr(lower(p_type), 'steel') as i from part)"""
+)
+def highlighted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = _parts(spark, sf_dir).withColumn("terms", F.array(F.lit("steel")))
+    return flt.highlight_fields(page, ["p_name", "p_type"]).select("doc_id", F.col("_highlights")["p_type"].alias("p_type"))
+
+
+@query(f"select cast(vec_id as varchar) as doc_id, round(20 * list_cosine_similarity(embedding::double[], list_concat([0.5, -1.0, 0.25], list_transform(range(61), lambda i: 0.0))), 6) as score from embeddings where len(embedding) = 64")
+def parsed_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector as text, from which parts that are no number are dropped."""
+    docs = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), F.col("embedding").alias("_vector"))
+    return srch.vector_scores(docs, parse_vector("0.5, x, -1,2.5e-1," + "0," * 61)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("select vec_id, case when vec_id % 3 = 2 then null else 3 end::int as n, case when vec_id % 3 = 2 then null else round(embedding[1]::double + embedding[2]::double + 7, 5) end as total from embeddings")
+def coerced_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors in JSON: numbers and texts that spell one; anything else, and there is no vector."""
+    v = _table(spark, sf_dir, "embeddings")
+    part = lambda i: F.col("embedding")[i].cast("double").cast("string")
+    third = F.when(F.col("vec_id") % 3 == 0, F.lit("7")).when(F.col("vec_id") % 3 == 1, F.lit('"7.0"')).otherwise(F.lit('"seven"'))
+    docs = v.select("vec_id", F.concat(F.lit('{"_vector": ['), part(0), F.lit(', "'), part(1), F.lit('", '), third, F.lit("]}")).alias("doc"))
+    own = with_variant(docs).select("vec_id", F.col("_vector").alias("v"))
+    return own.select("vec_id", F.when(F.col("v").isNotNull(), F.size("v")).alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+@query(
+    """select l_orderkey, l_linenumber, case when l_extendedprice = floor(l_extendedprice) then rtrim(printf('%.0f', l_extendedprice), '0') else rtrim(printf('%.2f', l_extendedprice), '0') end as price,
+rtrim(rtrim(case when l_discount = 0 then '' else printf('%.2f', l_discount) end, '0'), '.') as discount, rtrim(printf('%.0f', l_quantity * 1e6), '0') as large, rtrim(printf('%.0f', l_quantity * 1e20), '0') as vast from lineitem"""
+)
+def filter_number_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as text comparisons of filters see them."""
+    text = lambda c: filter_text_of_number(c.cast("double"))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text(F.col("l_extendedprice")).alias("price"), text(F.col("l_discount")).alias("discount"), text(F.col("l_quantity") * 1e6).alias("large"), text(F.col("l_quantity") * 1e20).alias("vast"))
+
+
+@query("select o_orderkey, o_totalprice from orders where o_totalprice is not null")
+def filter_number_against_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number, however large, differs from a text that is none."""
+    docs = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", (F.col("o_totalprice").cast("double") * 1e30).alias("x"))
+    return flt.apply_filters(docs, parse_filters("x!=abc")).select("o_orderkey", "o_totalprice")
+
+
+@query("select cast(p_partkey as varchar) as doc_id, p_name, p_size from part where p_partkey = 77")
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(spark, sf_dir).where(F.col("doc_id") == "77").select("doc_id", "p_name", "p_size")
+
+
+@query("select cast(p_partkey as varchar) as doc_id, p_name, p_brand, p_type, p_size from part")
+def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(spark, sf_dir).drop("p_retailprice")
+
+
+@query("select conv_id || '-' || turn as doc_id, text from conversations where conv_id is not null and turn is not null")
+def json_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request body for each conversation: an array of its turns, or the turn itself if it is the only one."""
+    t = _table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
+    doc = F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    turns = t.groupBy("conv_id").agg(F.collect_list(doc).alias("docs"))
+    body = F.when(F.size("docs") == 1, F.to_json(F.col("docs")[0])).otherwise(F.concat(F.lit(" \n"), F.to_json("docs")))
+    docs = bodies(turns.select(body.alias("value")))
+    return docs.select("doc_id", F.get_json_object("doc", "$.text").alias("text"))
+
+
+@query("select 'c' || c_custkey as doc_id, c_name as name from customer where c_custkey % 5 <> 0")
+def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one array each, written and read; documents without an id are left out."""
+    c = _table(spark, sf_dir, "customer")
+    doc = F.struct(F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit("c"), F.col("c_custkey"))).alias("_id"), F.col("c_name").alias("name"))
+    path = shared_dir(spark, "files")
+    c.groupBy((F.col("c_custkey") % 8).alias("file")).agg(F.to_json(F.collect_list(doc)).alias("value")).write.partitionBy("file").text(path)
+    docs = read_json(spark, path, whole_file=True)
+    return docs.select("doc_id", F.get_json_object("doc", "$.name").alias("name"))
+
+
+@query("select event_id as seq, case when event_id % 7 = 3 then 'DELETE_DOC' else 'ADD_DOC' end as op, event_type as \"index\", cast(user_id as varchar) as doc_id from events where event_id % 10 <> 4")
+def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change log of JSON lines, written and read; blank and malformed lines are skipped."""
+    rows = _log(spark, sf_dir).where("seq >= 0")
+    line = F.when(F.col("seq") % 10 != 4, F.to_json(F.struct("seq", "op", "index", "doc_id", "doc", "settings"))).when(F.col("seq") % 20 == 4, F.lit("")).otherwise(F.lit('{"op": "ADD_DOC", "seq": '))
+    path = shared_dir(spark, "log")
+    rows.select(line.alias("value")).write.text(path)
+    return changelog.read_log(spark, path).select("seq", "op", "index", "doc_id")
+
+
+@query("select event_type as \"index\", count(*) as n from events where event_id > (select max(event_id) // 2 from events) group by event_type")
+def log_after_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a snapshot leaves of the log, by index."""
+    log = _log(spark, sf_dir)
+    seen = log.agg(F.expr("max(seq) div 2")).first()[0]
+    return changelog.after(log, seen).groupBy("index").agg(F.count("*").alias("n"))
+
+
+_GONE_AT = "(select max(event_id) // 2 from events)"
+
+
+@query(
+    f"""with t as (select min(event_type) as gone, max(event_type) as anew from events),
+log as (select event_id, event_id % 7 = 3 as del, event_type, user_id, props from events, t
+  where (event_id % 7 = 3 or props is not null) and event_type <> gone and (event_type <> anew or event_id > {_GONE_AT})),
+last as (select *, row_number() over (partition by event_type, user_id order by event_id desc) as n from log)
+select event_type as "index", count(*) filter (where n = 1 and not del) as documents from last group by event_type"""
+)
+def deleted_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each index when one was deleted half way and another deleted and created again."""
+    log = _log(spark, sf_dir)
+    r = log.agg(F.expr("max(seq) div 2").alias("at"), F.min("index").alias("gone"), F.max("index").alias("anew")).first()
+    marks = [(r["at"], changelog.DELETE_INDEX, r["gone"]), (r["at"] - 1, changelog.DELETE_INDEX, r["anew"]), (r["at"], changelog.CREATE_INDEX, r["anew"])]
+    more = spark.createDataFrame([(s, op, n, None, None, None) for s, op, n in marks], changelog.SCHEMA)
+    log = log.unionByName(more)
+    documents = changelog.fold_documents(log).groupBy("index").agg(F.count("*").alias("documents"))
+    return changelog.fold_settings(log).join(documents, "index", "left").select("index", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
+@query("select count(distinct event_type) as indexes, (select count(*) from (select event_type, user_id, max_by(event_id % 7 = 3, event_id) as del from events where event_id % 7 = 3 or props is not null group by all) where not del) as documents from events")
+def health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many indexes there are, and documents in all of them."""
+    log = _log(spark, sf_dir)
+    return changelog.fold_settings(log).agg(F.count("*").alias("indexes")).crossJoin(changelog.fold_documents(log).agg(F.count("*").alias("documents")))
+
+
+@query(
+    f"""with {_PART_TOKENS},
+syn as (select * from (values ('bolt', 'screw')) s(term, other))
+select term, count(*) as n from (select term from tok union all select other from tok join syn using (term)) where term not in ('cold', 'hot') group by term"""
+)
+def reindexed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms after stop words and synonyms are replaced: postings are made anew from the snapshot of the documents."""
+    snapshot = written(_parts(spark, sf_dir), "snapshot")
+    settings = Settings.from_json(Settings.of({"stop_words": ["cold", "hot"], "synonyms": {"bolt": ["screw"]}, "searchable_fields": ["p_name"]}).to_json())
+    return Index.build(snapshot, settings, shared_dir(spark, "reindexed")).postings.groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query("select 'Sitemap: https://h/indexes/' || replace(r_name, ' ', '%20') || '/sitemap.xml' as line from region union all select 'User-agent: *' union all select 'Allow: /'")
+def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [r["r_name"] for r in _table(spark, sf_dir, "region").select("r_name").collect()]
+    return spark.createDataFrame([(x,) for x in robots_txt("https://h/", names).splitlines()], "line string")
+
+
+@query(
+    """with p as (select range as id from range(100000))
+select 'prod_' || id as doc_id, ['Compact', 'Classic', 'Light', 'Smart', 'Solid'][(id * 3 // 7) % 5 + 1] || ' ' || ['lamp', 'speaker', 'bottle', 'camera', 'chair', 'keyboard'][(id * 5 // 7) % 6 + 1] || ' ' || id as name,
+  ['Acme', 'Borealis', 'Cobalt', 'Dune'][(id * 11 // 7) % 4 + 1] as brand, round((id * 7919 % 50000) / 100 + 5, 2) as price from p"""
+)
+def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated_products(spark).select("doc_id", "name", "brand", F.round("price", 2).alias("price"))

@@ -13,7 +13,7 @@ SCHEMA = "seq long, op string, index string, doc_id string, doc string, settings
 CREATE_INDEX, DELETE_INDEX, UPDATE_SETTINGS, ADD_DOC, DELETE_DOC = "CREATE_INDEX", "DELETE_INDEX", "UPDATE_SETTINGS", "ADD_DOC", "DELETE_DOC"
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
+def read_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """JSON lines; blank and malformed ones are skipped."""
     return spark.read.schema(SCHEMA).json(path, mode="DROPMALFORMED").where("op is not null")
 

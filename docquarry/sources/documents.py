@@ -48,11 +48,12 @@ def id_column(json_column: str = "doc") -> F.Column:
     return F.when(F.length(text) > 0, text)
 
 
-def raw_documents(spark: SparkSession, docs: Sequence[Any], first_seq: int = 0) -> tuple[DataFrame, int]:
-    """``(seq, doc_id, doc)`` rows of documents in hand, and how many had no id."""
-    rows = [(first_seq + i, document_id(d), json.dumps(d)) for i, d in enumerate(docs)]
-    kept = [r for r in rows if r[1] is not None]
-    return spark.createDataFrame(kept, RAW), len(rows) - len(kept)
+def bodies(rows: DataFrame, body: str = "value") -> DataFrame:
+    """``(doc_id, doc)`` of request bodies in a column, each an array of documents or a single one; a body that is no JSON has none."""
+    text = F.ltrim(F.col(body), F.lit(" \t\r\n"))
+    array = F.from_json(F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))), "array<variant>")
+    docs = rows.select(F.explode(array).alias("v")).select(F.to_json("v").alias("doc"))
+    return docs.select(id_column().alias("doc_id"), "doc").where("doc_id is not null")
 
 
 def read_json(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
@@ -111,16 +112,16 @@ def robots_txt(host: str, indexes: Sequence[str]) -> str:
     return "\n".join(["User-agent: *", "Allow: /", *(f"Sitemap: {host.rstrip('/')}/indexes/{quote(n, safe='')}/sitemap.xml" for n in sorted(indexes))]) + "\n"
 
 
-def generated_products(spark: SparkSession, n: int = 100_000, seed: int = 1) -> DataFrame:
-    """Synthetic products for trials."""
-    pick = lambda names, s: F.element_at(F.array(*[F.lit(x) for x in names]), (F.floor(F.rand(seed + s) * len(names)) + 1).cast("int"))
-    return spark.range(n).select(
-        F.concat(F.lit("prod_"), F.col("id")).alias("doc_id"),
-        F.concat_ws(" ", pick(["Compact", "Classic", "Light", "Smart", "Solid"], 1), pick(["lamp", "speaker", "bottle", "camera", "chair", "keyboard"], 2), F.col("id").cast("string")).alias("name"),
-        pick(["Acme", "Borealis", "Cobalt", "Dune"], 3).alias("brand"), pick(["home", "audio", "office", "outdoor"], 4).alias("category"),
-        F.round(F.rand(seed + 5) * 500 + 5, 2).alias("price"), F.round(F.rand(seed + 6) * 4 + 1, 1).alias("rating"), F.floor(F.rand(seed + 7) * 200).cast("double").alias("stock"),
-    )
+def generated_products(spark: SparkSession, n: int = 100_000) -> DataFrame:
+    """Synthetic products for trials; a product follows from its number alone."""
+    at = F.col("id")
 
+    def pick(names: list[str], step: int) -> F.Column:
+        return F.element_at(F.array(*[F.lit(x) for x in names]), (F.floor(at * step / 7) % len(names) + 1).cast("int"))
 
-def searchable(settings: Settings) -> Sequence[str] | None:
-    return settings.searchable_fields
+    return spark.range(n).select(
+        F.concat(F.lit("prod_"), at).alias("doc_id"),
+        F.concat_ws(" ", pick(["Compact", "Classic", "Light", "Smart", "Solid"], 3), pick(["lamp", "speaker", "bottle", "camera", "chair", "keyboard"], 5), at.cast("string")).alias("name"),
+        pick(["Acme", "Borealis", "Cobalt", "Dune"], 11).alias("brand"), pick(["home", "audio", "office", "outdoor"], 13).alias("category"),
+        ((at * 7919 % 50_000) / 100 + 5).alias("price"), ((at * 31 % 41) / 10 + 1).alias("rating"), (at * 17 % 200).cast("double").alias("stock"),
+    )

@@ -19,7 +19,7 @@ def stream_into(engine: Engine, index: str, source: str, checkpoint: str, once:
 
     def batch(rows: DataFrame, _: int) -> None:
         if not rows.isEmpty():
-            engine.add_table(index, rows)
+            engine.add_table(index, rows)  # a segment of what has arrived
 
     writer = docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -4,8 +4,9 @@ import json
 
 import pytest
 
-from docquarry.engine import Engine, IndexExists, NoIndex
-from docquarry.plans.query import SearchRequest
+from docquarry.engine import Engine, IndexExists, NoIndex, ResultCache
+from docquarry.operators.filters import apply_filters
+from docquarry.plans.query import SearchRequest, parse_filters
 from docquarry.plans.settings import Settings
 from docquarry.sources.documents import decode_body, document_id
 from docquarry.streaming.ingest import stream_into
@@ -162,6 +163,132 @@ def test_recovery_folds_the_log(spark, tmp_path):
     assert Engine.open(spark, str(tmp_path)).count("x") == 3
 
 
+def written_bytes(root):
+    return sum(f.stat().st_size for f in root.rglob("*") if f.is_file())
+
+
+def test_a_change_costs_what_it_brings(spark, tmp_path):
+    """The bytes of one more document don't depend on what the index holds."""
+    grown = []
+    for n in (5, 3000):
+        root = tmp_path / str(n)
+        engine = Engine.open(spark, str(root))
+        engine.create_index("x", TITLES)
+        engine.add_documents("x", [{"id": f"d{i}", "title": f"title {i} of many words in a row {i * 7}"} for i in range(n)])
+        before = written_bytes(root)
+        engine.add_documents("x", [{"id": "d1", "title": "another"}])
+        engine.delete_document("x", "d2")
+        grown.append(written_bytes(root) - before)
+        assert engine.count("x") == n - 1 and scores(engine, "x", "another") == [("d1", 12.0)] and engine.search_exact("x", "title 1") == []
+    assert grown[1] < 1.2 * grown[0]
+
+
+def test_segments_are_merged_and_left_files_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("docquarry.engine.TIER", 3)
+    engine = Engine.open(spark, str(tmp_path))
+    engine.create_index("x", TITLES)
+    expected = {}
+    for i in range(7):
+        docs = [{"id": str(j), "title": f"step{i} word{j}"} for j in range(i, i + 3)]
+        engine.add_documents("x", docs)
+        expected |= {d["id"]: d["title"] for d in docs}
+        if i % 3 == 2:
+            engine.delete_document("x", str(i))
+            del expected[str(i)]
+    got, total = engine.list_documents("x")
+    assert {d["id"]: d["title"] for d in got} == expected and total == len(expected)
+    assert len(engine.catalogue["x"]["segments"]) < 7
+    assert engine.search_exact("x", "step4") == [d for d, t in sorted(expected.items()) if t.startswith("step4")]
+    engine.compact("x")
+    assert len(engine.catalogue["x"]["segments"]) == 1 and not engine.catalogue["x"]["segments"][0]["gone"]
+    again = Engine.open(spark, str(tmp_path))
+    assert {d["id"]: d["title"] for d in again.list_documents("x")[0]} == expected
+    again.delete_index("x")
+    again.create_index("y")
+    assert not list((tmp_path / "indexes").iterdir())
+
+
+def test_held_changes_are_one_segment_and_survive_a_crash(spark, tmp_path):
+    engine = Engine.open(spark, str(tmp_path))
+    engine.create_index("x", TITLES)
+    with engine.hold():
+        engine.add_documents("x", CORPUS)
+        engine.delete_document("x", "2")
+        engine.add_documents("x", [{"id": "1", "title": "Reloaded"}])
+        assert engine.count("x") == 0
+    assert len(engine.catalogue["x"]["segments"]) == 1
+    assert sorted(d["title"] for d in engine.list_documents("x")[0]) == ["Goodfellas", "Reloaded"]
+    with pytest.raises(RuntimeError), engine.hold():
+        engine.add_documents("x", [{"id": "9", "title": "Heat"}])
+        engine.create_index("y")  # saves the catalogue meanwhile
+        assert Engine.open(spark, str(tmp_path)).search_exact("x", "heat") == ["9"]  # as after a crash here
+        raise RuntimeError
+    assert engine.search_exact("x", "heat") == ["9"] and Engine.open(spark, str(tmp_path)).list_indexes() == ["x", "y"]
+
+
+def test_recovery_of_settings_and_of_deleted_indexes(spark, tmp_path, monkeypatch):
+    engine = Engine.open(spark, str(tmp_path))
+    engine.create_index("x", TITLES)
+    engine.add_documents("x", CORPUS)
+    engine.create_index("y", TITLES)
+    monkeypatch.setattr(engine, "_save", lambda: None)  # from here on as if the process had died before saving
+    engine.merge_settings("x", stop_words=frozenset({"the"}))
+    engine.delete_index("y")
+    engine.create_index("y")
+    engine.add_documents("y", [{"id": "1", "title": "Heat"}])
+    engine.create_index("z")
+    again = Engine.open(spark, str(tmp_path))
+    assert again.list_indexes() == ["x", "y", "z"] and again.settings("x").stop_words == {"the"}
+    assert again.search_exact("x", "the") == [] and again.search_exact("x", "matrix") == ["1"]
+    assert [d["title"] for d in again.list_documents("y")[0]] == ["Heat"] and again.count("z") == 0
+
+
+def test_a_damaged_catalogue_is_an_error(spark, tmp_path):
+    Engine.open(spark, str(tmp_path)).create_index("x")
+    (tmp_path / "catalogue.json").write_text('{"seq": 3, "ind')
+    with pytest.raises(ValueError):
+        Engine.open(spark, str(tmp_path))
+
+
+def test_health_and_exact_pages(spark, films, tmp_path):
+    engine = Engine.open(spark, str(tmp_path))
+    assert engine.health() == {"status": "ok", "indexes": 0, "documents": 0}
+    assert films.health() == {"status": "ok", "indexes": 1, "documents": 3}
+    assert films.search_exact("films", "the", limit=1) == ["1"] and films.search_exact("films", "the") == ["1", "2"]
+
+
+def test_tables_take_the_last_row_of_an_order(spark, tmp_path):
+    engine = Engine.open(spark, str(tmp_path))
+    engine.create_index("t", Settings(searchable_fields=("title",)))
+    rows = [("a", "first", 1), ("a", "last", 9), ("a", "middle", 5), (None, "lost", 3)]
+    engine.add_table("t", spark.createDataFrame(rows, "doc_id string, title string, at long").repartition(3), order="at")
+    assert engine.list_documents("t") == ([{"id": "a", "title": "last"}], 1)
+
+
+def test_filters_of_huge_and_odd_numbers(spark, tmp_path):
+    engine = Engine.open(spark, str(tmp_path))
+    engine.create_index("n", Settings(searchable_fields=("title",)))
+    engine.add_documents("n", [{"id": str(i), "title": "thing", "price": p} for i, p in enumerate([1e30, 0, -2.5e-7, 100, "abc", True, None])])
+    ids = lambda f: sorted(h["id"] for h in engine.search("n", "thing", filter=f).hits)
+    assert ids("price!=abc") == ["0", "1", "2", "3", "5"] and ids("price=abc") == ["4"] and ids("price>=1e30") == ["0"]
+    typed = spark.createDataFrame([(1, 1e30), (2, float("nan")), (3, float("inf")), (4, 1.5), (5, None)], "k long, x double")
+    kept = lambda f: sorted(r["k"] for r in apply_filters(typed, parse_filters(f)).collect())
+    assert kept("x!=abc") == [1, 2, 3, 4] and kept("x>2") == [1, 2, 3] or kept("x>2") == [1, 3]
+
+
+def test_cache(films):
+    cache = ResultCache(2)
+    for i in range(3):
+        cache.put(("x", i), i)
+    assert cache.get(("x", 0)) is None and cache.get(("x", 1)) == 1
+    cache.put(("y", 0), 5)
+    assert cache.get(("x", 2)) is None  # 1 was used since
+    cache.invalidate("x")
+    assert cache.get(("x", 1)) is None and cache.get(("y", 0)) == 5
+    cache.clear()
+    assert cache.get(("y", 0)) is None
+
+
 def test_sitemap(spark, tmp_path):
     engine = Engine.open(spark, str(tmp_path))
     engine.create_index("s", Settings.of({"sitemap": {"base_url": "https://e.org/"}}))
