@@ -1,41 +1,18 @@
-"""What the operators share: where to write, Arrow plumbing, and the tables of a folder."""
+"""What the operators share: Arrow plumbing, row keys, and the tables of a folder."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ArrowMap = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from docquarry.sources.scratch import shared_dir, spread, written
 
+__all__ = ["documents_only", "keyed", "shared_dir", "table", "with_columns", "written"]
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, which the cluster names.
 
-    Where it is unset, as in local tests, a folder of this machine takes its place and is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="docquarry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table of the shared folder: lineage ends there, and a lost executor costs no rework."""
-    path = shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def keyed(df: DataFrame, what: str) -> tuple[DataFrame, str]:
@@ -53,22 +30,6 @@ def with_columns(schema: T.StructType, added: list[tuple[str, T.DataType]]) -> T
     return T.StructType(kept + [T.StructField(n, t) for n, t in added])
 
 
-def map_arrow(df: DataFrame, fn: ArrowMap, schema: T.StructType | str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def documents_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id and text, under fixed names."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-
-def local_path(uri: str) -> str:
-    return uri[7:] if uri.startswith("file://") else uri[5:] if uri.startswith("file:") else uri
-
-
-def remove_tree(path: str) -> None:
-    """Best effort, for tests; a cluster's shared folder has its own cleaner."""
-    import shutil
-
-    if os.path.isdir(local_path(path)):
-        shutil.rmtree(local_path(path), ignore_errors=True)
