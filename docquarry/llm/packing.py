@@ -42,6 +42,8 @@ WINDOW = 2048
 PIECE = 256
 LANE_BYTES = 7 << 20
 BUCKETS_A_LANE = 16
+#: Tasks that pack at most; up to there a task has eight lanes or fewer.
+MOST_TASKS = 200_000
 #: Buckets or lanes of the upper level of a prefix sum.
 LEVEL = 4096
 #: Rows of the bucket table that are broadcast at most; beyond, it is joined by shuffle.
@@ -198,6 +200,7 @@ def pack(docs: DataFrame, shares: dict[str, float] | None = None, window: int =
     docs = docs.withColumn("bucket", F.pmod("rank", F.lit(lanes * BUCKETS_A_LANE))).withColumn("queue", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
 
     sums = docs.groupBy("queue", "source", "bucket").agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).where("n > 0")
+    sums = written(sums, "sums")  # counted once
     sums = written(earlier(sums, ["queue"], "bucket", "n").withColumn("middle", F.col("_before") + F.col("n") / 2), "buckets")
     sizes = written(sums.groupBy("queue", "source").agg(F.sum("n").alias("all")), "queues")
     total = sizes.agg(F.sum("all")).first()[0] or 0
@@ -222,4 +225,6 @@ def pack(docs: DataFrame, shares: dict[str, float] | None = None, window: int =
     if sums.count() <= BROADCAST_ROWS:
         lane_of = F.broadcast(lane_of)
     placed = docs.join(lane_of, (F.col("queue") == F.col("_queue")) & (F.col("bucket") == F.col("_bucket"))).select("lane", "rank", "doc_id", "source", "text")
+    tasks = min(MOST_TASKS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), lanes // 8))
+    placed, lots = placed.repartition(tasks, "lane"), lots.repartition(tasks, "lane")
     return placed.groupBy("lane").cogroup(lots.groupBy("lane")).applyInArrow(_pack_lane(window, piece), _SCHEMA)
