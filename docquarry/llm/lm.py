@@ -35,8 +35,8 @@ from docquarry.llm.common import documents_only, written
 from docquarry.llm.tokens import WORD_BYTE, Words, slices
 
 #: Classes, and words of a class, at least and at most; between, the cube root of the words seen twice.  At the most, the
-#: frequent words and the model are 2 MB together.
-CLASSES, MOST_CLASSES = 32, 80
+#: frequent words and the model are 1.5 MB together.
+CLASSES, MOST_CLASSES = 32, 64
 TAILS = 32
 HIDDEN = 16
 ROUNDS = 3
@@ -290,20 +290,20 @@ class Vocabulary:
 
     def spelled(self, words: Words, unknown: np.ndarray) -> np.ndarray:
         """log P(spelling) of the chosen words."""
-        code = byte_pairs(words)
-        total = np.concatenate([[0.0], np.cumsum(self.spelling.reshape(-1)[code])])
-        edge = np.concatenate([[0], np.cumsum(words.ends - words.starts + 1)])
-        return total[edge[unknown + 1]] - total[edge[unknown]]
+        starts, ends = words.starts[unknown], words.ends[unknown]
+        value = self.spelling.reshape(-1)[byte_pairs(words.data, starts, ends)]
+        edge = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+        return np.add.reduceat(value, edge[:-1]) if len(value) else value
 
 
-def byte_pairs(words: Words) -> np.ndarray:
+def byte_pairs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Codes 257 * before + after of each word's bytes, edges included: its length + 1 codes."""
-    lengths = words.ends - words.starts
+    lengths = ends - starts
     n = int(lengths.sum())
     if n == 0:
         return np.zeros(0, np.int64)
     word = np.repeat(np.arange(len(lengths)), lengths)
-    flat = words.data[np.repeat(words.starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(n)].astype(np.int64)
+    flat = data[np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(n)].astype(np.int64)
     out = np.full(n + len(lengths), 256, np.int64)
     after = np.full(n + len(lengths), 256, np.int64)
     at = np.arange(n) + word
