@@ -2,6 +2,13 @@
 
 Each stage takes all that the one before kept.  Stages but the last return the columns of
 ``documents``; the last returns windows with their documents' ids and pieces of text.
+
+Defined cases: every stage judges rows by their own text, so ids may be null or repeat.  Texts without a word (null, empty,
+white space or marks alone) have no quality and go with the first stage.  Of repeated rows the second stage keeps one; rows of
+a null id are no copies of others and stay there, and are redacted and packed with the rest.  Of ties for the
+least id of a group any one row stays.  Very long texts are read whole by every stage.  Extra columns, whatever their
+names, pass through all stages but the last.  An empty table gives no window; without labels every text with words
+stays, without a benchmark none is contaminated.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), by_row=True)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
