@@ -14,10 +14,10 @@ The seeds travel to the tasks while the benchmark has at most ``BROADCAST_BYTES`
 documents are scanned once and nothing is shuffled.  A larger benchmark is joined with the documents on
 seeds, and texts follow only for candidate pairs.
 
-Defined cases: null texts match nothing; rows with a null id are in no result but pass ``clean``; an item
-shorter than ``min_match`` words can't be told from chance and matches nothing; items with a null id are
+Defined cases: null texts match nothing; rows with a null id are in no result, but ``clean`` judges every row by its own
+text; an item shorter than ``min_match`` words can't be told from chance and matches nothing; items with a null id are
 left out of results yet still clean; of rows that repeat an id the best coverage counts; extra columns
-pass through ``clean`` and are ignored elsewhere.
+pass through ``clean`` and are ignored elsewhere; without documents or items nothing is found.
 """
 
 from __future__ import annotations
@@ -254,22 +254,18 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float, min_match: int)
     return work.mapInArrow(tile, _RESULT)
 
 
-def clean(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH, by_row: bool = False) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH) -> DataFrame:
     """``docs`` without the rows that hold a benchmark passage; all columns as they were.
 
-    A benchmark beyond ``BROADCAST_BYTES`` is joined by id: rows share the fate of the others under their id, and
-    rows of a null id stay.  With ``by_row``, every row is judged by its own text on either side of that size.
+    Every row is judged by its own text, rows of a null id or of an id that repeats included, for benchmarks of any size.
     """
     items = _items(items)
     small = _small(items)
     if small is None:
-        items, key = items.withColumn("item_id", F.monotonically_increasing_id()), "doc_id"
-        if by_row:
-            docs, key = keyed(docs, "rows")
-            items = written(items, "items")
+        docs, key = keyed(docs, "rows")
+        items = written(items.withColumn("item_id", F.monotonically_increasing_id()), "items")
         found = contamination(docs.select(F.col(key).alias("doc_id"), "text"), items, coverage, min_match)
-        kept = docs.join(found.select(F.col("doc_id").alias("_found")).distinct(), docs[key] == F.col("_found"), "left_anti")
-        return kept.drop(key) if by_row else kept
+        return docs.join(found.select(F.col("doc_id").alias("_found")).distinct(), docs[key] == F.col("_found"), "left_anti").drop(key)
     shared = docs.sparkSession.sparkContext.broadcast(Seeds.of(small["item_id"].to_pylist(), small["text"].combine_chunks(), min_match))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
