@@ -1,21 +1,24 @@
-"""WARC files: a writer, and a reader that splits gzip files by byte ranges.
+"""WARC files: a writer, and a reader that splits gzip files by byte ranges and reads plain ones.
 
 Every record is a gzip member of its own.  A reading task scans its byte range for the gzip magic, takes a
-candidate for a member only if its header is sound, its data begin with a WARC header, it decodes to the end
-with a right checksum, and another member or the end of the file follows; the magic turns up inside
-compressed data now and then.  From there members follow one another.  A task owns the records that start
-inside its range and reads on beyond the range to finish the last, so every record is read once,
-wherever the ranges are cut.  Files are opened through pyarrow's file systems, which read ranges of local
+candidate for a member only if its header is sound, its data begin with a WARC header and it decodes to the end
+with a right checksum; the magic turns up inside compressed data now and then.  From there members follow one
+another.  A task owns the records that start inside its range and reads on beyond the range to finish the last, so every
+record is read once, wherever the ranges are cut.  A file that is not compressed can't be split, since a payload may hold what
+looks like a record: the task of its first range follows its records from length to length, and where a length leads to no
+record, on to the next version line behind an empty line.  Files are opened through pyarrow's file systems, which read ranges of local
 and distributed stores alike.
 
-Defined cases: an empty file or one without a member gives no rows; a damaged member is left out and the
-scan resumes behind its start; a member that holds several records gives all of them; records other than
-responses are left out by ``pages_of``; null urls and null html come back null, empty ones empty;
-repeated pages are repeated records; extra columns of pages are not written.
+Defined cases: an empty file or one without a record gives no rows; a damaged member is left out and the
+scan resumes behind its start; a sound member counts whatever follows it; a member that holds several records gives all
+of them; records other than responses are left out by ``pages_of``; null urls and null html come back null, empty ones
+empty; bytes of a payload that are no UTF-8 come back as replacement characters; repeated pages are repeated records;
+extra columns of pages are not written.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,8 +32,12 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import shared_dir, written
 
 MAGIC = b"\x1f\x8b\x08"
+VERSION = b"WARC/"
 RANGE_BYTES = 8 << 20
+#: Bytes of the headers of an uncompressed record at most; a version line before more is none.
+MOST_HEADER = 1 << 20
 _READ = 1 << 18
+_LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", re.IGNORECASE)
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -126,24 +133,16 @@ def member_at(source: Source, start: int) -> tuple[bytes, int] | None:
     return (data, at - len(unpacker.unused_data)) if data.startswith(b"WARC/") else None
 
 
-def _followed(source: Source, end: int) -> bool:
-    """Whether the file ends here or another member's header does follow."""
-    if end >= source.size:
-        return True
-    head = source.read(end, 10)
-    return head[:3] == MAGIC and len(head) == 10 and not head[3] & 0xE0
-
-
 def members(source: Source, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
     """(offset, data) of the members that start in ``[start, stop)``."""
-    at, sure = start, start == 0
+    at = start
     while at < min(stop, source.size):
         got = member_at(source, at)
-        if got is not None and (sure or _followed(source, got[1])):
+        if got is not None:
             yield at, got[0]
-            at, sure = got[1], True
+            at = got[1]
             continue
-        sure, at = False, at + 1 if source.read(at, 3) == MAGIC else at
+        at = at + 1 if source.read(at, 3) == MAGIC else at
         while at < min(stop, source.size):  # the next magic; a window overlaps the last by two bytes
             block = source.read(at, _READ)
             found = block.find(MAGIC)
@@ -153,6 +152,54 @@ def members(source: Source, start: int, stop: int) -> Iterator[tuple[int, bytes]
             at += max(1, len(block) - 2)
 
 
+def plain_at(source: Source, start: int) -> tuple[bytes, int] | None:
+    """Data and end of the uncompressed record at ``start`` if a whole one begins there behind an empty line or the file's start."""
+    if source.read(start, len(VERSION)) != VERSION or start and source.read(start - 4, 4) != b"\r\n\r\n":
+        return None
+    n, end = _READ, -1
+    while end < 0:
+        head = source.read(start, n)
+        end = head.find(b"\r\n\r\n")
+        if end < 0 and (len(head) < n or n >= MOST_HEADER):
+            return None
+        n *= 2
+    length = _LENGTH.search(head[: end + 2])
+    if length is None:
+        return None
+    last = start + end + 4 + int(length[1])
+    while source.read(last, 2) == b"\r\n":
+        last += 2
+    if last < source.size and source.read(last, len(VERSION)) != VERSION or last > source.size:
+        return None
+    return source.read(start, last - start), last
+
+
+def plain_records(source: Source) -> Iterator[tuple[int, bytes]]:
+    """(offset, data) of the records of an uncompressed file."""
+    at = 0
+    while at < source.size:
+        got = plain_at(source, at)
+        if got is not None:
+            yield at, got[0]
+            at = got[1]
+            continue
+        at += 1
+        while at < source.size:
+            block = source.read(at, _READ)
+            found = block.find(VERSION)
+            if found >= 0:
+                at += found
+                break
+            at += max(1, len(block) - len(VERSION) + 1)
+
+
+def found_in(source: Source, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
+    """(offset, data) of what a range of either kind of file owns."""
+    if source.read(0, len(VERSION)) != VERSION:
+        return members(source, start, stop)
+    return plain_records(source) if start == 0 else iter(())
+
+
 def records_in(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers, with lower-case names, and blocks of the records of a member."""
     at = 0
@@ -185,7 +232,7 @@ def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 source, rows, held = Source(path), [], 0
-                for offset, data in members(source, start, start + range_bytes):
+                for offset, data in found_in(source, start, start + range_bytes):
                     for headers, block in records_in(data):
                         kind, url, payload = headers.get("warc-type"), headers.get("warc-target-uri"), block
                         if kind == "response":
