@@ -46,8 +46,8 @@ BUCKETS_A_LANE = 16
 MOST_TASKS = 200_000
 #: Buckets or lanes of the upper level of a prefix sum.
 LEVEL = 4096
-#: Rows of the bucket table that are broadcast at most; beyond, it is joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows of the bucket table that are broadcast at most (about 50 MB); beyond, it is joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\r\n\f\v")] = True

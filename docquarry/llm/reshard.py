@@ -33,8 +33,8 @@ BLOCK_ROWS = 128
 TARGET_BYTES = 64 << 20
 SLACK = 0.02
 ROW_BYTES = 32
-#: Moves (one for each donor and receiver) broadcast at most; beyond, they are joined by shuffle.
-BROADCAST_MOVES = 500_000
+#: Moves (one for each donor and receiver) and files broadcast at most, 20 MB with paths of 200 bytes; beyond, they are joined by shuffle.
+BROADCAST_MOVES = 100_000
 ADDED = ["old_shard", "new_shard", "moved"]
 
 
@@ -202,7 +202,7 @@ def reshard(spark: SparkSession, path: str, capacities: list[int] | None = None,
     placed = blocks.withColumn("middle", F.sum("bytes").over(from_end) - F.col("bytes") / 2)
     runs = placed.join(ways, file).where("middle >= low and middle < high").groupBy(file, "new_shard").agg(F.min(block).alias(first), F.max(block).alias(last))
     plan = written(runs.select(F.col(file).alias(donor), "new_shard", first, last), "moves")
-    if len(moves) <= BROADCAST_MOVES:
+    if len(moves) + len(names) <= BROADCAST_MOVES:
         plan, shards = F.broadcast(plan), F.broadcast(shards)
 
     out = shared_dir(spark, "shards")

@@ -176,6 +176,35 @@ def test_training_helps_and_query_scores_all(spark, docs):
     assert np.mean(better) > 0.95
 
 
+def test_scores_against_one_word_at_a_time(spark, docs):
+    """Every document's log-likelihood from the model, the counts and the spelling, a word at a time."""
+    plain = lm.documents_only(docs).limit(60)
+    counts = lm.word_counts(plain)
+    words = lm.vocabulary(counts, classes=6)
+    model, n = lm.fit(plain, words, rounds=1), {r["key"]: r["n"] for r in counts.where("kind = 0").collect()}
+    first = words.shape[0] * words.shape[1]
+    texts = {r["doc_id"]: r["text"] for r in plain.collect()}
+
+    def slowly(text):
+        got = Words(pa.array([text]))
+        h, word, total = np.zeros((1, lm.HIDDEN), np.float32), lm.END, 0.0
+        for i, target in enumerate([*words.encode(got).tolist(), lm.END]):
+            h = model.step(np.array([word]), h)[0]
+            total += float(model.log_probability(h, np.array([target]))[0])
+            word = target
+            if target >= first:
+                key = int(got.hashes[i].astype(np.int64))
+                spelled = bytes(got.data[got.starts[i] : got.ends[i]])
+                edges = [256, *spelled, 256]
+                total += np.log(n[key]) - words.mass[target - first] if n[key] > 1 else words.once[target - first] + sum(words.spelling[a, b] for a, b in zip(edges, edges[1:], strict=False))
+        return total
+
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm.score(plain, model, words, counts).collect()}
+    assert got.keys() == texts.keys()
+    short = [d for d in texts if len(texts[d]) < 3000]
+    assert len(short) > 20 and np.allclose([got[d] for d in short], [slowly(texts[d]) for d in short], rtol=1e-4, atol=1e-3)
+
+
 def test_messy_documents(messy, empty):
     rows = lm.log_likelihood(messy).collect()
     assert len(rows) == 11

@@ -1,6 +1,8 @@
 import random
+from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from docquarry.llm import packing
 from tests.llm.conftest import SF
@@ -46,7 +48,8 @@ def test_deficits_stay_within_a_piece_while_queues_last(seed):
 
 def slowly(queues, shares, carried, window, piece):
     """The same round robin, a token at a time."""
-    waiting = [[(d, i) for d, n in q for i in range(n)] for q in queues]
+    waiting = [deque((d, i) for d, n in q for i in range(n)) for q in queues]
+    last = {d: n for q in queues for d, n in q}
     windows = -(-sum(map(len, waiting)) // window)
     deficit, turn, out = [0.0] * len(queues), 0, []
     while any(waiting):
@@ -61,7 +64,7 @@ def slowly(queues, shares, carried, window, piece):
         def serve(s, most):
             d, n = waiting[s][0][0], 0
             while n < most and waiting[s] and waiting[s][0][0] == d:
-                tokens.append(waiting[s].pop(0))
+                tokens.append(waiting[s].popleft())
                 n += 1
             deficit[s] -= n
             return n
@@ -75,8 +78,8 @@ def slowly(queues, shares, carried, window, piece):
             turn = (turn + 1) % len(queues)
             idle += 1
             while space and waiting[turn]:
-                d = waiting[turn][0][0]
-                if deficit[turn] < min(piece, sum(1 for x, _ in waiting[turn] if x == d)):
+                d, i = waiting[turn][0]
+                if deficit[turn] < min(piece, last[d] - i):
                     break
                 space -= serve(turn, min(int(deficit[turn]), space))
                 idle = 0
@@ -97,6 +100,21 @@ def test_round_robin_against_a_token_at_a_time(seed):
         assert a == pytest.approx(b)
 
 
+def test_query_against_a_token_at_a_time(spark, docs):
+    """Every window of the query's whole table, which is one lane here."""
+    from docquarry.llm.queries import MIXTURE, op7_packing
+
+    rows = docs.withColumn("rank", F.xxhash64("doc_id", "text")).orderBy("rank", "doc_id").collect()
+    names = sorted({r["source"] for r in rows if r["text"].split()})
+    queues = [[(r["doc_id"], len(r["text"].split())) for r in rows if r["source"] == s and r["text"].split()] for s in names]
+    expected = slowly(queues, [MIXTURE.get(s, 0.0) / len(names) for s in names], [0.0] * len(names), packing.WINDOW, packing.PIECE)
+    windows = sorted(op7_packing(spark, SF).collect(), key=lambda w: (w["lane"], w["window"]))
+    assert len({w["lane"] for w in windows}) == 1
+    assert [[(p["doc_id"], i) for p in w["pieces"] for i in range(p["start"], p["end"])] for w in windows] == [tokens for tokens, _ in expected]
+    for w, (_, deficit) in zip(windows, expected, strict=True):
+        assert [d["source"] for d in w["deficits"]] == names and [d["deficit"] for d in w["deficits"]] == pytest.approx(deficit, abs=1e-5)
+
+
 def mixed(spark, sizes, seed=1):
     rng = random.Random(seed)
     rows = [(i, s) for s, n in sizes.items() for i in range(n)]

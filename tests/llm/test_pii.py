@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from docquarry.llm import pii
+from tests.llm.conftest import SF
 
 
 @pytest.fixture(scope="module")
@@ -133,6 +134,7 @@ def test_a_long_row_of_numbers_takes_bounded_memory():
     code = """
 import random, resource, pyarrow as pa
 from docquarry.llm import pii
+from tests.llm.conftest import SF
 model, rng = pii.train(), random.Random(1)
 peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
 text, before = " ".join(str(rng.randrange(10 ** rng.randint(1, 16))) for _ in range(120_000)), peak()
@@ -150,6 +152,30 @@ def test_distant_mention_in_a_long_text(model):
     assert "jane" not in pii.redacted(text, spans[0])
 
 
+def test_query_against_whole_graphs(spark, docs, model):
+    """Every document on its own, all its tokens in the graph, against the query's spans and texts."""
+    from docquarry.llm.queries import op10_pii
+
+    got = {r["doc_id"]: r for r in op10_pii(spark, SF).collect()}
+    agree = 0
+    for r in docs.collect():
+        tokens = r["text"].split()
+        labels = model.label([tokens], [list(range(len(tokens)))])[0] if len(tokens) < 1500 and tokens else np.zeros(0, int)
+        if len(tokens) < 1500:
+            agree += bool(labels.any()) == (r["doc_id"] in got)
+        else:
+            agree += 1
+    assert agree >= 0.99 * docs.count() and got
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for d, r in got.items():
+        parts, at = [], 0
+        for e in r["entities"]:
+            assert at <= e["start"] < e["end"]
+            parts += [texts[d][at : e["start"]], f"[{e['label']}]"]
+            at = e["end"]
+        assert "".join([*parts, texts[d][at:]]) == r["redacted_text"] and r["n_entities"] == len(r["entities"])
+
+
 def test_messy_documents(messy, empty, model):
     out = pii.redact(messy, model)
     assert out.schema == messy.schema and out.count() == 11 and pii.redact(empty, model).count() == 0

@@ -1,7 +1,13 @@
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from docquarry.llm import quality
+from docquarry.llm.tokens import span_hashes
+from tests.llm.conftest import SF
 
 TABLES = "/root/testdata/sf0.01"
 
@@ -17,6 +23,42 @@ def test_held_out_grades(spark):
     assert expected[grade == 2].mean() > expected[grade == 1].mean()
 
 
+def slowly(model, text):
+    """Expected grade and tail probability of a text, a word at a time."""
+    words = re.findall("[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+    marks = re.findall("[^0-9a-z\x80-\U0010ffff \t\r\n\f\v]+", (text or "").lower())
+    if not words:
+        return 0.0, 0.0
+    score, half = 0.0, model.bits - 1
+    for kind, tokens in ((0, words), (1, marks)):
+        buckets = Counter()
+        for t in tokens:
+            data = np.frombuffer(t.encode(), np.uint8)
+            buckets[int(span_hashes(data, np.array([0]), np.array([len(data)]))[0]) >> (64 - half)] += 1
+        for b, n in buckets.items():
+            score += model.weights[b + (kind << half)] * (n / len(tokens)) ** 0.5
+    letters = [c for c in text if c.isascii() and c.isalpha()]
+    data = text.encode()
+    inside = sum(len(m.encode()) for m in marks)
+    for k, figure in enumerate((sum(c.isupper() for c in letters) / max(1, len(letters)), sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words), inside / max(1, len(data)))):
+        score += model.weights[(1 << model.bits) + k] * figure
+    above = 1 / (1 + np.exp(model.thresholds - score))
+    return above.sum(), above[-1]
+
+
+def test_query_against_brute_force(spark, docs):
+    """Every document's grade by a slow reading of the same model, and the selection that follows."""
+    from docquarry.llm.queries import op5_quality
+
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    expected = {r["doc_id"]: slowly(model, r["text"]) for r in docs.collect()}
+    got = {r["doc_id"]: (r["expected_grade"], r["tail_probability"]) for r in quality.score(docs, model).collect()}
+    assert got.keys() == expected.keys() and all(got[d] == pytest.approx(expected[d], abs=2e-4) for d in got)
+    chosen = {r["doc_id"] for r in op5_quality(spark, SF).collect()}
+    assert {d for d, (_, t) in expected.items() if t >= quality.KEEP_AT + 1e-3} <= chosen <= {d for d, (_, t) in expected.items() if t >= quality.KEEP_AT - 1e-3}
+    assert 0 < len(chosen) < len(expected)
+
+
 def test_thresholds_rise_and_tails_are_the_last_cut():
     rng = np.random.default_rng(3)
     grade = rng.integers(0, 3, 300)
