@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import documents_only, keyed, written
+from docquarry.llm.common import documents_only, keyed, lean, written
 from docquarry.llm.tokens import U64, Words, grams, slices
 
 MIN_MATCH = 5
@@ -217,7 +217,7 @@ def contamination(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE,
                 if out := [(ids[r].as_py(), seeds.ids[i], n, len(seeds.words[i])) for r, i, n in matches(batch.column("text"), seeds, coverage)]:
                     yield _rows(out)
 
-        found = docs.mapInArrow(apply, _RESULT)
+        found = docs.mapInArrow(lean(apply), _RESULT)
     best = F.max(F.struct("coverage", "covered_words", "item_words")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.covered_words", "best.item_words", F.round("best.coverage", 6).alias("coverage"))
 
@@ -238,8 +238,8 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float, min_match: int)
 
         return apply
 
-    seeds = items.mapInArrow(seed_rows("item_id"), "item_id long, seed long").distinct()
-    pairs = docs.mapInArrow(seed_rows("doc_id"), "doc_id long, seed long").distinct().join(seeds, "seed").select("doc_id", "item_id").distinct()
+    seeds = items.mapInArrow(lean(seed_rows("item_id")), "item_id long, seed long").distinct()
+    pairs = docs.mapInArrow(lean(seed_rows("doc_id")), "doc_id long, seed long").distinct().join(seeds, "seed").select("doc_id", "item_id").distinct()
     work = pairs.join(docs, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +251,7 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float, min_match: int)
             if out:
                 yield _rows(out)
 
-    return work.mapInArrow(tile, _RESULT)
+    return work.mapInArrow(lean(tile), _RESULT)
 
 
 def clean(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH) -> DataFrame:
@@ -276,4 +276,4 @@ def clean(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, min_mat
                 keep[r] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(apply, docs.schema)
+    return docs.mapInArrow(lean(apply), docs.schema)

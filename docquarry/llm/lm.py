@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import documents_only, written
+from docquarry.llm.common import documents_only, lean, written
 from docquarry.llm.tokens import WORD_BYTE, Words, slices
 
 #: Classes, and words of a class, at least and at most; between, the cube root of the words seen twice.  At the most, the
@@ -366,7 +366,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """``(kind, key, n)``: how often each word (kind 0, by hash) and byte pair (1) occurs, and the number of texts (2)."""
-    counts = docs.select("text").where("text is not null").mapInArrow(_counts, "kind int, key long, n long")
+    counts = docs.select("text").where("text is not null").mapInArrow(lean(_counts), "kind int, key long, n long")
     return written(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
 
 
@@ -444,7 +444,7 @@ def fit(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, rate: float =
 
         schema = "piece int, tokens double, mean binary"
         mine = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == turn).select("text")
-        got = mine.mapInArrow(task, schema).repartition("piece").mapInArrow(add, schema).collect()
+        got = mine.mapInArrow(lean(task), schema).repartition("piece").mapInArrow(lean(add), schema).collect()
         if got:
             values = model.flat()
             for r in got:
@@ -534,7 +534,7 @@ def score(docs: DataFrame, model: Gru, words: Vocabulary, counts: DataFrame) ->
             yield flush()
 
     schema = "doc_id long, known boolean, n_words int, value double, rare array<struct<key:long,times:int,spelled:float>>"
-    base = written(docs.mapInArrow(apply, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
+    base = written(docs.mapInArrow(lean(apply), schema).withColumn("row", F.monotonically_increasing_id()), "scores")
     rare = base.select("row", F.explode("rare").alias("w")).select("row", "w.*")
     seen = counts.where("kind = 0 and n > 1").select("key", "n")
     tail = F.pmod("key", F.lit(TAILS)).cast("int")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import written
+from docquarry.llm.common import release, small_batches, written
 from docquarry.llm.tokens import runs, string_buffers
 
 WINDOW = 2048
@@ -138,7 +138,10 @@ def _pack_lane(window: int, piece: int):
                 }
             )
         schema = pa.schema([("lane", pa.int64()), ("window", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(_PIECE_TYPE)), ("deficits", pa.list_(pa.struct([("source", pa.string()), ("deficit", pa.float64())])))])
-        return pa.Table.from_pylist(rows, schema)
+        packed = pa.Table.from_pylist(rows, schema)
+        del rows, raw, data
+        release()
+        return packed
 
     return apply
 
@@ -194,6 +197,7 @@ def pack(docs: DataFrame, shares: dict[str, float] | None = None, window: int =
     """Windows ``(lane, window, n_tokens, doc_ids, pieces, deficits)``; ``shares`` default to the corpus's own."""
     if any(not 0 <= w < math.inf for w in (shares or {}).values()):
         raise ValueError("a share is a number of zero or more")
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     docs = docs.where("text is not null").withColumn("rank", F.xxhash64("doc_id", "text"))
     lanes = max(1, round((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / lane_bytes))

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from docquarry.llm.common import documents_only
+from docquarry.llm.common import documents_only, lean, small_batches
 from docquarry.llm.tokens import runs, slices, string_buffers
 
 LABELS = ("O", "EMAIL", "PHONE", "CARD", "IP", "SECRET")
@@ -515,11 +515,12 @@ def entities(docs: DataFrame, model: SkipChain | None = None) -> DataFrame:
             )
 
     schema = "doc_id long, n_entities int, entities array<struct<start:int,end:int,label:string>>, redacted_text string"
-    return documents_only(docs).where("doc_id is not null and text is not null").mapInArrow(apply, schema)
+    return documents_only(docs).where("doc_id is not null and text is not null").mapInArrow(lean(apply), schema)
 
 
 def redact(docs: DataFrame, model: SkipChain | None = None) -> DataFrame:
     """``docs`` with every entity in ``text`` replaced by its label in brackets."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or train())
     names = docs.columns
     counted = "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, (T.LongType, T.IntegerType))
@@ -539,4 +540,4 @@ def redact(docs: DataFrame, model: SkipChain | None = None) -> DataFrame:
                 batch = pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
             yield batch
 
-    return docs.mapInArrow(apply, docs.schema)
+    return docs.mapInArrow(lean(apply), docs.schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import documents_only, with_columns
+from docquarry.llm.common import documents_only, lean, with_columns
 from docquarry.llm.tokens import U64, WORD_BYTE, Words, runs, slices, span_hashes, string_buffers
 
 BITS = 16
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits:
                     names=["doc_id", "grade", "feature", "value"],
                 )
 
-    got = chosen.mapInArrow(extract, "doc_id long, grade int, feature array<int>, value array<float>").toArrow().combine_chunks()
+    got = chosen.mapInArrow(lean(extract), "doc_id long, grade int, feature array<int>, value array<float>").toArrow().combine_chunks()
     if got.num_rows == 0:
         return fit_cumulative_link(np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, int), bits=bits)
     got = got.sort_by("doc_id").combine_chunks()
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: CumulativeLink, text_col: str = "text") -> Dat
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(np.round(expected, 6)), pa.array(np.round(tail, 6))], names=schema.names)
 
-    return docs.mapInArrow(apply, schema)
+    return docs.mapInArrow(lean(apply), schema)
 
 
 def select(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -220,4 +220,4 @@ def kept(docs: DataFrame, model: CumulativeLink, keep_at: float = KEEP_AT, text_
             for a, b in slices(texts):
                 yield batch.slice(a, b - a).filter(pa.array(np.round(model.grades(texts.slice(a, b - a))[1], 6) >= keep_at))
 
-    return docs.mapInArrow(apply, docs.schema)
+    return docs.mapInArrow(lean(apply), docs.schema)
