@@ -7,7 +7,9 @@ for the span's first turn), and takes new turns as long as the budget holds.  Lo
 turns that are new; system, user and repeated turns are masked, so each answer is a target exactly once.
 
 Where a window may start decides all of it, so span and history are found for every turn at once by binary search
-in the prefix sums and followed from the first.
+in the prefix sums and followed from the first.  Turns reach a task in order and are let go as soon as they are in no
+window to come, so a conversation of any length takes little memory; it is not cut, because every window depends on all
+before it.
 
 Defined cases: rows with a null conv_id are left out; a null text is an empty one, a null role
 is "unknown"; turns are ordered by turn, role and text, nulls last, so ties and repeated rows have one
@@ -25,13 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.llm.common import lean
+
 BUDGET = 256
 HISTORY_TURNS = 2
 HISTORY_TOKENS = 96
+#: Bytes of turns after which a conversation's sure windows are written.
+HELD_BYTES = 1 << 20
 
 
-def spans(tokens: np.ndarray, system: int, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS) -> list[tuple[int, int, int]]:
-    """(first repeated turn, first new turn, end) of each window over ordinary turns."""
+def spans(tokens: np.ndarray, system: int, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS, first: int = 0) -> list[tuple[int, int, int]]:
+    """(first repeated turn, first new turn, end) of each window over ordinary turns, the first of them new from ``first`` on."""
     n = len(tokens)
     sums = np.concatenate([[0], np.cumsum(tokens)])
     start = np.arange(n)
@@ -40,7 +46,7 @@ def spans(tokens: np.ndarray, system: int, budget: int = BUDGET, history_turns:
     history = np.maximum(np.minimum(history, start), start - history_turns).clip(0)
     end = np.searchsorted(sums, sums[history] + budget - system, "right") - 1
     end = np.maximum(end, start + 1)
-    out, at = [], 0
+    out, at = [], first
     while at < n:
         out.append((int(history[at]), at, int(end[at])))
         at = int(end[at])
@@ -62,35 +68,80 @@ def formatted(turns: list[tuple[str, str]], targets: list[bool]) -> tuple[str, s
 _SCHEMA = "conv_id long, window int, n_tokens int, n_repeated int, n_new int, n_targets int, over_budget boolean, text string, loss_spans string"
 
 
+class Conversation:
+    """The turns of a conversation that may still be in a window."""
+
+    def __init__(self, name: int, budget: int, history_turns: int, history_tokens: int):
+        self.name, self.limits = name, (budget, history_turns, history_tokens)
+        self.lead: tuple[str, str, int] | None = None
+        self.found = False  # the lead among the turns
+        self.turns: list[tuple[str, str, int]] = []
+        self.at, self.window, self.held = 0, 0, 0
+
+    def add(self, role: str, text: str, n: int) -> list[tuple]:
+        """One more turn; returns the windows that are sure, now and then."""
+        if role == "system" and self.lead is not None and not self.found:
+            self.found = True
+            return []
+        self.turns.append((role, text, n))
+        self.held += 64 + len(text)
+        return self.windows(last=False) if self.held > HELD_BYTES else []
+
+    def windows(self, last: bool) -> list[tuple]:
+        """Windows that end before the last known turn, or all."""
+        fixed = [] if self.lead is None else [self.lead]
+        base, (budget, history_turns, _) = sum(t[2] for t in fixed), self.limits
+        found = spans(np.array([t[2] for t in self.turns], np.int64), base, *self.limits, first=self.at)
+        if last and not found and self.window == 0:
+            found = [(0, 0, 0)]
+        out = []
+        for a, b, c in found:
+            if c == len(self.turns) and not last:
+                break
+            used = fixed + self.turns[a:c]
+            targets = [False] * (len(fixed) + b - a) + [t[0] == "assistant" for t in self.turns[b:c]]
+            text, marks = formatted([t[:2] for t in used], targets)
+            total = sum(t[2] for t in used)
+            out.append((self.name, self.window, total, b - a, c - b, sum(targets), total > budget, text, marks))
+            self.at, self.window = c, self.window + 1
+        gone = max(0, self.at - history_turns)
+        self.turns, self.at, self.held = self.turns[gone:], self.at - gone, 0
+        return out
+
+
 def format_chats(conversations: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
     """One row for each window of each conversation."""
-    turn = F.struct(
-        F.col("turn").isNull().alias("late"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"\S+")).alias("n"),
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    turns = conversations.where("conv_id is not null").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.lit(1).alias("part"), F.col("turn").isNull().alias("late"), F.col("turn").cast("long").alias("turn"),
+        F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), text.alias("text"), F.regexp_count(text, F.lit(r"\S+")).alias("n"),
     )
-    whole = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn")).where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    leads = turns.where("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("late", "turn", "role", "text", "n")).alias("lead")).select("conv_id", F.lit(0).alias("part"), "lead.*")
+    names = ["conv_id", "window", "n_tokens", "n_repeated", "n_new", "n_targets", "over_budget", "text", "loss_spans"]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string())
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: Conversation | None = None
         for batch in batches:
-            rows = []
-            for conv, turns in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist(), strict=True):
-                lead = next((i for i, t in enumerate(turns) if t["role"] == "system"), None)
-                fixed = [] if lead is None else [turns[lead]]
-                rest = [t for i, t in enumerate(turns) if i != lead]
-                base = sum(t["n"] for t in fixed)
-                found = spans(np.array([t["n"] for t in rest], np.int64), base, budget, history_turns, history_tokens) or [(0, 0, 0)]
-                for k, (a, b, c) in enumerate(found):
-                    used = fixed + rest[a:c]
-                    targets = [False] * (len(fixed) + b - a) + [t["role"] == "assistant" for t in rest[b:c]]
-                    text, marks = formatted([(t["role"], t["text"]) for t in used], targets)
-                    total = sum(t["n"] for t in used)
-                    rows.append((conv, k, total, b - a, c - b, sum(targets), total > budget, text, marks))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string())
-            names = ["conv_id", "window", "n_tokens", "n_repeated", "n_new", "n_targets", "over_budget", "text", "loss_spans"]
+            rows: list[tuple] = []
+            for name, part, role, words, n in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "part", "role", "text", "n")), strict=True):
+                if now is None or now.name != name:
+                    rows += now.windows(last=True) if now is not None else []
+                    now = Conversation(name, budget, history_turns, history_tokens)
+                if part == 0:
+                    now.lead = (role, words, n)
+                else:
+                    rows += now.add(role, words, n)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                yield made(rows)
+        if now is not None and (rows := now.windows(last=True)):
+            yield made(rows)
 
-    return whole.mapInArrow(apply, _SCHEMA)
+    ordered = turns.unionByName(leads).repartition("conv_id").sortWithinPartitions("conv_id", "part", "late", "turn", "role", "text")
+    return ordered.mapInArrow(lean(apply), _SCHEMA)
 
 
 ORACLE_SQL = r"""

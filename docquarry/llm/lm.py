@@ -10,7 +10,7 @@ their spelling under a byte bigram model, whose counts also come from all docume
 proper probability, and it follows the whole corpus however large the vocabulary.
 
 Training is truncated backpropagation through time over the whole corpus, once, every token a target: the documents
-are split by hash into ``ROUNDS`` rounds; in a round every task starts from the current weights,
+are split by hash into rounds, more of them for more tokens; in a round every task starts from the current weights,
 trains on its share in streams whose state is carried from window to window, and the tasks' weights are averaged by tokens
 they saw.  A stream may begin inside a document, with a state of zero.  Weights are summed in pieces after a shuffle, so
 the driver receives one model whatever the number of tasks.  Scoring carries the state through each document from its
@@ -39,7 +39,8 @@ from docquarry.llm.tokens import WORD_BYTE, Words, slices
 CLASSES, MOST_CLASSES = 32, 64
 TAILS = 32
 HIDDEN = 16
-ROUNDS = 3
+#: Rounds at least, and the tokens from which each doubling takes one more: with more tasks weights are averaged more often.
+ROUNDS, ROUND_TOKENS = 3, 1 << 24
 STEPS = 16
 STREAMS = 512
 CHUNK_TOKENS = STEPS * STREAMS * 48
@@ -401,8 +402,13 @@ def _with_ends(ids: np.ndarray, row: np.ndarray) -> np.ndarray:
     return np.insert(ids, row[1:], END)
 
 
-def fit(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, rate: float = RATE) -> Gru:
+def rounds_for(tokens: float) -> int:
+    return max(ROUNDS, int(np.ceil(np.log2(max(1.0, tokens / ROUND_TOKENS)))))
+
+
+def fit(docs: DataFrame, words: Vocabulary, rounds: int | None = None, rate: float = RATE) -> Gru:
     """One pass over all documents, in rounds of local training and averaging."""
+    rounds = rounds or rounds_for(float(words.counts.sum()))
     context = docs.sparkSession.sparkContext
     model = words.initial()
     shape = model.shape

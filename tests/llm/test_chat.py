@@ -32,6 +32,26 @@ def test_spans_against_brute_force(seed):
     assert chat.spans(np.array(tokens, np.int64), system) == slowly(tokens, system, chat.BUDGET, chat.HISTORY_TURNS, chat.HISTORY_TOKENS)
 
 
+@pytest.mark.parametrize("held", [0, 300, 5000])
+def test_a_long_conversation_in_pieces(spark, monkeypatch, held):
+    """Windows don't depend on when turns are let go; few turns are held."""
+    rng = random.Random(held)
+    turns = [(i, rng.choice(["user", "assistant", "system"]), "w " * rng.choice([0, 1, 5, 30, 90, 300])) for i in range(400)]
+    rows = [(c, i, r, t) for c in (1, 2) for i, r, t in turns[: 400 if c == 1 else 3]] + [(3, 0, "system", "alone")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    expected = sorted(map(tuple, chat.format_chats(df).collect()))
+    name, most = chat.Conversation(1, chat.BUDGET, chat.HISTORY_TURNS, chat.HISTORY_TOKENS), 0
+    monkeypatch.setattr(chat, "HELD_BYTES", held)
+    name.lead = next((r, t, len(t.split())) for _, r, t in turns if r == "system")
+    got = []
+    for _, r, t in turns:
+        got += name.add(r, t, len(t.split()))
+        most = max(most, len(name.turns))
+    got += name.windows(last=True)
+    assert got == [r for r in expected if r[0] == 1] and len(got) > 20
+    assert most < (40 if held < 1000 else 200)
+
+
 def test_targets_once_and_repeats_masked(spark):
     turns = [("system", "be kind")] + [("user" if i % 2 == 0 else "assistant", f"turn{i} " * 60) for i in range(12)]
     df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn int, role string, text string")
