@@ -6,20 +6,23 @@ classes.  The result has a row for each document with its class and the number o
 documents and not with the pairs, though every pair is verified.
 
 A count-vector R-tree alone cannot be spread over a cluster: boxes of unrelated texts overlap, so all
-trees would meet all trees.  Keys bring nodes together first:
+trees would meet all trees.  A prefix filter brings nodes together first, and it loses no pair:
 
-* pairs with a set of up to ``SMALL`` grams meet exactly: a set's keys are its least grams, as many as must hold
-  the least common gram of any pair at the threshold;
-* of larger sets, ``2 * BANDS`` group minima of the n-gram hashes, two to a key, bring a pair of Jaccard j
-  together with probability ``1 - (1 - j^2)^BANDS`` (0.9999 at 0.5, 1 - 6e-7 at 0.6).
+* grams have one order, frequent ones last.  So many of a set's first grams are its *prefix* that any two linked sets share a
+  gram of both prefixes.  Which grams count as frequent is read from a sample and from the prefixes themselves; it
+  decides the cost and never the result;
+* the holders of a gram are paired, and a pair's shared prefix grams are counted.  With these and what is behind the
+  last of them a pair's overlap is bounded; pairs below the threshold are left out.  A gram of more than ``MOST_PAIRED``
+  holders is not paired: its holders, by size, are chained wherever the sizes allow a link;
+* nodes that are connected by what is left form a *unit*, and any two nodes of a unit are compared.  A
+  link lies in one unit, so it counts once.
 
-The nodes of a key are the points of an R-tree (a single leaf, if they are few); its bounds discard pairs, and a pair
-that meets under several keys counts under one alone.  The sets of what is left are compared in full, so no link is
-wrong.  A key of many nodes or grams is cut into tiles, and each two tiles are a unit of work of their own: no task
-holds more than two tiles, and nothing is written for a pair.
+The nodes of a unit are the points of an R-tree (a single leaf, if they are few); its bounds discard pairs, and the
+sets of what is left are compared in full, so no link is wrong.  A unit of many nodes or grams is cut into tiles,
+and each two tiles are a unit of work of their own: no task holds more than two tiles.
 
-Shuffles: nodes by set; keys; count vectors of nodes that share a key; sets of nodes with a pair that no bound
-excludes, once for each unit of such a pair.
+Shuffles: nodes by set; the prefixes' grams, packed; pairs that share a prefix gram, a row for each bucket of grams that they
+meet in; edges of units; sets of nodes of a unit, once for each piece of work.
 
 Defined cases: null ids are left out; a text without words (null, empty, marks alone) is a class of its own with no
 link and no copy; a text of fewer than n words is one gram of all of them; every row counts on its own, so repeated rows
@@ -42,10 +45,16 @@ from docquarry.llm.tokens import U64, Words, grams, mix, slices
 
 N = 3
 THRESHOLD = 0.5
-BANDS = 32
 GROUPS = 32
-#: A set of no more grams meets its partners by its least grams, which is exact.
-SMALL = 30
+#: A gram of a prefix with more holders chains them; one with fewer pairs them.
+MOST_PAIRED = 256
+#: Rows and grams read for frequent grams, how often a gram is in them to be one, and frequent grams at most (36 MB to every task).
+SAMPLE_ROWS, SAMPLE_GRAMS = 16_384, 1 << 23
+SAMPLE_TIMES = 3
+FREQUENT = 1 << 22
+#: Grams of the sets for each bucket (some half are in prefixes), and prefix grams held by a task before they are sent.
+BUCKET_GRAMS = 1 << 20
+HELD_GRAMS = 1 << 19
 #: Nodes and grams of a tile, about; a key with more has several.
 TILE_NODES = 4096
 TILE_GRAMS = 1 << 20
@@ -54,15 +63,6 @@ BROADCAST_IDS = 1_000_000
 #: Bytes of the bit matrix that compares a unit's sets; sets that need more are merged pair by pair.
 MATRIX_BYTES = 96 << 20
 
-_BINS = 2 * BANDS
-_BOUNDS = (np.arange(_BINS, dtype=np.uint64) << U64(58)) if _BINS == 64 else None
-_EMPTY = U64(0xFFFFFFFFFFFFFFFF)
-_BORROW = np.array([[(b * 0x9E3779B1 + a * 0x85EBCA6B + (a * b * 0xC2B2AE35 >> 7)) % 0xFFFFFFFB % _BINS for a in range(256)] for b in range(_BINS)])
-#: The low bits of a key: its band, or this for a least gram.
-_BY_GRAM = BANDS
-_LOW = U64(2 * BANDS - 1)
-
-
 def gram_sets(texts: pa.Array, n: int = N) -> Iterator[np.ndarray]:
     """Each text's sorted distinct n-gram hashes."""
     for a, b in slices(texts):
@@ -78,79 +78,217 @@ def set_key(members: np.ndarray) -> int:
     return int(mix(mix(members).sum(dtype=np.uint64, keepdims=True) + U64(len(members)))[0].astype(np.int64))
 
 
-def group_minima(sets: list[np.ndarray]) -> np.ndarray:
-    """The least member of each of the groups by leading bits; an empty group borrows a full one's."""
-    out = np.full((len(sets), _BINS), _EMPTY)
-    for i, members in enumerate(sets):
-        at = np.searchsorted(members, _BOUNDS)
-        full = at < np.append(at[1:], len(members))
-        out[i, full] = members[at[full]]
-    own = out.copy()
-    for attempt in range(_BORROW.shape[1]):
-        row, column = np.nonzero(out == _EMPTY)
-        if len(row) == 0:
-            break
-        out[row, column] = own[row, _BORROW[column, attempt]]
-    for row in np.flatnonzero((out == _EMPTY).any(1)):
-        out[row, out[row] == _EMPTY] = own[row].min()
-    return out
-
-
-def band_keys(minima: np.ndarray) -> np.ndarray:
-    """A key for each two minima; its low bits are the band."""
-    band = np.arange(BANDS, dtype=np.uint64)
-    keys = mix(mix(minima[:, 0::2] + band * U64(0x9E3779B97F4A7C15)) + minima[:, 1::2])
-    return ((keys & ~_LOW) | band).astype(np.int64)
-
-
-def gram_keys(members: np.ndarray) -> np.ndarray:
-    """The keys of single grams."""
-    return ((mix(members) & ~_LOW) | U64(_BY_GRAM)).astype(np.int64)
-
-
-def least_grams(members: np.ndarray, threshold: float) -> np.ndarray:
-    """So many of a set's least grams that the least common gram of a pair at the threshold is among them."""
-    return members[: len(members) - int(np.ceil(threshold * len(members) - 1e-9)) + 1]
-
-
 def group_counts(members: np.ndarray) -> np.ndarray:
     """How many members fall in each group; saturated vectors bound nothing."""
     counts = np.bincount((members & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
     return np.where(counts.max() < 65535, counts, 65535).astype(np.uint16)
 
 
-def sketches(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """For each row ``(row, doc_id, text)`` its node, set size, keys, group counts and 32 bits of each band key."""
-    names = ["row", "doc_id", "node", "size", "keys", "counts", "marks"]
+def sketches(docs: DataFrame, n: int = N) -> DataFrame:
+    """For each row ``(row, doc_id, text)`` its node and set size."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
             for a, b in slices(texts):
                 sets = list(gram_sets(texts.slice(a, b - a), n))
-                large = [i for i, s in enumerate(sets) if len(s) > SMALL]
-                bands = dict(zip(large, band_keys(group_minima([sets[i] for i in large])), strict=True)) if large else {}
-                keys, marks = [], []
-                for i, s in enumerate(sets):
-                    own = bands.get(i, np.zeros(0, np.int64))
-                    marks.append((own >> 16).astype(np.uint32).tobytes())
-                    keys.append(np.concatenate([own, gram_keys(least_grams(s, threshold))]) if 0 < len(s) * threshold <= SMALL else own)
                 sizes = np.array([len(s) for s in sets])
-                edge = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("row").slice(a, b - a),
-                        batch.column("doc_id").slice(a, b - a),
-                        pa.array([set_key(s) if len(s) else 0 for s in sets], pa.int64(), mask=sizes == 0),
-                        pa.array(sizes, pa.int32()),
-                        pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(keys))),
-                        pa.array([group_counts(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
-                        pa.array(marks, pa.binary()),
-                    ],
-                    names=names,
-                )
-
-    return docs.mapInArrow(lean(apply), "row long, doc_id long, node long, size int, keys array<long>, counts binary, marks binary")
+                node = pa.array([set_key(s) if len(s) else 0 for s in sets], pa.int64(), mask=sizes == 0)
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), batch.column("doc_id").slice(a, b - a), node, pa.array(sizes, pa.int32())], names=["row", "doc_id", "node", "size"])
+
+    return docs.mapInArrow(lean(apply), "row long, doc_id long, node long, size int")
+
+
+class Frequent:
+    """Grams that come last in the order, and by what class: the more frequent, the later."""
+
+    def __init__(self, grams: np.ndarray, times: np.ndarray):
+        most = np.argsort(-times, kind="stable")[:FREQUENT]
+        self.grams, at = np.unique(grams[most], return_index=True)
+        self.kind = np.minimum(63, 1 + np.log2(times[most][at])).astype(np.uint8)
+
+    def classes(self, members: np.ndarray) -> np.ndarray:
+        """Zero, or a frequent gram's class."""
+        if len(self.grams) == 0:
+            return np.zeros(len(members), np.uint8)
+        at = np.minimum(np.searchsorted(self.grams, members), len(self.grams) - 1)
+        return np.where(self.grams[at] == members, self.kind[at], 0).astype(np.uint8)
+
+
+def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
+    """So many of a set's first grams that the first common gram of a pair at the threshold is among them."""
+    return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+
+
+def prefixes(sets: list[np.ndarray], frequent: Frequent, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The grams of the sets' prefixes, whose they are, and their places in the order of the set."""
+    size = np.array([len(s) for s in sets])
+    members, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(owner * 64 + frequent.classes(members), kind="stable")
+    place = np.arange(len(members)) - np.repeat(np.cumsum(size) - size, size)
+    keep = place < prefix_length(size, threshold)[owner]
+    return members[order[keep]], owner[keep], place[keep]
+
+
+def _sampled(n: int):
+    """Grams that are in several sets of the rows, and in how many."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        total = 0
+        for batch in batches:
+            for a, b in slices(batch.column("text")):
+                if total < SAMPLE_GRAMS:
+                    new = {set_key(s): s for s in gram_sets(batch.column("text").slice(a, b - a), n) if len(s)}
+                    total += sum(len(s) for k, s in new.items() if k not in held)
+                    held |= new
+        if held:
+            grams, times = np.unique(np.concatenate(list(held.values())), return_counts=True)
+            often = times >= SAMPLE_TIMES
+            yield pa.RecordBatch.from_arrays([pa.array(grams[often].astype(np.int64)), pa.array(times[often].astype(np.int64))], names=["gram", "times"])
+
+    return apply
+
+
+def _packed(threshold: float, n: int, buckets: int, frequent):
+    """The prefixes' grams by bucket: columns of many in one value, a set's next to each other."""
+    kinds = (("grams", np.uint64), ("nodes", np.int64), ("sizes", np.int32), ("places", np.uint16))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            held.clear()
+            bucket = (mix(columns[0]) % U64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order]
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            edge = np.append(first, len(bucket))
+            values = [c[order].astype(kind) for c, (_, kind) in zip(columns, kinds, strict=True)]
+            for at in range(0, len(first), 64):
+                some = range(at, min(at + 64, len(first)))
+                parts = [pa.array([v[edge[i] : edge[i + 1]].tobytes() for i in some], pa.binary()) for v in values]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first[at : at + 64]]), *parts], names=["bucket", *(name for name, _ in kinds)])
+
+        for batch in batches:
+            for a, b in slices(batch.column("text")):
+                sets = []
+                for s in gram_sets(batch.column("text").slice(a, b - a), n):
+                    if len(s) and (key := set_key(s)) not in seen:  # a copy in another task is dropped in the bucket
+                        seen.add(key)
+                        sets.append((key, s))
+                if not sets:
+                    continue
+                grams, owner, place = prefixes([s for _, s in sets], frequent.value, threshold)
+                held.append((grams, np.array([k for k, _ in sets])[owner], np.array([len(s) for _, s in sets])[owner], np.minimum(place, 65535)))
+                if len(seen) > 1 << 17:
+                    seen.clear()
+                if sum(len(h[0]) for h in held) >= HELD_GRAMS:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    return apply
+
+
+_MET = "gram boolean, a long, b long, met int, rest int, needed int"
+
+
+def _met(threshold: float):
+    """Pairs of nodes that share prefix grams of a bucket: how many, the most that can be shared behind the last of them, and
+    the overlap that a link needs.  Of grams with too many holders, edges that need nothing, and the gram with their number."""
+    share = threshold / (1 + threshold)
+
+    def rows(gram: bool, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        for at in range(0, len(columns[0]), 1 << 16):
+            parts = [pa.array(c[at : at + (1 << 16)].astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts[0]), gram)), *parts], names=["gram", "a", "b", "met", "rest", "needed"])
+
+    def merged(pieces: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        """One row for each pair."""
+        a, b, met, rest, needed = (np.concatenate(c) for c in zip(*pieces, strict=True))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        return a[first], b[first], np.add.reduceat(met[order], first), np.minimum.reduceat(rest[order], first), needed[order[first]]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_runs(batches, "bucket"):
+            gram, node, size, place = (np.frombuffer(b"".join(part[c].to_pylist()), k) for c, k in (("grams", np.uint64), ("nodes", np.int64), ("sizes", np.int32), ("places", np.uint16)))
+            order = np.lexsort((node, size, gram))
+            gram, node, size, place = gram[order], node[order], size[order].astype(np.int64), place[order].astype(np.int64)
+            new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])])
+            gram, node, size, place = gram[new], node[new], size[new], place[new]
+            start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            length = np.diff(np.append(start, len(gram)))
+            shared = np.repeat(length > 1, length)
+            many = np.repeat(length > MOST_PAIRED, length)
+            run = np.repeat(np.arange(len(start)), length)
+            at = np.flatnonzero(many[:-1] & (run[1:] == run[:-1]))
+            at = at[size[at] >= threshold * size[at + 1] - 1e-9]
+            one = np.ones(len(at))
+            yield from rows(False, node[at], node[at + 1], one, 0 * one, 0 * one)
+            often = length > MOST_PAIRED
+            yield from rows(True, gram[start[often]].view(np.int64), 0 * start[often], length[often], 0 * start[often], 0 * start[often])
+
+            few = shared & ~many
+            node, size, place, run = node[few], size[few], place[few], run[few]
+            pieces, held = [], 0
+            for gap in range(1, int(length[length <= MOST_PAIRED].max(initial=1))):
+                at = np.flatnonzero(run[gap:] == run[:-gap])
+                x, y = size[at], size[at + gap]
+                close = x >= threshold * y - 1e-9
+                at, x, y = at[close], x[close], y[close]
+                i, j = place[at], place[at + gap]
+                needed = np.ceil(share * (x + y) - 1e-6).astype(np.int64)
+                rest = np.minimum(x - 1 - i, y - 1 - j)
+                # no more can be common up to this gram than the grams up to it; places beyond 65535 are not known
+                keep = (np.minimum(i, j) + 1 + rest >= needed) | (np.maximum(i, j) == 65535)
+                # behind the shorter prefix lies so much of that set
+                rest = np.minimum(rest, np.ceil(threshold * y - 1e-9).astype(np.int64) - 1)
+                at, rest, needed = at[keep], rest[keep], needed[keep]
+                a, b = node[at], node[at + gap]
+                pieces.append((np.minimum(a, b), np.maximum(a, b), np.ones(len(at), np.int64), rest, needed))
+                held += len(at)
+                if held > HELD_GRAMS:
+                    pieces = [merged(pieces)]
+                    held = len(pieces[0][0])
+                    if held > HELD_GRAMS:
+                        yield from rows(False, *pieces[0])
+                        pieces, held = [], 0
+            if held:
+                yield from rows(False, *merged(pieces))
+
+    return apply
+
+
+def candidates(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
+    """Edges ``(u, v)`` of nodes that connect every two linked nodes."""
+    context = docs.sparkSession.sparkContext
+    number, grams = nodes.agg(F.count("*"), F.sum("size")).first()
+    buckets = max(1, -(-(grams or 0) // BUCKET_GRAMS))
+    sample = docs.where(F.pmod(F.xxhash64("row", "text"), F.lit(max(1, number))) < SAMPLE_ROWS).select("text").limit(SAMPLE_ROWS)
+    known = sample.repartition(1).mapInArrow(lean(_sampled(n)), "gram long, times long").orderBy(F.desc("times"), "gram").limit(FREQUENT).toArrow()
+    gram, times = known["gram"].to_numpy().view(np.uint64), known["times"].to_numpy().astype(np.float64)
+    times *= max(1.0, number / SAMPLE_ROWS)
+    for turn in range(2):
+        frequent = context.broadcast(Frequent(gram, times))
+        packed = docs.select("text").mapInArrow(lean(_packed(threshold, n, buckets, frequent)), "bucket int, grams binary, nodes binary, sizes binary, places binary")
+        met = written(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_met(threshold)), _MET), "met")
+        # grams with many holders that the sample did not show come last in a second turn
+        if turn:
+            break
+        more = met.where("gram").select("a", "met").orderBy(F.desc("met"), "a").limit(FREQUENT).toArrow()
+        new = more["a"].to_numpy().view(np.uint64)
+        unknown = ~np.isin(new, gram)
+        if not unknown.any():
+            break
+        gram, times = np.concatenate([gram, new[unknown]]), np.concatenate([times, more["met"].to_numpy()[unknown]])
+    total = met.where("not gram").groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("rest").alias("rest"), F.min("needed").alias("needed"))
+    return total.where("met + rest >= needed").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -172,37 +310,19 @@ def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table
 
 
 class Units:
-    """Whole units of work: the nodes of a key, or of two tiles of one."""
+    """Whole units of work: the nodes of a unit, or of two tiles of one."""
 
-    def __init__(self, part: pa.Table, threshold: float):
+    def __init__(self, part: pa.Table, sets: list[np.ndarray], threshold: float):
         self.threshold = threshold
         column = lambda name: part[name].to_numpy(zero_copy_only=False)
-        self.unit, self.key, self.node, self.size, self.tile = (column(c) for c in ("unit", "key", "node", "size", "tile"))
-        self.across = column("across")
-        self.counts = np.frombuffer(b"".join(part["counts"].to_pylist()), np.uint16).reshape(-1, GROUPS)
-        self.band = (self.key.astype(np.uint64) & _LOW).astype(np.int64)
-        self.marks = np.zeros((len(self.key), BANDS), np.uint32)
-        has = np.flatnonzero(self.band != _BY_GRAM)
-        marks = part["marks"].take(pa.array(has)).to_pylist()
-        self.marks[has] = np.frombuffer(b"".join(marks), np.uint32).reshape(-1, BANDS)
+        self.unit, self.node, self.size, self.tile, self.across = (column(c) for c in ("unit", "node", "size", "tile", "across"))
+        self.counts = np.array([group_counts(s) for s in sets], np.uint16).reshape(-1, GROUPS)
         self.start = np.flatnonzero(np.concatenate([[True], self.unit[1:] != self.unit[:-1]]))
         self.length = np.diff(np.append(self.start, len(self.unit)))
 
     def _own(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which pairs of rows of a unit are this unit's: of different tiles if it has two, met by the least gram if a
-        set is small, else under no band before the key's."""
-        keep = (self.node[a] != self.node[b]) & (~self.across[a] | (self.tile[a] != self.tile[b]))
-        small = np.minimum(self.size[a], self.size[b]) <= SMALL
-        keep &= small == (self.band[a] == _BY_GRAM)
-        at = np.flatnonzero(keep & ~small)
-        for k in range(BANDS):  # most pairs of near copies meet under the first bands, so little is left to compare
-            at = at[self.band[a[at]] > k]
-            if len(at) == 0:
-                break
-            met = self.marks[a[at], k] == self.marks[b[at], k]
-            keep[at[met]] = False
-            at = at[~met]
-        return keep
+        """Which pairs of rows of a unit are this unit's: of different tiles if it has two."""
+        return (self.node[a] != self.node[b]) & (~self.across[a] | (self.tile[a] != self.tile[b]))
 
     def few(self) -> tuple[np.ndarray, np.ndarray]:
         """Pairs that no bound excludes of the units that fit in a leaf, all at once."""
@@ -237,23 +357,6 @@ class Units:
             yield a[keep], b[keep]
 
 
-def _survivors(threshold: float):
-    """Rows of units that are in a pair which no bound excludes."""
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_runs(batches, "unit"):
-            units = Units(part, threshold)
-            keep = np.zeros(part.num_rows, bool)
-            a, b = units.few()
-            keep[a] = keep[b] = True
-            for _, pairs in units.many():
-                for a, b in pairs:
-                    keep[a] = keep[b] = True
-            yield from part.filter(pa.array(keep)).to_batches()
-
-    return apply
-
-
 def shared_members(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Common members of two sorted sets."""
     x, y = (x, y) if len(x) <= len(y) else (y, x)
@@ -264,7 +367,7 @@ def shared_members(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class Bits:
     """Sets of a unit as rows of bits, a column for each member of two sets or more, in their order."""
 
-    def __init__(self, sets: list[np.ndarray], key: int):
+    def __init__(self, sets: list[np.ndarray]):
         flat = np.concatenate(sets)
         members, column, count = np.unique(flat, return_inverse=True, return_counts=True)
         common = count > 1
@@ -280,22 +383,15 @@ class Bits:
             row = np.zeros(self.width * 64, bool)
             row[place[mine[common[mine]]]] = True
             self.bits[r] = np.packbits(row, bitorder="little").view(np.uint64)
-        before = np.zeros(self.width * 64, bool)
-        if key & (2 * BANDS - 1) == _BY_GRAM:
-            here = np.flatnonzero(gram_keys(members[common]) == key)
-            before[: here[0] if len(here) else 0] = True
-        self.before = np.packbits(before, bitorder="little").view(np.uint64)
-
-    def shared(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many members each pair shares, and whether one of them is below the key's gram."""
-        n, lower = np.zeros(len(a), np.int64), np.zeros(len(a), bool)
+
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many members each pair shares."""
+        n = np.zeros(len(a), np.int64)
         step = max(1, (16 << 20) // (8 * max(1, self.width)))
         for at in range(0, len(a), step):
             s = slice(at, at + step)
-            both = self.bits[a[s]] & self.bits[b[s]]
-            n[s] = np.bitwise_count(both).sum(1, dtype=np.int64)
-            lower[s] = (both & self.before).any(1)
-        return n, lower
+            n[s] = np.bitwise_count(self.bits[a[s]] & self.bits[b[s]]).sum(1, dtype=np.int64)
+        return n
 
 
 def hook(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -319,15 +415,12 @@ def _links(threshold: float):
         for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
             common = shared_members(sets[x], sets[y])
             out[i] = len(common) >= threshold * (len(sets[x]) + len(sets[y]) - len(common)) - 1e-9
-            if out[i] and units.band[x] == _BY_GRAM:
-                out[i] = gram_keys(common[:1])[0] == units.key[x]
         return out
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_runs(batches, "unit"):
-            units = Units(part, threshold)
-            column = part["members"].combine_chunks()
-            sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in column]
+            sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in part["members"].combine_chunks()]
+            units = Units(part, sets, threshold)
             number, labels = np.zeros(len(sets), np.int64), np.arange(len(sets))
 
             def add(a: np.ndarray, b: np.ndarray, number: np.ndarray = number) -> None:
@@ -339,13 +432,13 @@ def _links(threshold: float):
             keep = linked(units, sets, a, b)
             add(a[keep], b[keep])
             for rows, pairs in units.many():
-                bits = Bits(sets[rows], int(units.key[rows.start]))
+                bits = Bits(sets[rows])
                 for a, b in pairs:
                     if not bits.fits:
                         keep = linked(units, sets, a, b)
                     else:
-                        n, lower = bits.shared(a - rows.start, b - rows.start)
-                        keep = (n >= threshold * (units.size[a].astype(np.int64) + units.size[b] - n) - 1e-9) & ~lower
+                        n = bits.shared(a - rows.start, b - rows.start)
+                        keep = n >= threshold * (units.size[a].astype(np.int64) + units.size[b] - n) - 1e-9
                     add(a[keep], b[keep])
             at = np.flatnonzero(number)
             yield pa.RecordBatch.from_arrays([pa.array(units.node[at]), pa.array(number[at]), pa.array(units.node[labels[at]])], names=["node", "links", "root"])
@@ -371,22 +464,18 @@ def _few(ids: DataFrame) -> DataFrame:
 def links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of rows ``(row, doc_id, text)``: all with their node; nodes with their least row and number of rows; and ``(node,
     links, root)`` for linked nodes, a row for each unit of work in which one has links."""
-    rows = written(sketches(docs, threshold, n), "sketches")
-    first = [F.first(c).alias(c) for c in ("size", "keys", "counts", "marks")]
-    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.count("*").alias("copies"), *first), "nodes")
-    keys = nodes.select(F.explode("keys").alias("key"), "node", "size")
+    rows = written(sketches(docs, n), "sketches")
+    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.count("*").alias("copies"), F.first("size").alias("size")), "nodes")
+    units = written(components(candidates(docs, nodes, threshold, n)).join(nodes.select("node", "size", F.col("least.row").alias("row")), "node"), "units")
     tiles = F.greatest(F.ceil(F.col("n") / TILE_NODES), F.ceil(F.col("grams") / TILE_GRAMS))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("grams")).where("n > 1").select("key", F.least(tiles, "n").cast("int").alias("tiles"))
-    placed = keys.join(shared, "key").select("key", "node", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"), "tiles")
-    placed = placed.join(nodes.select("node", "size", "counts", "marks"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    across, by_gram = F.col("tile") != F.col("other"), F.col("key").bitwiseAND(F.lit(2 * BANDS - 1)) == _BY_GRAM
-    unit = F.when(F.col("tiles") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other")))
-    placed = placed.select(unit.alias("unit"), "key", "node", "size", "tile", across.alias("across"), "counts", F.when(~by_gram, F.col("marks")).alias("marks"))
-    met = written(placed.repartition("unit").sortWithinPartitions("unit").mapInArrow(lean(_survivors(threshold)), placed.schema), "met")
-
-    chosen = nodes.join(met.select("node").distinct(), "node", "left_semi").select(F.col("least.row").alias("row"))
-    sets = docs.join(_few(written(chosen, "chosen")), "row", "left_semi").select("text").mapInArrow(lean(_sets(n)), "node long, members binary").dropDuplicates(["node"])
-    work = met.join(sets, "node").select(*met.columns, "members")
+    tiled = units.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("grams")).select("group", F.least(tiles, "n").cast("int").alias("tiles"))
+    placed = units.join(tiled, "group").select("group", "node", "size", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"), "tiles")
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    unit = F.when(F.col("tiles") == 1, F.col("group")).otherwise(F.xxhash64("group", F.least("tile", "other"), F.greatest("tile", "other")))
+    placed = placed.select(unit.alias("unit"), "node", "size", "tile", (F.col("tile") != F.col("other")).alias("across"))
+
+    sets = docs.join(_few(units.select("row")), "row", "left_semi").select("text").mapInArrow(lean(_sets(n)), "node long, members binary").dropDuplicates(["node"])
+    work = placed.join(sets, "node").select(*placed.columns, "members")
     found = work.repartition("unit").sortWithinPartitions("unit").mapInArrow(lean(_links(threshold)), "node long, links long, root long")
     return rows, nodes, written(found, "links")
 

@@ -107,6 +107,25 @@ def test_small_sets_lose_no_link(spark):
     assert found(jaccard_join(frame(spark, rows))) == expected and sum(r[3] for r in expected) > 500
 
 
+def test_large_sets_at_the_threshold_lose_no_link(spark):
+    """Pairs of 90 grams each and Jaccard 0.5 that shared no key of 32 pairs of group minima, which the join once relied on."""
+    rows = [(2 * i + (c == "c"), " ".join([f"a{i}x{k}" for k in range(62)] + [f"{c}{i}x{k}" for k in range(30)])) for i in (10531, 12006, 16341) for c in "bc"]
+    expected = brute(rows)
+    assert found(jaccard_join(frame(spark, rows))) == expected and [r[3] for r in expected] == [1] * 6
+
+
+def test_grams_of_many_holders_lose_no_link(spark, monkeypatch):
+    """Grams of too many holders to pair: some are found by the sample, some in a second turn, some are all that a text has."""
+    monkeypatch.setattr(jaccard, "MOST_PAIRED", 4)
+    monkeypatch.setattr(jaccard, "SAMPLE_TIMES", 12)
+    rng = random.Random(12)
+    common = [" ".join(f"c{g}x{k}" for k in range(6)) for g in range(12)]
+    rows = near_copies(13, 12, 12, 0.05, (20, 60))
+    rows = [(i, f"{t} {' '.join(rng.sample(common, 4))}") for i, t in rows] + [(1000 + i, " ".join(rng.sample(common, rng.randint(1, 6)))) for i in range(60)]
+    expected = brute(rows)
+    assert found(jaccard_join(frame(spark, rows))) == expected and max(r[3] for r in expected) > 5
+
+
 @pytest.mark.parametrize("tile", [4096, 20])
 def test_one_large_group_goes_through_trees_and_tiles(spark, monkeypatch, tile):
     """Near copies of one text, and short texts that share a gram, in one tile or many."""
