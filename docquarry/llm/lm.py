@@ -97,11 +97,20 @@ class Gru:
     def step(self, word: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """The next state, and what the backward step needs."""
         n = h.shape[1]
-        x, u = self.inputs[word], h @ self.recurrent
-        gate = 1.0 / (1.0 + np.exp(-(x[:, : 2 * n] + u[:, : 2 * n])))
+        x, u = self.inputs.take(word, axis=0), h @ self.recurrent
+        gate = x[:, : 2 * n] + u[:, : 2 * n]
+        np.negative(gate, out=gate)
+        np.exp(gate, out=gate)
+        gate += 1.0
+        np.divide(1.0, gate, out=gate)
         z, r = gate[:, :n], gate[:, n:]
-        new = np.tanh(x[:, 2 * n :] + r * u[:, 2 * n :])
-        return new + z * (h - new), z, r, new, u[:, 2 * n :]
+        new = r * u[:, 2 * n :]
+        new += x[:, 2 * n :]
+        np.tanh(new, out=new)
+        after = h - new
+        after *= z
+        after += new
+        return after, z, r, new, u[:, 2 * n :]
 
     def log_probability(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(target) given the states, row by row."""
@@ -109,7 +118,7 @@ class Gru:
         logits = h @ self.class_weight
         logits += self.class_bias
         out = logits[np.arange(len(h)), kind] - np.log(_exp(logits) @ np.ones(len(self.class_bias), np.float32))
-        mine = h[order]
+        mine = h.take(order, axis=0)
         logits = np.empty((len(mine), self.shape[1]), np.float32)
         for c in np.flatnonzero(np.diff(edge)):
             s = slice(edge[c], edge[c + 1])
@@ -174,7 +183,7 @@ def window_gradient(model: Gru, words: np.ndarray, targets: np.ndarray, fresh: n
     d_state, d_class, d_class_bias = p @ model.class_weight.T, flat.T @ p, np.ones(len(p), kind_of) @ p
 
     # Tokens in order of their class: a class is a slice, and what is not a product is done for all at once.
-    mine, rows = flat[order], np.arange(len(order))
+    mine, rows = flat.take(order, axis=0), np.arange(len(order))
     used = np.flatnonzero(np.diff(edge))
     parts = [slice(edge[c], edge[c + 1]) for c in used]
     q = np.empty((len(mine), size), kind_of)
@@ -195,7 +204,17 @@ def window_gradient(model: Gru, words: np.ndarray, targets: np.ndarray, fresh: n
     d_state[order] += back
     d_state = d_state.reshape(steps, streams, hidden)
 
-    slope_new, slope_z, slope_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), u * r * (1 - r)
+    rest = 1 - z
+    slope_z = before - new
+    slope_z *= z
+    slope_z *= rest
+    slope_new = new * new
+    np.subtract(1, slope_new, out=slope_new)
+    slope_new *= rest
+    slope_r = u
+    slope_r *= r
+    np.subtract(1, r, out=rest)
+    slope_r *= rest
     d_input = np.empty((steps, streams, 3 * hidden), kind_of)
     d_u = np.empty((steps, streams, 3 * hidden), kind_of)
     d_h, turned = np.zeros((streams, hidden), kind_of), np.ascontiguousarray(model.recurrent.T)
@@ -214,7 +233,7 @@ def window_gradient(model: Gru, words: np.ndarray, targets: np.ndarray, fresh: n
     order = np.argsort(_narrow(seen, len(model.inputs)), kind="stable")
     sorted_seen = seen[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_seen[1:] != sorted_seen[:-1]]))
-    d_inputs[sorted_seen[first]] = np.add.reduceat(d_input.reshape(-1, 3 * hidden)[order], first, axis=0)
+    d_inputs[sorted_seen[first]] = np.add.reduceat(d_input.reshape(-1, 3 * hidden).take(order, axis=0), first, axis=0)
     return loss, Gru(d_inputs, d_recurrent, d_class, d_class_bias, d_word, d_word_bias), h
 
 
@@ -242,17 +261,27 @@ class Trainer:
             seen = int((y >= 0).sum())
             model = Gru.of(self.values, *self.shape)
             loss, slope, h = window_gradient(model, x, y, x == END, h)
-            g = slope.flat() / seen
+            g = slope.flat()
+            g /= seen
             norm = float(np.sqrt(np.dot(g, g)))
             if norm > 1:
                 g /= norm
             self.updates += 1
             self.tokens += seen
             self.loss += loss
-            self.first += 0.1 * (g - self.first)
-            self.second += 0.01 * (g * g - self.second)
+            change = g - self.first
+            change *= 0.1
+            self.first += change
+            np.multiply(g, g, out=g)
+            g -= self.second
+            g *= 0.01
+            self.second += g
             scale = self.rate * np.sqrt(1 - 0.99**self.updates) / (1 - 0.9**self.updates)
-            self.values = self.values - (scale * self.first / (np.sqrt(self.second) + 1e-7)).astype(np.float32)
+            root = np.sqrt(self.second)
+            root += 1e-7
+            change = scale * self.first
+            change /= root
+            self.values = self.values - change.astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -471,11 +500,11 @@ def document_scores(model: Gru, documents: list[np.ndarray]) -> np.ndarray:
     h = np.zeros((len(order), model.shape[2]), np.float32)
     words = np.full(len(order), END, np.int64)
     states, targets, rows, held = [], [], [], 0
-    active = len(order)
+    # how many documents have a step t: those longer than t
+    longer = (len(order) - np.cumsum(np.bincount(lengths, minlength=1))).tolist() if order else []
     for t in range(int(lengths.max(initial=0))):
-        active = int(np.searchsorted(-lengths[:active], -t, "left"))
+        active, inner = longer[t], longer[t + 1]
         h = model.step(words[:active], h[:active])[0]
-        inner = int(np.searchsorted(-lengths[:active], -(t + 1), "left"))
         target = np.full(active, END, np.int64)
         target[:inner] = flat[base[:inner] + t]
         states.append(h)
