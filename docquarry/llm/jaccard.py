@@ -8,12 +8,12 @@ documents and not with the pairs, though every pair is verified.
 A count-vector R-tree alone cannot be spread over a cluster: boxes of unrelated texts overlap, so all
 trees would meet all trees.  A prefix filter brings nodes together first, and it loses no pair:
 
-* grams have one order, frequent ones last.  So many of a set's first grams are its *prefix* that any two linked sets share a
-  gram of both prefixes.  Which grams count as frequent is read from a sample and from the prefixes themselves; it
-  decides the cost and never the result;
-* the holders of a gram are paired, and a pair's shared prefix grams are counted.  With these and what is behind the
-  last of them a pair's overlap is bounded; pairs below the threshold are left out.  A gram of more than ``MOST_PAIRED``
-  holders is not paired: its holders, by size, are chained wherever the sizes allow a link;
+* grams have one order, by the number of sets that have them, rare ones first.  So many of a set's first grams are its *prefix*
+  that any two linked sets share a gram of both prefixes.  All grams are counted; those that no other set has are dropped;
+* the holders of a gram are paired.  By the places of a pair's first common gram its overlap is bounded; pairs below the
+  threshold are left out.  Of the others a bucket of grams keeps the edges that connect its nodes, one for each
+  at most, so edges grow with the grams and not with the pairs.  A gram of more than ``MOST_PAIRED`` holders is
+  not paired: its holders, by size, are chained wherever the sizes allow a link;
 * nodes that are connected by what is left form a *unit*, and any two nodes of a unit are compared.  A
   link lies in one unit, so it counts once.
 
@@ -21,8 +21,8 @@ The nodes of a unit are the points of an R-tree (a single leaf, if they are few)
 sets of what is left are compared in full, so no link is wrong.  A unit of many nodes or grams is cut into tiles,
 and each two tiles are a unit of work of their own: no task holds more than two tiles.
 
-Shuffles: nodes by set; the prefixes' grams, packed; pairs that share a prefix gram, a row for each bucket of grams that they
-meet in; edges of units; sets of nodes of a unit, once for each piece of work.
+Shuffles: nodes by set; all grams, 32 bits of each, to be counted; those of several sets, back to their chunks of sets; the prefixes'
+grams that others share; edges of units; sets of nodes of a unit, once for each piece of work.
 
 Defined cases: null ids are left out; a text without words (null, empty, marks alone) is a class of its own with no
 link and no copy; a text of fewer than n words is one gram of all of them; every row counts on its own, so repeated rows
@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +48,13 @@ N = 3
 THRESHOLD = 0.5
 GROUPS = 32
 #: A gram of a prefix with more holders chains them; one with fewer pairs them.
-MOST_PAIRED = 256
-#: Rows and grams read for frequent grams, how often a gram is in them to be one, and frequent grams at most (36 MB to every task).
-SAMPLE_ROWS, SAMPLE_GRAMS = 16_384, 1 << 23
+MOST_PAIRED = 1024
+#: Grams of fewer sets are not told apart in the order; it decides the cost and never the result.
 SAMPLE_TIMES = 3
-FREQUENT = 1 << 22
-#: Grams of the sets for each bucket (some half are in prefixes), and prefix grams held by a task before they are sent.
-BUCKET_GRAMS = 1 << 20
-HELD_GRAMS = 1 << 19
+#: Grams of the sets for each bucket that counts them, and for each that pairs the holders of what is left of them.
+BUCKET_GRAMS, PREFIX_GRAMS = 1 << 21, 1 << 22
+#: Grams and sets that a task holds before they are sent; places in a chunk are 16 bits.
+HELD_GRAMS, CHUNK_NODES = 1 << 19, 1 << 15
 #: Nodes and grams of a tile, about; a key with more has several.
 TILE_NODES = 4096
 TILE_GRAMS = 1 << 20
@@ -99,196 +99,201 @@ def sketches(docs: DataFrame, n: int = N) -> DataFrame:
     return docs.mapInArrow(lean(apply), "row long, doc_id long, node long, size int")
 
 
-class Frequent:
-    """Grams that come last in the order, and by what class: the more frequent, the later."""
+def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
+    """So many of a set's first grams that the first common gram of a pair at the threshold is among them."""
+    return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
 
-    def __init__(self, grams: np.ndarray, times: np.ndarray):
-        most = np.argsort(-times, kind="stable")[:FREQUENT]
-        self.grams, at = np.unique(grams[most], return_index=True)
-        self.kind = np.minimum(63, 1 + np.log2(times[most][at])).astype(np.uint8)
 
-    def classes(self, members: np.ndarray) -> np.ndarray:
-        """Zero, or a frequent gram's class."""
-        if len(self.grams) == 0:
-            return np.zeros(len(members), np.uint8)
-        at = np.minimum(np.searchsorted(self.grams, members), len(self.grams) - 1)
-        return np.where(self.grams[at] == members, self.kind[at], 0).astype(np.uint8)
+def _gaps(owner: np.ndarray) -> bytes:
+    """Ascending places below 65,536, as bytes if their gaps allow."""
+    gaps = np.diff(owner, prepend=0)
+    return gaps.astype(np.uint8 if gaps.max(initial=0) < 256 else np.uint16).tobytes()
 
 
-def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
-    """So many of a set's first grams that the first common gram of a pair at the threshold is among them."""
-    return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+def _places(gaps: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(gaps, np.uint8 if len(gaps) == n else np.uint16), dtype=np.int64)
+
 
+def _messages(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 64], strict=True), schema, strict=True)], schema=schema)
 
-def prefixes(sets: list[np.ndarray], frequent: Frequent, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The grams of the sets' prefixes, whose they are, and their places in the order of the set."""
-    size = np.array([len(s) for s in sets])
-    members, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    order = np.argsort(owner * 64 + frequent.classes(members), kind="stable")
-    place = np.arange(len(members)) - np.repeat(np.cumsum(size) - size, size)
-    keep = place < prefix_length(size, threshold)[owner]
-    return members[order[keep]], owner[keep], place[keep]
 
+_GRAMS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("head", pa.bool_()), ("grams", pa.binary()), ("owners", pa.binary())])
+_SHARED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("head", pa.bool_()), ("number", pa.int32()), ("grams", pa.binary()), ("owners", pa.binary()), ("kinds", pa.binary())])
 
-def _sampled(n: int):
-    """Grams that are in several sets of the rows, and in how many."""
+
+def _dealt(n: int, buckets: int):
+    """All grams of a chunk of sets, a message for each bucket of grams, and the chunk's nodes and sizes as its head."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        part, chunks = context.partitionId() if context else 0, 0
         held: dict[int, np.ndarray] = {}
         total = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nodes, sizes = np.array(list(held), np.int64), np.array([len(s) for s in held.values()], np.int32)
+            # of this content, so that a task that runs again in another order mixes no chunks
+            chunk = int(mix(np.array([set_key(mix(nodes.view(np.uint64)) + np.arange(len(nodes), dtype=np.uint64)), part << 32 | chunks]).view(np.uint64)).sum(dtype=np.uint64).astype(np.int64))
+            spread = mix(np.concatenate(list(held.values())))
+            owner = np.repeat(np.arange(len(nodes)), sizes)
+            held.clear()
+            bucket = ((spread >> U64(32)) % U64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            bucket, owner, low = bucket[order], owner[order], spread[order].astype(np.uint32)
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            rows = [(chunk % buckets, chunk, True, nodes.tobytes(), sizes.tobytes())]
+            rows += [(int(bucket[i]), chunk, False, low[i:j].tobytes(), _gaps(owner[i:j])) for i, j in zip(first, np.append(first[1:], len(bucket)), strict=True)]
+            yield from _messages(rows, _GRAMS)
+
         for batch in batches:
             for a, b in slices(batch.column("text")):
-                if total < SAMPLE_GRAMS:
-                    new = {set_key(s): s for s in gram_sets(batch.column("text").slice(a, b - a), n) if len(s)}
-                    total += sum(len(s) for k, s in new.items() if k not in held)
-                    held |= new
+                for s in gram_sets(batch.column("text").slice(a, b - a), n):
+                    if len(s) and (key := set_key(s)) not in held:
+                        held[key] = s
+                        total += len(s)
+                        if total >= HELD_GRAMS or len(held) >= CHUNK_NODES:
+                            yield from flush()
+                            chunks, total = chunks + 1, 0
         if held:
-            grams, times = np.unique(np.concatenate(list(held.values())), return_counts=True)
-            often = times >= SAMPLE_TIMES
-            yield pa.RecordBatch.from_arrays([pa.array(grams[often].astype(np.int64)), pa.array(times[often].astype(np.int64))], names=["gram", "times"])
+            yield from flush()
 
     return apply
 
 
-def _packed(threshold: float, n: int, buckets: int, frequent):
-    """The prefixes' grams by bucket: columns of many in one value, a set's next to each other."""
-    kinds = (("grams", np.uint64), ("nodes", np.int64), ("sizes", np.int32), ("places", np.uint16))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Back to their chunks go the grams that several sets have, with their classes by frequency; heads go on as they are."""
+    for part in each_run(batches, "bucket"):
+        bucket = part["bucket"][0].as_py()
+        chunk, head = part["chunk"].to_pylist(), part["head"].to_pylist()
+        grams, owners = part["grams"].to_pylist(), part["owners"].to_pylist()
+        yield from _messages([(c, bucket, True, 0, g, o, b"") for c, h, g, o in zip(chunk, head, grams, owners, strict=True) if h], _SHARED)
+        chunk, grams, owners = ([x for x, h in zip(c, head, strict=True) if not h] for c in (chunk, grams, owners))
+        if not chunk:
+            continue
+        edge = np.cumsum([0] + [len(g) // 4 for g in grams])
+        low = np.frombuffer(b"".join(grams), np.uint32)
+        _, which, times = np.unique(low, return_inverse=True, return_counts=True)
+        kinds = np.where(times >= SAMPLE_TIMES, np.minimum(255, 1 + 4 * np.log2(times)), 0).astype(np.uint8)
+        rows = []
+        for c, o, i, j in zip(chunk, owners, edge[:-1], edge[1:], strict=True):
+            often = times[which[i:j]] > 1
+            rows.append((c, bucket, False, j - i, low[i:j][often].tobytes(), _gaps(_places(o, j - i)[often]), kinds[which[i:j][often]].tobytes()))
+        yield from _messages(rows, _SHARED)
+
+
+def _prefixes(threshold: float, buckets: int):
+    """The grams of the sets' prefixes that other sets have too, by bucket: columns of many in one value, a set's next to each other.
+
+    A gram is named by its bucket and 32 bits; two of one name are in the same place of the order, and no pair is lost by it."""
+    columns = (("grams", np.uint64), ("nodes", np.int64), ("sizes", np.int32), ("places", np.uint16))
+    schema = pa.schema([("bucket", pa.int32()), *((name, pa.binary()) for name, _ in columns)])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            values = [np.concatenate(c) for c in zip(*held, strict=True)]
             held.clear()
-            bucket = (mix(columns[0]) % U64(buckets)).astype(np.int32)
+            bucket = (mix(values[0]) % U64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            bucket = bucket[order]
+            bucket, values = bucket[order], [v[order].astype(kind) for v, (_, kind) in zip(values, columns, strict=True)]
             first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            edge = np.append(first, len(bucket))
-            values = [c[order].astype(kind) for c, (_, kind) in zip(columns, kinds, strict=True)]
-            for at in range(0, len(first), 64):
-                some = range(at, min(at + 64, len(first)))
-                parts = [pa.array([v[edge[i] : edge[i + 1]].tobytes() for i in some], pa.binary()) for v in values]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[first[at : at + 64]]), *parts], names=["bucket", *(name for name, _ in kinds)])
-
-        for batch in batches:
-            for a, b in slices(batch.column("text")):
-                sets = []
-                for s in gram_sets(batch.column("text").slice(a, b - a), n):
-                    if len(s) and (key := set_key(s)) not in seen:  # a copy in another task is dropped in the bucket
-                        seen.add(key)
-                        sets.append((key, s))
-                if not sets:
-                    continue
-                grams, owner, place = prefixes([s for _, s in sets], frequent.value, threshold)
-                held.append((grams, np.array([k for k, _ in sets])[owner], np.array([len(s) for _, s in sets])[owner], np.minimum(place, 65535)))
-                if len(seen) > 1 << 17:
-                    seen.clear()
-                if sum(len(h[0]) for h in held) >= HELD_GRAMS:
-                    yield from flush()
+            yield from _messages([(int(bucket[i]), *(v[i:j].tobytes() for v in values)) for i, j in zip(first, np.append(first[1:], len(bucket)), strict=True)], schema)
+
+        for part in each_run(batches, "chunk"):
+            rows = part.to_pylist()
+            heads, rows = [r for r in rows if r["head"]], [r for r in rows if not r["head"]]
+            nodes, sizes = np.frombuffer(heads[0]["grams"], np.int64), np.frombuffer(heads[0]["owners"], np.int32).astype(np.int64)
+            if len(heads) != 1 or sum(r["number"] for r in rows) != sizes.sum():
+                raise RuntimeError("a task ran twice and read its rows in another order")
+            low = [np.frombuffer(r["grams"], np.uint32) for r in rows]
+            gram = np.concatenate([x.astype(np.uint64) | U64(r["bucket"] << 32) for x, r in zip(low, rows, strict=True)])
+            owner = np.concatenate([_places(r["owners"], len(x)) for x, r in zip(low, rows, strict=True)])
+            kind = np.frombuffer(b"".join(r["kinds"] for r in rows), np.uint8)
+            order = np.lexsort((gram, kind, owner))
+            gram, owner = gram[order], owner[order]
+            number = np.bincount(owner, minlength=len(nodes))
+            # grams that no other set has come first
+            place = np.arange(len(gram)) - np.repeat(np.cumsum(number) - number, number) + (sizes - number)[owner]
+            keep = place < prefix_length(sizes, threshold)[owner]
+            gram, owner, place = gram[keep], owner[keep], place[keep]
+            if len(gram):
+                held.append((gram, nodes[owner], sizes[owner], np.minimum(place, 65535)))
+            if sum(len(h[0]) for h in held) >= HELD_GRAMS:
+                yield from flush()
         if held:
             yield from flush()
 
     return apply
 
 
-_MET = "gram boolean, a long, b long, met int, rest int, needed int"
-
-
 def _met(threshold: float):
-    """Pairs of nodes that share prefix grams of a bucket: how many, the most that can be shared behind the last of them, and
-    the overlap that a link needs.  Of grams with too many holders, edges that need nothing, and the gram with their number."""
+    """Edges of a bucket: nodes that may be linked and meet in a gram of the bucket are connected by them, and each of its nodes
+    has one edge at most, however many it meets.  Holders of a gram that has too many are chained."""
     share = threshold / (1 + threshold)
 
-    def rows(gram: bool, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        for at in range(0, len(columns[0]), 1 << 16):
-            parts = [pa.array(c[at : at + (1 << 16)].astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts[0]), gram)), *parts], names=["gram", "a", "b", "met", "rest", "needed"])
-
-    def merged(pieces: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        """One row for each pair."""
-        a, b, met, rest, needed = (np.concatenate(c) for c in zip(*pieces, strict=True))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        return a[first], b[first], np.add.reduceat(met[order], first), np.minimum.reduceat(rest[order], first), needed[order[first]]
-
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_runs(batches, "bucket"):
             gram, node, size, place = (np.frombuffer(b"".join(part[c].to_pylist()), k) for c, k in (("grams", np.uint64), ("nodes", np.int64), ("sizes", np.int32), ("places", np.uint16)))
-            order = np.lexsort((node, size, gram))
+            order = np.lexsort((place, node, size, gram))
             gram, node, size, place = gram[order], node[order], size[order].astype(np.int64), place[order].astype(np.int64)
             new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])])
             gram, node, size, place = gram[new], node[new], size[new], place[new]
             start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
             length = np.diff(np.append(start, len(gram)))
-            shared = np.repeat(length > 1, length)
+            names, node = np.unique(node, return_inverse=True)
+            labels = np.arange(len(names))
+
             many = np.repeat(length > MOST_PAIRED, length)
             run = np.repeat(np.arange(len(start)), length)
             at = np.flatnonzero(many[:-1] & (run[1:] == run[:-1]))
             at = at[size[at] >= threshold * size[at + 1] - 1e-9]
-            one = np.ones(len(at))
-            yield from rows(False, node[at], node[at + 1], one, 0 * one, 0 * one)
-            often = length > MOST_PAIRED
-            yield from rows(True, gram[start[often]].view(np.int64), 0 * start[often], length[often], 0 * start[often], 0 * start[often])
-
-            few = shared & ~many
-            node, size, place, run = node[few], size[few], place[few], run[few]
-            pieces, held = [], 0
-            for gap in range(1, int(length[length <= MOST_PAIRED].max(initial=1))):
-                at = np.flatnonzero(run[gap:] == run[:-gap])
-                x, y = size[at], size[at + gap]
-                close = x >= threshold * y - 1e-9
-                at, x, y = at[close], x[close], y[close]
-                i, j = place[at], place[at + gap]
-                needed = np.ceil(share * (x + y) - 1e-6).astype(np.int64)
-                rest = np.minimum(x - 1 - i, y - 1 - j)
-                # no more can be common up to this gram than the grams up to it; places beyond 65535 are not known
-                keep = (np.minimum(i, j) + 1 + rest >= needed) | (np.maximum(i, j) == 65535)
-                # behind the shorter prefix lies so much of that set
-                rest = np.minimum(rest, np.ceil(threshold * y - 1e-9).astype(np.int64) - 1)
-                at, rest, needed = at[keep], rest[keep], needed[keep]
-                a, b = node[at], node[at + gap]
-                pieces.append((np.minimum(a, b), np.maximum(a, b), np.ones(len(at), np.int64), rest, needed))
-                held += len(at)
-                if held > HELD_GRAMS:
-                    pieces = [merged(pieces)]
-                    held = len(pieces[0][0])
-                    if held > HELD_GRAMS:
-                        yield from rows(False, *pieces[0])
+            labels = hook(labels, node[at], node[at + 1])
+
+            fewest = 2
+            while fewest <= MOST_PAIRED:  # runs of like length at once
+                most = min(4 * fewest - 1, MOST_PAIRED)
+                here = np.repeat((length >= fewest) & (length <= most), length)
+                n, s, p, r = node[here], size[here], place[here], run[here]
+                pieces, held = [], 0
+                for gap in range(1, most if len(n) else 1):
+                    at = np.flatnonzero(r[gap:] == r[:-gap])
+                    x, y = s[at], s[at + gap]
+                    needed = np.ceil(share * (x + y) - 1e-6).astype(np.int64)
+                    i, j = p[at], p[at + gap]
+                    # the first common gram has so many others behind it; places beyond 65535 are not known
+                    keep = (x >= threshold * y - 1e-9) & (np.minimum(x - i, y - j) >= needed)
+                    at = at[keep]
+                    at = at[labels[n[at]] != labels[n[at + gap]]]
+                    pieces.append((n[at], n[at + gap]))
+                    held += len(at)
+                    if held > HELD_GRAMS or gap < 8:
+                        labels = hook(labels, *(np.concatenate(c) for c in zip(*pieces, strict=True)))
                         pieces, held = [], 0
-            if held:
-                yield from rows(False, *merged(pieces))
+                if held:
+                    labels = hook(labels, *(np.concatenate(c) for c in zip(*pieces, strict=True)))
+                fewest = most + 1
+            at = np.flatnonzero(labels != np.arange(len(labels)))
+            for k in range(0, len(at), 1 << 16):
+                some = at[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(names[labels[some]]), pa.array(names[some])], names=["u", "v"])
 
     return apply
 
 
-def candidates(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
+def candidates(docs: DataFrame, rows: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """Edges ``(u, v)`` of nodes that connect every two linked nodes."""
-    context = docs.sparkSession.sparkContext
-    number, grams = nodes.agg(F.count("*"), F.sum("size")).first()
-    buckets = max(1, -(-(grams or 0) // BUCKET_GRAMS))
-    sample = docs.where(F.pmod(F.xxhash64("row", "text"), F.lit(max(1, number))) < SAMPLE_ROWS).select("text").limit(SAMPLE_ROWS)
-    known = sample.repartition(1).mapInArrow(lean(_sampled(n)), "gram long, times long").orderBy(F.desc("times"), "gram").limit(FREQUENT).toArrow()
-    gram, times = known["gram"].to_numpy().view(np.uint64), known["times"].to_numpy().astype(np.float64)
-    times *= max(1.0, number / SAMPLE_ROWS)
-    for turn in range(2):
-        frequent = context.broadcast(Frequent(gram, times))
-        packed = docs.select("text").mapInArrow(lean(_packed(threshold, n, buckets, frequent)), "bucket int, grams binary, nodes binary, sizes binary, places binary")
-        met = written(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_met(threshold)), _MET), "met")
-        # grams with many holders that the sample did not show come last in a second turn
-        if turn:
-            break
-        more = met.where("gram").select("a", "met").orderBy(F.desc("met"), "a").limit(FREQUENT).toArrow()
-        new = more["a"].to_numpy().view(np.uint64)
-        unknown = ~np.isin(new, gram)
-        if not unknown.any():
-            break
-        gram, times = np.concatenate([gram, new[unknown]]), np.concatenate([times, more["met"].to_numpy()[unknown]])
-    total = met.where("not gram").groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("rest").alias("rest"), F.min("needed").alias("needed"))
-    return total.where("met + rest >= needed").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    grams = nodes.agg(F.sum("size")).first()[0] or 0
+    # one row of each node is enough; a row that is another node's least stays, for ids may repeat
+    copies = rows.join(nodes.where("copies > 1").select("node", F.col("least.row").alias("_least")), "node").where("row <> _least").select("row")
+    copies = written(copies.join(nodes.select(F.col("least.row").alias("row")), "row", "left_anti").distinct(), "copies")
+    texts = docs.join(_few(copies), "row", "left_anti").select("text")
+    dealt = texts.mapInArrow(lean(_dealt(n, max(1, -(-grams // BUCKET_GRAMS)))), "bucket int, chunk long, head boolean, grams binary, owners binary")
+    shared = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_counted), "chunk long, bucket int, head boolean, number int, grams binary, owners binary, kinds binary")
+    packed = shared.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(lean(_prefixes(threshold, max(1, -(-grams // PREFIX_GRAMS)))), "bucket int, grams binary, nodes binary, sizes binary, places binary")
+    return written(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_met(threshold)), "u long, v long"), "met")
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -309,6 +314,15 @@ def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
+def each_run(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The runs one by one."""
+    for part in whole_runs(batches, key):
+        values = part[key].to_numpy()
+        first = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            yield part.slice(a, b - a)
+
+
 class Units:
     """Whole units of work: the nodes of a unit, or of two tiles of one."""
 
@@ -466,7 +480,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> tuple[Da
     links, root)`` for linked nodes, a row for each unit of work in which one has links."""
     rows = written(sketches(docs, n), "sketches")
     nodes = written(rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.count("*").alias("copies"), F.first("size").alias("size")), "nodes")
-    units = written(components(candidates(docs, nodes, threshold, n)).join(nodes.select("node", "size", F.col("least.row").alias("row")), "node"), "units")
+    units = written(components(candidates(docs, rows, nodes, threshold, n)).join(nodes.select("node", "size", F.col("least.row").alias("row")), "node"), "units")
     tiles = F.greatest(F.ceil(F.col("n") / TILE_NODES), F.ceil(F.col("grams") / TILE_GRAMS))
     tiled = units.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("grams")).select("group", F.least(tiles, "n").cast("int").alias("tiles"))
     placed = units.join(tiled, "group").select("group", "node", "size", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"), "tiles")

@@ -126,6 +126,32 @@ def test_grams_of_many_holders_lose_no_link(spark, monkeypatch):
     assert found(jaccard_join(frame(spark, rows))) == expected and max(r[3] for r in expected) > 5
 
 
+@pytest.mark.parametrize("number", [100, 200])
+def test_candidates_grow_with_the_sets(spark, monkeypatch, number):
+    """Each pair of near copies shares some hundred grams; the table that connects them has a row for each set and bucket."""
+    rows = {}
+    kept = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, what: rows.setdefault(what, kept(df, what)) if what == "met" else kept(df, what))
+    rng = random.Random(21)
+    texts = [" ".join(f"w{k}" if rng.random() > 0.01 else f"n{i}x{k}" for k in range(150)) for i in range(number)]
+    jaccard_join(frame(spark, list(enumerate(texts))))
+    assert number / 2 < rows["met"].count() < number
+
+
+def test_copies_under_ids_of_other_texts_lose_no_link(spark):
+    """A row that copies another's text has an id that is used for a text of its own, too."""
+    rng = random.Random(22)
+    text = lambda name, n=40: [f"{name}{k}" for k in range(n)]
+    rows = []
+    for i in range(20):
+        own, other = text(f"a{i}x"), text(f"b{i}x")
+        near = list(other)
+        near[rng.randrange(3, 37)] = "new"
+        rows += [(10 * i, " ".join(own)), (10 * i + 1, " ".join(own)), (10 * i + 1, " ".join(other)), (10 * i + 2, " ".join(near)), (10 * i, " ".join(near))]
+    expected = brute(rows)
+    assert found(jaccard_join(frame(spark, rows))) == expected and sum(r[3] for r in expected) == 60
+
+
 @pytest.mark.parametrize("tile", [4096, 20])
 def test_one_large_group_goes_through_trees_and_tiles(spark, monkeypatch, tile):
     """Near copies of one text, and short texts that share a gram, in one tile or many."""
