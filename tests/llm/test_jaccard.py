@@ -138,6 +138,17 @@ def test_candidates_grow_with_the_sets(spark, monkeypatch, number):
     assert number / 2 < rows["met"].count() < number
 
 
+def test_candidates_of_the_stage_grow_with_the_sets(spark, monkeypatch):
+    """The same of the pipeline's stage, in many buckets of grams: a row for each gram that sets share, whatever the pairs."""
+    met = []
+    kept = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, what: met.append(kept(df, what)) or met[-1] if what == "met" else kept(df, what))
+    monkeypatch.setattr(jaccard, "BUCKET_GRAMS", 1 << 10)
+    texts = [" ".join(f"w{k}" if (i + 7 * k) % 97 else f"n{i}x{k}" for k in range(150)) for i in range(120)]
+    assert [r["doc_id"] for r in one_of_each(frame(spark, list(enumerate(texts)))).collect()] == [0]
+    assert sum(m.count() for m in met) < 120 * 8
+
+
 def test_copies_under_ids_of_other_texts_lose_no_link(spark):
     """A row that copies another's text has an id that is used for a text of its own, too."""
     rng = random.Random(22)
