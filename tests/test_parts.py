@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import filter_text, filter_text_of_number, fold_column, osa, osa_column, osa_many, osa_possible, osa_within_one, words, words_column
+from docquarry.operators.postings import postings, vocabulary, vocabulary_of
 from docquarry.plans.query import SearchRequest, max_typos, parse_facets, parse_filters, parse_query, parse_sort, parse_vector
 from docquarry.plans.settings import Settings, TypoTolerance
 from docquarry.sources import scratch
@@ -155,3 +156,20 @@ def test_the_shared_folder_is_the_sessions(spark, monkeypatch):
     with pytest.raises(ValueError):
         scratch.shared_dir(Session(spark_master="yarn"), "x")
     assert scratch.shared_dir(Session(spark_master="local[2]"), "x").startswith("file:///")
+
+
+def test_vocabulary_without_postings(spark):
+    """Marks after a space, a final sigma, spaces of other kinds, stop words and synonyms."""
+    texts = ["ΟΔΟΣ ΟΔΟΣ. ΣΟΦΟΣ,ΣΑ", " \u0301e \u0301", "größer\u00a0Über\tstraße  x-1", "", None, "the Cold\ncold-ICE the", "a" * 300]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")
+    for settings in (Settings(), Settings(searchable_fields=("text",), stop_words=frozenset({"the"}), synonyms={"cold": ("cool",), "the": ("not",)})):
+        expected = sorted(r["term"] for r in vocabulary(postings(docs, settings)).collect())
+        assert sorted(r["term"] for r in vocabulary_of(docs, settings).collect()) == expected and len(expected) > 8
+
+
+def test_similar_terms_need_no_postings(spark, monkeypatch):
+    """The terms of a folder whose index is not built come from its vocabulary alone."""
+    from docquarry import queries
+
+    monkeypatch.setattr(queries, "_INDEXES", {})
+    assert queries.fuzzy_terms_k1(spark, "/root/testdata/sf0.001").count() > 0 and not queries._INDEXES
