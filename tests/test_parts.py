@@ -173,3 +173,4 @@ def test_similar_terms_need_no_postings(spark, monkeypatch):
 
     monkeypatch.setattr(queries, "_INDEXES", {})
     assert queries.fuzzy_terms_k1(spark, "/root/testdata/sf0.001").count() > 0 and not queries._INDEXES
+    assert queries.edit_distances(spark, "/root/testdata/sf0.001").count() > 0 and not queries._INDEXES
